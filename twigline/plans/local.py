@@ -1,0 +1,86 @@
+"""Row-local plan: a query tree as one expression of higher-order functions over a document's elements.
+
+No shuffle and no state, so the same expression serves batches and streams.  Intermediate sets are bound by a
+one-element ``transform``, which keeps the optimiser from copying them into the lambdas that use them.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from twigline.plans.predicates import compound_matches
+from twigline.query import Query, Section
+from twigline.selector import CHILD, Step
+
+
+def _let(value: Column, body) -> Column:  # noqa: ANN001
+    """body(value) with value evaluated once."""
+    return F.transform(F.array(value), lambda v: body(v))[0]
+
+
+def _step(step: Step, candidates: Column, within: Column) -> Column:
+    """Candidates that fit the step under one of ``within`` (elements)."""
+    test = lambda n: compound_matches(step.compound, lambda f: n[f])
+    if step.combinator == CHILD:
+        return _let(
+            F.transform(within, lambda a: a["node_id"]),
+            lambda ids: F.filter(candidates, lambda n: test(n) & F.array_contains(ids, n["parent_id"])),
+        )
+    under = lambda n: F.exists(within, lambda a: (n["node_id"] > a["node_id"]) & (n["node_id"] <= a["last_id"]))
+    return F.filter(candidates, lambda n: test(n) & under(n))
+
+
+def _first_step(step: Step, candidates: Column, scope: Column | None) -> Column:
+    parent = F.lit(-1) if scope is None else scope["node_id"]
+    if step.combinator == CHILD:
+        return F.filter(
+            candidates, lambda n: (n["parent_id"] == parent) & compound_matches(step.compound, lambda f: n[f])
+        )
+    return F.filter(candidates, lambda n: compound_matches(step.compound, lambda f: n[f]))
+
+
+def section_matches(section: Section, nodes: Column, scope: Column | None = None) -> Column:
+    """Array of the elements that a section's selector matches in a scope (default: the document), in document order."""
+    # elements lie in document order, so a scope's inside is one slice
+    if scope is None:
+        inside = nodes
+    else:
+        inside = F.slice(nodes, scope["node_id"] + 2, F.greatest(scope["last_id"] - scope["node_id"], F.lit(0)))
+
+    def chain(candidates: Column) -> Column:
+        found = _first_step(section.steps[0], candidates, scope)
+
+        def more(found: Column, k: int) -> Column:
+            if k == len(section.steps):
+                return F.slice(found, 1, 1) if section.first else found
+            return _let(found, lambda f: more(_step(section.steps[k], candidates, f), k + 1))
+
+        return more(found, 1)
+
+    return chain(inside) if scope is None else _let(inside, chain)
+
+
+def query_matches(query: Query, nodes: Column) -> Column:
+    """Array of (section, path) of all matches: path holds the element numbers from the root match on."""
+    numbers = {id(s): n for n, _, s in query.sections()}
+
+    def matches(section: Section, scope: Column | None, path: Column | None) -> Column:
+        def own(found: Column) -> Column:
+            def entry(n: Column) -> Column:
+                way = F.array(n["node_id"]) if path is None else F.concat(path, F.array(n["node_id"]))
+                return F.struct(F.lit(numbers[id(section)]).alias("section"), way.alias("path"))
+
+            here = F.transform(found, entry)
+            if not section.children:
+                return here
+
+            def inner(n: Column) -> Column:
+                way = F.array(n["node_id"]) if path is None else F.concat(path, F.array(n["node_id"]))
+                return F.concat(*[matches(c, n, way) for c in section.children])
+
+            return F.concat(here, F.flatten(F.transform(found, inner)))
+
+        return _let(section_matches(section, nodes, scope), own)
+
+    return matches(query.root, None, None)
