@@ -55,6 +55,12 @@ def nodes_array(doms: list[Dom]) -> pa.Array:
     return _list([len(d) for d in doms], struct)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores, if it has fewer; larger inputs are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def with_dom(df: DataFrame, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
     """``keep`` (default: the other columns) with the parsed document. Narrow, so it also runs on streams.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from twigline.functions import attribute, attribute_map, has_attribute, match_json
 from twigline.operators.extract import elements, extract, nested, select_matches, with_ordinal
-from twigline.operators.parse import html_events, html_nodes, register_sql
+from twigline.operators.parse import html_events, html_nodes, register_sql, spread
 from twigline.query import Query, Save, query
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,7 +26,7 @@ PARAS = (
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
+    return spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"))
 
 
 def register(name: str, sql: str | None = None):  # noqa: ANN201
