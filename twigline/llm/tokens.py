@@ -3,7 +3,7 @@
 The vocabulary drops white space and never merges across it, so the ids of a text are the ids of its
 white-space-separated words, one after the other.  Each distinct word is encoded once per worker by the library and
 remembered; plain words (ASCII without apostrophes, Latin-1 letters) are cut into the pieces its own splitting pattern
-makes of them, and the distinct pieces are encoded together in one call.  Everything else goes through the complete
+makes of them, and the pieces of many words are encoded in one call.  Everything else goes through the complete
 tokenizer.  Texts with characters that Python and the library class differently as white space are encoded whole.
 """
 
@@ -12,17 +12,18 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 
-#: Words remembered by one worker before it starts afresh (about 60 MB).
-CACHE_WORDS = 400_000
+#: Words remembered by one worker before it starts afresh (about 130 MB).
+CACHE_WORDS = 700_000
 #: Longer texts are walked in slices of about so many characters, cut at white space.
 SLICE_CHARS = 1 << 20
 END_ID = 1
 
-_PLAIN = re.compile("[!-&(-~À-ÖØ-öø-ÿ]+")
-_PIECES = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+_NOT_PLAIN = re.compile("[^!-&(-~À-ÖØ-öø-ÿ]")
+_PIECES = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 _SPACE = re.compile(r"\s")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 
@@ -62,46 +63,47 @@ class WordEncoder:
             [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
         self.vocab_size = self.full.get_vocab_size()
-        self.ends = np.zeros(self.vocab_size, dtype=bool)
-        for token, i in self.full.get_vocab().items():
-            self.ends[i] = token.endswith("</w>")
+        mark = self.full.encode("'", add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
         self.words = _Cache()
 
     def _learn(self) -> None:
-        plain: dict[str, list[str]] = {}
-        rest = []
-        for word in self.words.unknown:
-            if _PLAIN.fullmatch(word):
-                plain[word] = _PIECES.findall(word.lower())
-            else:
-                rest.append(word)
-        known: dict[str, bytes] = {}
-        distinct = list({p for pieces in plain.values() for p in pieces})
-        for at in range(0, len(distinct), 2000):
-            some = distinct[at : at + 2000]
-            ids = np.array(self.pieces.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(some):
-                known.update((p, x.tobytes()) for p, x in zip(some, np.split(ids, stops[:-1]), strict=True))
-            else:  # a piece whose last token lacks the end mark; one call each
-                for p, e in zip(some, self.full.encode_batch(some, add_special_tokens=False), strict=True):
-                    known[p] = np.array(e.ids, dtype="<u4").tobytes()
-        for word, pieces in plain.items():
-            self.words[word] = b"".join([known[p] for p in pieces])
+        unknown = list(self.words.unknown)
+        self.words.unknown.clear()
+        if self.mark is None:
+            plain, rest = [], unknown
+        else:
+            plain, rest = [], []
+            for word in unknown:
+                (rest if _NOT_PLAIN.search(word) else plain).append(word)
+        for at in range(0, len(plain), 2000):
+            some = plain[at : at + 2000]
+            # every piece stands alone between spaces; an apostrophe, which no plain word holds, parts the words
+            text = " ".join(_PIECES.findall(" ' ".join(some).lower()))
+            ids = np.array(self.pieces.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+            marks = np.flatnonzero(ids == self.mark)
+            if len(marks) != len(some) - 1:
+                rest += some
+                continue
+            raw = ids.tobytes()
+            starts = [0, *(4 * marks + 4).tolist()]
+            stops = [*(4 * marks).tolist(), len(raw)]
+            self.words.update((w, raw[i:j]) for w, i, j in zip(some, starts, stops, strict=True))
         for at in range(0, len(rest), 1000):
             some = rest[at : at + 1000]
             for word, e in zip(some, self.full.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 self.words[word] = np.array(e.ids, dtype="<u4").tobytes()
-        self.words.unknown.clear()
 
-    def _encode_words(self, words: list[str]) -> bytes:
-        found = list(map(self.words.__getitem__, words))
-        if self.words.unknown:
-            self._learn()
-            found = list(map(self.words.__getitem__, words))
+    def _encode_words(self, words: list[str]) -> list[bytes]:
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
-        return b"".join(found)
+        known = self.words
+        found = list(map(known.__getitem__, words))
+        if known.unknown:
+            self._learn()
+            for i in [i for i, x in enumerate(found) if x is None]:
+                found[i] = known[words[i]]
+        return found
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of the whole text as little-endian unsigned 32-bit integers; none for None."""
@@ -109,19 +111,25 @@ class WordEncoder:
             return np.empty(0, dtype="<u4")
         if _ODD_SPACE.search(text):
             return np.array(self.full.encode(text, add_special_tokens=False).ids, dtype="<u4")
-        return np.frombuffer(b"".join(self._encode_words(s.split()) for s in _slices(text)), dtype="<u4")
+        return np.frombuffer(b"".join([b"".join(self._encode_words(s.split())) for s in _slices(text)]), dtype="<u4")
 
     def encode_document(self, text: str | None, end_id: int = END_ID) -> np.ndarray:
         return np.append(self.encode(text), np.array([end_id], dtype="<u4"))
 
     def encode_documents(self, texts: list[str | None], end_id: int = END_ID) -> list[np.ndarray]:
-        """As ``encode_document`` for each; unknown words of all short texts are learnt together."""
-        words = [w for t in texts if t and len(t) <= SLICE_CHARS and not _ODD_SPACE.search(t) for w in t.split()]
-        if words:
-            list(map(self.words.__getitem__, words))
-            if self.words.unknown:
-                self._learn()
-        return [self.encode_document(t, end_id) for t in texts]
+        """As ``encode_document`` for each; the words of all short texts are looked up together."""
+        short = [t if t and len(t) <= SLICE_CHARS and not _ODD_SPACE.search(t) else None for t in texts]
+        words = [t.split() if t else [] for t in short]
+        found = self._encode_words(list(chain.from_iterable(words)))
+        end = np.array([end_id], dtype="<u4").tobytes()
+        out, at = [], 0
+        for t, s, w in zip(texts, short, words, strict=True):
+            if s is None and t:
+                out.append(self.encode_document(t, end_id))
+                continue
+            out.append(np.frombuffer(b"".join(found[at : at + len(w)]) + end, dtype="<u4"))
+            at += len(w)
+        return out
 
 
 def _slices(text: str) -> Iterator[str]:
