@@ -27,7 +27,9 @@ MAX_LISTS = 4096
 SUBSPACE_WIDTH = 4
 CODES = 256
 #: Candidates ranked exactly, for each query and block of a list.
-REFINE = 64
+REFINE = 32
+#: Share of the lists that a query looks into, where there are over ``ALL_LISTS`` of them.
+PROBE_SHARE, ALL_LISTS = 0.75, 16
 #: Distinct vectors of a list, and queries on it, that are handled together.
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 2048
 
@@ -93,12 +95,12 @@ def train(sample: np.ndarray, lists: int, seed: int = 11) -> IvfPq:
 
 
 def list_count(classes: int) -> int:
-    return max(1, min(MAX_LISTS, round(2 * math.sqrt(classes))))
+    return max(1, min(MAX_LISTS, round(math.sqrt(classes) / 4)))
 
 
 def probe_count(lists: int) -> int:
-    """Lists that a query looks into: all of a few, then a slowly growing number."""
-    return lists if lists <= 32 else min(lists, 24 + round(math.sqrt(lists) * 2.5))
+    """Lists that a query looks into: all of a few, then a fixed share."""
+    return lists if lists <= ALL_LISTS else math.ceil(PROBE_SHARE * lists)
 
 
 def usable(vec: str | Column) -> Column:
