@@ -69,7 +69,12 @@ def write_blob(doc_ids: list[int | None], docs: list[np.ndarray], bits: int, blo
     """One file's bytes."""
     ends = np.cumsum([0, *map(len, docs)], dtype=np.uint64)
     ids = np.concatenate(docs) if docs else np.empty(0, dtype=np.uint32)
-    blocks = [pack_bits(ids[at : at + block], bits) for at in range(0, len(ids), block)]
+    if block % 64:
+        raise ValueError("a block needs a multiple of 64 ids")
+    # many blocks are packed in one call: full blocks hold whole groups of 64 ids, so their words follow each other
+    many, words = 16 * block, block // 64 * bits
+    runs = [pack_bits(ids[at : at + many], bits) for at in range(0, len(ids), many)]
+    blocks = [run[at : at + words] for run in runs for at in range(0, len(run), words)]
     keys = np.array([0 if d is None else d for d in doc_ids], dtype="<i8").tobytes()
     nulls = bytes(d is None for d in doc_ids)
     nulls += bytes(-len(nulls) % 8)
@@ -77,7 +82,7 @@ def write_blob(doc_ids: list[int | None], docs: list[np.ndarray], bits: int, blo
     offsets = start + 8 * np.cumsum([0, *map(len, blocks)], dtype=np.uint64)
     head = np.array([bits, block, len(docs), len(ids), len(blocks), int(offsets[-1])], dtype="<u8")
     parts = [MAGIC, head.tobytes(), keys, nulls, ends.astype("<u8").tobytes(), offsets.astype("<u8").tobytes()]
-    return b"".join(parts + [b.astype("<u8").tobytes() for b in blocks])
+    return b"".join(parts + [r.astype("<u8").tobytes() for r in runs])
 
 
 class BitFile:

@@ -75,7 +75,10 @@ class WordEncoder:
         else:
             plain, rest = [], []
             for word in unknown:
-                (rest if _NOT_PLAIN.search(word) else plain).append(word)
+                if word.isascii() and word.isprintable():
+                    (rest if "'" in word else plain).append(word)
+                else:
+                    (rest if _NOT_PLAIN.search(word) else plain).append(word)
         for at in range(0, len(plain), 2000):
             some = plain[at : at + 2000]
             # every piece stands alone between spaces; an apostrophe, which no plain word holds, parts the words
