@@ -134,8 +134,9 @@ def write_token_files(
     """Encode every whole text and write files under ``path`` in ascending order of document id.
 
     One range shuffle by id; a task then streams its documents into files of about ``file_tokens`` tokens, written by
-    Spark's own file writer (its commit protocol, any Hadoop file system).  The first 8 digits in a file's folder name
-    ``shard=...`` are the task's number, the rest the file's number in it, so names sort as the documents do.
+    Spark's own file writer (its commit protocol, any Hadoop file system).  A file's folder is named
+    ``shard=<task><number>-<tokens>``: 8 digits of the task's number and 8 of the file's number in it, so names sort as
+    the documents do, and how many tokens the file holds, so that a reader can place files without opening them.
 
     Null text counts as empty; null ids come first; equal ids are ordered by text; an empty table gives no files.
     """
@@ -159,7 +160,7 @@ def write_token_files(
             nonlocal number, size
             out = pa.RecordBatch.from_arrays(
                 [
-                    pa.array([f"{task:08d}{number:08d}"], pa.string()),
+                    pa.array([f"{task:08d}{number:08d}-{size}"], pa.string()),
                     pa.array([write_blob(keys, held, bits)], pa.binary()),
                 ],
                 ["shard", "value"],
@@ -192,13 +193,17 @@ READ_SCHEMA = "shard string, doc_id long, local_start long, n_tokens long, file_
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """One row per document of the files: its ids (little-endian unsigned 32 bits) and where they start.
 
-    ``start`` counts the ids of all documents before it, over all files; it needs one row per file, not per document.
+    ``start`` counts the ids of all documents before it, over all files; it needs one row per file, not per document,
+    and takes the files' sizes from their names, without reading them.
     """
     from pyspark.sql import Window
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     files = files.filter(F.col("path").contains("/shard="))
-    files = files.select(F.regexp_extract("path", "shard=([0-9]+)", 1).alias("shard"), "content")
+    name = r"/shard=([0-9]+)-([0-9]+)/"
+    shard = F.regexp_extract("path", name, 1).alias("shard")
+    sizes = files.select(shard, F.regexp_extract("path", name, 2).cast("long").alias("n"))
+    files = files.select(shard, "content")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,15 +233,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                     )
                     at = stop
 
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            shards = batch.column(0).to_pylist()
-            tokens = [BitFile(b.as_py()).tokens for b in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.string()), pa.array(tokens, pa.int64())], ["shard", "n"])
-
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    bases = files.mapInArrow(sizes, "shard string, n long")
-    bases = bases.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    bases = sizes.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     docs = files.mapInArrow(read, READ_SCHEMA)
     return docs.join(bases, "shard").select(
         "doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids", "shard"
