@@ -190,9 +190,11 @@ def write_token_files(
 READ_SCHEMA = "shard string, doc_id long, local_start long, n_tokens long, file_tokens long, ids binary"
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
+def read_token_files(spark: SparkSession, path: str, values: tuple[str, ...] = ("ids",)) -> DataFrame:
     """One row per document of the files: its ids (little-endian unsigned 32 bits) and where they start.
 
+    ``values`` are the SQL expressions of ``ids`` to return: what needs only a digest does not carry the ids further.
+
     ``start`` counts the ids of all documents before it, over all files; it needs one row per file, not per document,
     and takes the files' sizes from their names, without reading them.
     """
@@ -235,10 +237,10 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    docs = files.mapInArrow(read, READ_SCHEMA)
-    return docs.join(bases, "shard").select(
-        "doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids", "shard"
-    )
+    docs = files.mapInArrow(read, READ_SCHEMA).selectExpr("shard", "doc_id", "local_start", "n_tokens", *values)
+    start = (F.col("base") + F.col("local_start")).alias("start")
+    rest = [c for c in docs.columns if c not in ("shard", "doc_id", "local_start", "n_tokens")]
+    return docs.join(bases, "shard").select("doc_id", start, "n_tokens", *rest, "shard")
 
 
 def op3_token_files(spark, sf_dir):  # noqa: ANN001, ANN201
@@ -247,5 +249,5 @@ def op3_token_files(spark, sf_dir):  # noqa: ANN001, ANN201
 
     path = scratch_path(spark, "token-files")
     write_token_files(table(spark, sf_dir, "documents"), path)
-    back = read_token_files(spark, path)
-    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    back = read_token_files(spark, path, values=("crc32(ids) AS ids_crc32",))
+    return back.drop("shard")
