@@ -5,7 +5,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes e
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twigline.llm.common import scratch_path, stable_key, table
@@ -16,6 +16,8 @@ from twigline.llm.simhash import simhash_components
 
 #: Factors on the expected tokens of each domain: clean text is kept and slightly repeated, toxic text thinned out.
 MIX_GAINS = {"good": 1.05, "low": 1.0, "toxic": 0.25}
+#: A document is taken less than once only if it is toxic with at least this probability.
+TOXIC_FROM = 0.9
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,11 +35,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return kept.dropDuplicates(["doc_id"]).select(*docs.columns)
 
 
+def kept_rate() -> Column:
+    """The fitted rate, but not below 1 unless the document is toxic almost for sure."""
+    return F.when(F.col("p_toxic") >= TOXIC_FROM, F.col("rate")).otherwise(F.greatest(F.lit(1.0), F.col("rate")))
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its rate says: the whole part, and once more with the rest as probability."""
     rates = mixing_rates(docs, table(spark, sf_dir, "labels"), gains=MIX_GAINS, keep=docs.columns)
     chance = F.shiftrightunsigned(stable_key("doc_id"), 11) / float(1 << 53)
-    copies = F.floor(F.col("rate") + chance).cast("int")
+    copies = F.floor(kept_rate() + chance).cast("int")
     out = rates.withColumn("_copies", copies).filter("_copies > 0")
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 

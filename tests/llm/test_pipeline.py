@@ -31,3 +31,12 @@ def test_stages_take_effect(spark, tmp_path):
             assert set(range(120)) <= ids | {2000} and len(ids) < 149
     got = pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in got.collect()} <= set(range(120)) | set(range(1000, 1030))
+
+
+def test_mixing_keeps_what_is_not_surely_toxic(spark, tmp_path, monkeypatch):
+    rows = [(i, "t", p, 0.0) for i, p in enumerate([0.0, 0.5, 0.89, 0.9])]
+    rated = spark.createDataFrame(rows, "doc_id long, text string, p_toxic double, rate double")
+    monkeypatch.setattr(pipeline, "mixing_rates", lambda *a, **k: rated)
+    monkeypatch.setattr(pipeline, "table", lambda *a: None)
+    out = pipeline.mixing(spark, rated.select("doc_id", "text"), "")
+    assert sorted(r.doc_id for r in out.collect()) == [0, 1, 2]

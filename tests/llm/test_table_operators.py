@@ -189,3 +189,18 @@ def test_sql(spark, name):
     assert columns == sorted(b.columns)
     clean = lambda x: sorted(map(tuple, x[columns].astype(str).to_numpy().tolist()))
     assert clean(a) == clean(b)
+
+
+def test_evidence_of_the_whole_text_counts(spark):
+    docs, labels = labelled(spark)
+    long = [(700, " ".join(["of it we on"] * 300 + ["moron trash loser"]), 5), (701, " ".join(["of it we on"] * 300 + ["apple river stone"]), 5)]
+    model = mixing.train_domains(docs, labels)
+    out = {r.doc_id: r for r in mixing.memberships(docs.unionByName(spark.createDataFrame(long, docs.schema)), model, ["doc_id"]).collect()}
+    assert out[700].p2 > 90 and out[701].p0 > 90
+
+
+def test_temperature_softens_scores_that_mislead():
+    right = [(d, [0.0, 9.0 * (d == 1), 0.0]) for d in (0, 1)] * 20
+    priors = [np.log(0.5), np.log(0.4), np.log(0.1)]
+    assert mixing.fit_temperature([], priors) == 1 and mixing.fit_temperature(right, priors) < 1.1
+    assert mixing.fit_temperature([*right, *[(0, [0.0, 9.0, 0.0])] * 10], priors) > 5

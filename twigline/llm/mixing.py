@@ -1,7 +1,7 @@
 """Mixing sources to target weights by soft membership (operator 10).
 
-A labelled table trains a classifier of domains (multinomial naive Bayes over hashed words); every document gets
-posteriors over the domains; projected-gradient least squares then fits nonnegative rates of documents so that the
+A labelled table trains a classifier of domains (multinomial naive Bayes over hashed words, softened by a temperature
+that is fitted on held-out labels); every document gets posteriors over the domains from its whole text; projected-gradient least squares then fits nonnegative rates of documents so that the
 expected tokens of each domain, summed over all documents, match their targets.
 
 DataFrame functions only.  Posteriors are kept in steps of 1/``GRID``, so a rate, which depends on posteriors alone, is
@@ -22,8 +22,10 @@ DOMAINS = ("good", "low", "toxic")
 BUCKETS = 1 << 13
 #: Labelled rows that the classifier is fitted on, at most.
 LABEL_ROWS = 20_000
-#: A document counts as so many words of evidence at most, which keeps memberships soft.
-EVIDENCE_WORDS = 40.0
+#: One in so many labelled texts is held out to fit the temperature, and its bounds.
+HELD_OUT, COLDEST, HOTTEST = 5, 0.1, 1000.0
+#: All domains together weigh so much, of their counts, in each domain's: rare words say little.
+SHRINK = 0.1
 GRID = 100
 STEPS = 100
 TOLERANCE = 1e-6
@@ -35,60 +37,95 @@ def domain_of() -> Column:
 
 
 def features(text: Column) -> Column:
-    """Buckets of a text's words (letters, lower case) and of its runs of other signs."""
+    """Buckets of a text's words (letters, lower case) and of its runs of other signs, each once."""
     bucket = lambda x: F.pmod(F.xxhash64(x), F.lit(BUCKETS)).cast("int")
     words = F.transform(F.split(F.lower(text), "[^\\p{L}]+"), bucket)
     signs = F.transform(F.split(text, "[\\p{L}\\s]+"), lambda x: bucket(F.concat(F.lit("#"), x)))
-    return F.concat(words, signs)
+    return F.array_distinct(F.concat(words, signs))
 
 
 @dataclass
 class DomainModel:
     priors: list[float]  # log
     weights: list[list[float]]  # domain x bucket: log probability against the first domain
+    temperature: float = 1.0  # scores are divided by it: words of a text are not independent
+
+
+def _log_weights(counts: list, held: tuple[bool, ...]) -> list[list[float]]:
+    seen = {d: [0.1] * BUCKETS for d in DOMAINS}
+    for r in counts:
+        if r["held"] in held:
+            seen[r["domain"]][r["bucket"]] += r["count"]
+    pooled = [SHRINK * sum(c) for c in zip(*seen.values(), strict=True)]
+    extra = sum(pooled)
+    totals = {d: math.log(sum(seen[d]) + extra) for d in DOMAINS}
+    logs = {d: [math.log(c + q) - totals[d] for c, q in zip(seen[d], pooled, strict=True)] for d in DOMAINS}
+    return [[round(a - b, 4) for a, b in zip(logs[d], logs[DOMAINS[0]], strict=True)] for d in DOMAINS]
+
+
+def fit_temperature(scored: list[tuple[int, list[float]]], priors: list[float]) -> float:
+    """The temperature from COLDEST to HOTTEST with the least log loss on (domain, scores); the loss is convex in its inverse."""
+    if not scored:
+        return 1.0
+
+    def loss(cold: float) -> float:
+        out = 0.0
+        for d, scores in scored:
+            logits = [a + cold * x for a, x in zip(priors, scores, strict=True)]
+            top = max(logits)
+            out += top + math.log(sum(math.exp(x - top) for x in logits)) - logits[d]
+        return out
+
+    low, high = 1 / HOTTEST, 1 / COLDEST
+    for _ in range(30):
+        a, b = low + (high - low) / 3, high - (high - low) / 3
+        low, high = (low, b) if loss(a) <= loss(b) else (a, high)
+    return 2 / (low + high)
 
 
 def train_domains(docs: DataFrame, labels: DataFrame, label_rows: int = LABEL_ROWS) -> DomainModel:
-    """From at most ``label_rows`` labelled documents, chosen by a hash of the id; words are counted in the cluster."""
+    """From at most ``label_rows`` labelled documents, chosen by a hash of the id; words are counted in the cluster.
+
+    The temperature is fitted on held-out texts with the weights of the others; the model's weights are those of all.
+    """
     sample = labels.select("doc_id", domain_of().alias("domain")).filter("doc_id is not null and domain is not null")
     sample = sample.orderBy(stable_key("doc_id"), "doc_id", "domain").limit(label_rows).distinct()
     rows = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(sample), "doc_id")
-    rows = rows.select("domain", F.explode(features(F.col("text"))).alias("bucket"))
-    counts = rows.groupBy("domain", "bucket").count().collect()  # at most domains x BUCKETS rows
+    # copies of a text are held out together
+    rows = rows.withColumn("held", F.pmod(stable_key("text"), F.lit(HELD_OUT)) == 0)
+    words = rows.select("domain", "held", F.explode(features(F.col("text"))).alias("bucket"))
+    counts = words.groupBy("domain", "held", "bucket").count().collect()  # at most 2 x domains x BUCKETS rows
     of = sample.groupBy("domain").count().collect()
     n = {d: 1.0 for d in DOMAINS}
     for r in of:
         n[r["domain"]] += r["count"]
-    seen = {d: [0.1] * BUCKETS for d in DOMAINS}
-    for r in counts:
-        seen[r["domain"]][r["bucket"]] += r["count"]
-    logs = {d: [math.log(c) - math.log(sum(seen[d])) for c in seen[d]] for d in DOMAINS}
-    base = logs[DOMAINS[0]]
     every = sum(n.values())
-    return DomainModel(
-        [math.log(n[d] / every) for d in DOMAINS],
-        [[round(a - b, 4) for a, b in zip(logs[d], base, strict=True)] for d in DOMAINS],
-    )
+    priors = [math.log(n[d] / every) for d in DOMAINS]
+    scored = rows.filter("held").select("doc_id", "domain", features(F.col("text")).alias("_f"))
+    scored = scored.select("doc_id", "domain", F.struct(*_scores(_log_weights(counts, (False,)))).alias("s"))
+    scored = scored.groupBy("doc_id", "domain").agg(F.min("s").alias("s")).collect()  # at most label_rows rows
+    temperature = fit_temperature([(DOMAINS.index(r["domain"]), [0.0, *r["s"]]) for r in scored], priors)
+    return DomainModel(priors, _log_weights(counts, (False, True)), temperature)
 
 
 def _sum_of(array: Column, places: str) -> Column:
     return F.aggregate(places, F.lit(0.0), lambda acc, i: acc + F.element_at(array, i + 1))
 
 
+def _scores(weights: list[list[float]]) -> list[Column]:
+    """_s1, _s2, ...: sums of the weights over the buckets in _f."""
+    # one literal each, folded by the optimiser
+    arrays = [F.split(F.lit(",".join(map(str, w))), ",").cast("array<double>") for w in weights[1:]]
+    return [_sum_of(a, "_f").alias(f"_s{d}") for d, a in enumerate(arrays, 1)]
+
+
 def memberships(docs: DataFrame, model: DomainModel, keep: list[str]) -> DataFrame:
     """``keep``, tokens (words) and p0, p1, ...: posteriors in whole steps of 1/GRID that add up to GRID."""
     rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_t"))
     rows = rows.select(*keep, features(F.col("_t")).alias("_f"), F.size(F.filter(F.split(F.trim("_t"), "\\s+"), lambda x: x != "")).alias("tokens"))
-    scores = []
-    for d in range(1, len(DOMAINS)):
-        # one literal, folded by the optimiser
-        weights = F.lit(",".join(map(str, model.weights[d])))
-        array = F.split(weights, ",").cast("array<double>")
-        scores.append(_sum_of(array, "_f").alias(f"_s{d}"))
-    rows = rows.select(*keep, "tokens", F.size("_f").alias("_n"), *scores)
-    scale = F.lit(EVIDENCE_WORDS) / F.greatest(F.lit(EVIDENCE_WORDS), F.col("_n").cast("double"))
+    rows = rows.select(*keep, "tokens", *_scores(model.weights))
     logits = [F.lit(model.priors[0])] + [
-        F.lit(model.priors[d]) + scale * F.col(f"_s{d}") for d in range(1, len(DOMAINS))
+        F.lit(model.priors[d]) + F.col(f"_s{d}") / model.temperature for d in range(1, len(DOMAINS))
     ]
     rows = rows.select(*keep, "tokens", *[x.alias(f"_l{d}") for d, x in enumerate(logits)])
     top = F.greatest(*[F.col(f"_l{d}") for d in range(len(DOMAINS))])
