@@ -12,7 +12,7 @@ from twigline.llm.common import scratch_path, stable_key, table
 from twigline.llm.langid import predict_language, train_language_model
 from twigline.llm.mixing import mixing_rates
 from twigline.llm.packing import pack_documents
-from twigline.llm.simhash import simhash_components
+from twigline.llm.simhash import simhash_survivors, text_hash
 
 #: Factors on the expected tokens of each domain: clean text is kept and slightly repeated, toxic text thinned out.
 MIX_GAINS = {"good": 1.05, "low": 1.0, "toxic": 0.25}
@@ -28,11 +28,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest id (one row of it)."""
-    groups = simhash_components(docs)
-    first = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One row of each group of near-duplicates: that with the smallest id, nulls last, then the smallest text hash."""
+    first = simhash_survivors(docs).withColumnsRenamed({"doc_id": "_id", "text_hash": "_first"})
+    rows = docs.withColumn("_hash", text_hash("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_hash").eqNullSafe(F.col("_first"))
+    kept = rows.join(first, same, "left_semi")
+    return kept.dropDuplicates(["doc_id", "_hash"]).select(*docs.columns)
 
 
 def kept_rate() -> Column:

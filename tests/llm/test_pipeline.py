@@ -40,3 +40,13 @@ def test_mixing_keeps_what_is_not_surely_toxic(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(pipeline, "table", lambda *a: None)
     out = pipeline.mixing(spark, rated.select("doc_id", "text"), "")
     assert sorted(r.doc_id for r in out.collect()) == [0, 1, 2]
+
+
+def test_near_duplicates_keep_one_row_of_every_group(spark):
+    rng = random.Random(10)
+    a, b, c, d = [" ".join(rng.choices([f"w{i}" for i in range(500)], k=150)) for _ in range(4)]
+    rows = [(None, a), (None, a), (None, b), (5, b), (7, c), (7, d), (7, d), (9, d + " tail"), (None, None), (None, "")]
+    df = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string")
+    got = [(r.doc_id, r.text) for r in pipeline.near_duplicates(spark, df, "").collect()]
+    assert len(got) == 5 and {(None, a), (5, b), (7, c), (7, d)} < set(got) and not [t for i, t in got if (i, t) not in rows]
+    assert pipeline.near_duplicates(spark, df.filter("false"), "").count() == 0

@@ -18,7 +18,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twigline.llm.common import staged
@@ -56,16 +56,25 @@ def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
     return int(sum(1 << i for i in np.flatnonzero(2 * votes > n).tolist()))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): fp is the 64-bit fingerprint as a signed long. Narrow; reads whole texts."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False) -> DataFrame:
+    """(doc_id, fp): fp is the 64-bit fingerprint as a signed long, and text_hash if asked. Narrow; reads whole texts."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    if hashed:
+        rows = rows.select("doc_id", text_hash("text").alias("text_hash"), "text")
+    names = rows.columns[:-1]
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py()) for t in batch.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            *kept, texts = batch.columns
+            fps = np.array([fingerprint(t.as_py()) for t in texts], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(fps.view(np.int64))], [*names, "fp"])
 
-    return rows.mapInArrow(compute, "doc_id long, fp long")
+    return rows.mapInArrow(compute, "doc_id long, text_hash string, fp long" if hashed else "doc_id long, fp long")
+
+
+def text_hash(text_col: str) -> Column:
+    """128 bits of a text as a string; null for null."""
+    return F.md5(F.col(text_col).cast("string"))
 
 
 def popcount(x: np.ndarray) -> np.ndarray:
@@ -268,6 +277,26 @@ def _walk(fps: DataFrame, depth: int, lead_budget: int, budget: int, node_size:
     return rows.groupBy("node", "cell", "mask", "cell_mask", "split").applyInPandas(join, "u long, v long")
 
 
+def _rooted(by_fp: DataFrame, max_distance: int) -> DataFrame:
+    """(fp, first, root): the component of every distinct fingerprint."""
+    links = fingerprint_links(by_fp, by_fp.count(), max_distance)
+    roots = connected_components(links)
+    named = by_fp.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    return staged(named.select("fp", "first", F.coalesce("root", "fp").alias("root")), "roots")
+
+
+def simhash_survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """(doc_id, text_hash) of one row of every component: the smallest id, nulls last, then the smallest hash.
+
+    Rows of one id with different texts may be of different components; null ids are told apart by their texts.  Rows
+    equal in id and text are one component and one key.  Null and empty texts are one component with all that is near.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    by_fp = fingerprints(docs, id_col, text_col, hashed=True).groupBy("fp").agg(F.min(key).alias("first"))
+    named = _rooted(staged(by_fp, "distinct"), max_distance)
+    return named.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.text_hash")
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = MAX_DISTANCE) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs``.
 
@@ -278,10 +307,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     by_doc = staged(fingerprints(docs, id_col, text_col), "fingerprints")
     by_fp = staged(by_doc.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    links = fingerprint_links(by_fp, by_fp.count(), max_distance)
-    roots = connected_components(links)
-    named = by_fp.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    named = staged(named.select("fp", "first", F.coalesce("root", "fp").alias("root")), "roots")
+    named = _rooted(by_fp, max_distance)
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     of_fp = named.join(least, "root").select("fp", "component_id")
     out = by_doc.join(of_fp, "fp")
