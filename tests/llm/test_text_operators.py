@@ -119,6 +119,16 @@ def test_main_text_without_article():
     assert got.count("\n\n") == 4 and "Entry" not in got
 
 
+def test_main_text_goes_on_after_furniture():
+    story = [f"Part {i}: {'A sentence of the story. ' * 16}".strip() for i in range(25)]
+    end = "The closing paragraph. " * 80
+    ad = "<div class=ad>Buy</div>"
+    menu = "<div>" + "".join(f"<div><a href=x>Entry {i}</a></div>" for i in range(12)) + "</div>"
+    paragraphs = "".join(f"<p>{x}</p>" for x in story)
+    got = maintext.main_text(f"<body>{menu}<div><h1>Head</h1>{ad}{paragraphs}{ad}<p>{end}</p>{menu}<p>Fin.</p></div>{menu}")
+    assert got == "\n\n".join(["Head", *story, end.strip(), "Fin."])
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "</p>", "<!--", "<div class='", "<script>x", "<a href=\"x>y", "<" * 2000])
 def test_main_text_of_odd_pages(page):
     assert isinstance(maintext.main_text(page), str)

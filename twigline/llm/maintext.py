@@ -3,7 +3,8 @@
 Markup is stripped into lines, one for each block of the page.  Lines of page furniture (menus, headers, footers,
 sidebars, notices, adverts, forms, comments of readers) and link texts outside the article count as blank.  Over the
 lines' text lengths a window of ``WINDOW`` lines slides; where its sum rises above zero the text surges, where it falls
-to zero it dives, and the lines between a surge and its dive are one stretch.  Stretches with enough text are kept.
+to zero it dives, and the lines between a surge and its dive are one stretch.  Every stretch is kept, however short:
+furniture amid the text splits it.
 """
 
 from __future__ import annotations
@@ -17,8 +18,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 3
-#: Characters a stretch needs outside an article, and its least share of the longest stretch.
-LEAST_CHARS, LEAST_SHARE = 80, 0.2
 
 # Element classes of HTML: fixed names of the language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -71,13 +70,12 @@ def _is_furniture(name: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def page_lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
-    """(text, length without links, in an article) of every line; furniture gives blank lines. Any article at all?"""
+def page_lines(page: str) -> list[tuple[str, int, bool]]:
+    """(text, length without links, in an article) of every line; furniture gives blank lines."""
     lines: list[tuple[str, int, bool]] = []
     parts: list[str] = []
     links: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # name, furniture, article
-    any_article = False
     at, n = 0, len(page)
     furniture = articles = anchors = 0
 
@@ -175,21 +173,19 @@ def page_lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
             if dropped and not furniture:
                 end_line()
                 blank()
-            any_article |= article
             stack.append((name, dropped, article))
             furniture += dropped
             articles += article
     pop_to(0)
-    return lines, any_article
+    return lines
 
 
 def main_text(page: str | None) -> str:
     """The kept lines in page order, joined by two line ends; empty if none."""
-    lines, any_article = page_lines(page or "")
+    lines = page_lines(page or "")
     if any(a for _, _, a in lines):
         sizes = [len(t) if a else 0 for t, _, a in lines]
     else:
-        any_article = False
         sizes = [k for _, k, _ in lines]
     n = len(sizes)
     sums = [sum(sizes[max(0, i - WINDOW // 2) : i + WINDOW // 2 + 1]) for i in range(n)]
@@ -203,10 +199,8 @@ def main_text(page: str | None) -> str:
         while i < n and sums[i]:
             i += 1
         filled = [k for k in range(surge, i) if sizes[k]]
-        stretches.append((filled[0], filled[-1] + 1, sum(sizes[filled[0] : filled[-1] + 1])))
-    most = max((s for _, _, s in stretches), default=0)
-    kept = [s for s in stretches if any_article or s[2] >= max(LEAST_SHARE * most, min(LEAST_CHARS, most))]
-    return "\n\n".join(t for a, b, _ in kept for t, _, _ in lines[a:b] if t)
+        stretches.append((filled[0], filled[-1] + 1))
+    return "\n\n".join(t for a, b in stretches for t, _, _ in lines[a:b] if t)
 
 
 def extract_main_text(df: DataFrame, html_col: str = "html", into: str = "text") -> DataFrame:
