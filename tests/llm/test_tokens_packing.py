@@ -1,24 +1,27 @@
+import json
 import random
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
+from twigline.llm import queries, tokens
 from twigline.llm.bitpack import BitFile, pack_bits, read_token_files, unpack_bits, vocabulary_bits, write_blob, write_token_files
 from twigline.llm.packing import CapacityTree, first_fit_decreasing, pack_documents
-from twigline.llm.tokens import WordEncoder, encoder
+from twigline.llm.tokens import WordEncoder, default_path, encoder
 
 ODD = [
-    None, "", " ", "don't stop'll", "A\x1cB a", "ÉÈ ŸŒ İstanbul ΣΑΣ ﬁ ½²ª º µ", "<|endoftext|> x", "naïve é ́x 日本語 123abc 1,234.5 a'b 'tis",
-    "x" * 5000, "the  ,the ''' '", "😀😀 a😀b", "\x85a\x00b\x7f c", "word " * 6000,
+    None, "", " ", "don't stop'll", "A\x1cB a", "ÉÈ ŸŒ İstanbul ΣΑΣ ﬁ ½²ª º µ", "<|endoftext|> x", "a<|startoftext|>b<|ENDOFTEXT|>", "<|end of|text|>", "naïve é ́x 日本語 123abc 1,234.5 a'b 'tis",
+    "x" * 5000, "the  ,the ''' '", "😀😀 a😀b", "\x85a\x00b\x7f c", "a\u2003b\xa0c\u180ed\u200be\u3000f", "\ufeffa \u2028b", "word " * 6000,
 ]
 
 
 @pytest.fixture(scope="module")
 def truth():
-    full = WordEncoder().full
-    return lambda t: np.array([*full.encode(t or "", add_special_tokens=False).ids, 1], dtype="<u4")
+    stock = Tokenizer.from_file(default_path())
+    return lambda t: np.array([*stock.encode(t or "", add_special_tokens=False).ids, 1], dtype="<u4")
 
 
 def test_encoder_is_exact(truth):
@@ -29,6 +32,31 @@ def test_encoder_is_exact(truth):
         assert encoder().encode_document(t).tolist() == ids.tolist()
 
 
+def test_other_rules_go_through_the_library(tmp_path, truth):
+    spec = json.loads(open(default_path(), encoding="utf-8").read())
+    texts = [t for t in ODD if t] + ["Case MATTERS here's 12 É"]
+    for key in ("normalizer", "pre_tokenizer"):
+        changed = {**spec, key: {"type": "Lowercase"} if key == "normalizer" else {"type": "WhitespaceSplit"}}
+        path = str(tmp_path / f"{key}.json")
+        with open(path, "w", encoding="utf-8") as f:
+            json.dump(changed, f)
+        other, stock = WordEncoder(path), Tokenizer.from_file(path)
+        assert not other.by_word
+        for t, ids in zip(texts, other.encode_documents(texts), strict=True):
+            assert ids.tolist() == [*stock.encode(t, add_special_tokens=False).ids, 1]
+
+
+def test_caches_stay_bounded(monkeypatch, truth):
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 50)
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 50)
+    enc, rng = WordEncoder(), random.Random(11)
+    for _ in range(30):
+        texts = [" ".join("".join(rng.choices("abc,.é", k=5)) for _ in range(40)) + " " + "y" * 300 for _ in range(3)]
+        for t, ids in zip(texts, enc.encode_documents(texts), strict=True):
+            assert ids.tolist() == truth(t).tolist()
+    assert len(enc.words) < 400 and len(enc.known_pieces) < 400 and "y" * 300 not in enc.words
+
+
 def test_first_fit_decreasing_against_brute_force():
     rng = random.Random(2)
     for _ in range(60):
@@ -102,3 +130,47 @@ def test_token_files(docs, spark, tmp_path, truth):
         at += len(ids)
     write_token_files(df.filter("false"), str(tmp_path / "e"))
     assert read_token_files(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_token_files_of_repeated_ids(docs, spark, tmp_path, truth):
+    df = docs(["one text here", "another"] * 40).withColumn("doc_id", F.when(F.col("doc_id") % 3 > 0, F.lit(7)))
+    write_token_files(df, str(tmp_path / "t"), file_tokens=50)
+    back = read_token_files(spark, str(tmp_path / "t")).orderBy("start").collect()
+    at = 0
+    for r in back:
+        assert r.start == at
+        at += r.n_tokens
+    ids = [r.doc_id for r in back]
+    assert len(back) == 80 and ids == sorted(ids, key=lambda i: (i is not None, i))
+    assert sorted(r.ids for r in back) == sorted([truth("one text here").tobytes(), truth("another").tobytes()] * 40)
+
+
+@pytest.mark.parametrize("name", ["op1_packing", "op3_token_files"])
+def test_queries_against_the_library(spark, truth, name):
+    """Every document of the small table, by the stock tokenizer."""
+    data = "/root/testdata/sf0.001"
+    docs_ = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()}
+    of = {i: truth(t) for i, t in docs_.items()}
+    rows = queries.QUERIES[name](spark, data).collect()
+    if name == "op3_token_files":
+        at = 0
+        for r in sorted(rows, key=lambda r: r.doc_id):
+            assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(of[r.doc_id]), zlib.crc32(of[r.doc_id].tobytes()))
+            at += r.n_tokens
+        assert len(rows) == len(of)
+        return
+    seen = dict.fromkeys(of, 0)
+    used = {}
+    for r in rows:
+        piece = of[r.doc_id][r.start : r.start + r.length]
+        assert (zlib.crc32(piece.tobytes()), r.doc_tokens) == (r.ids_crc32, len(of[r.doc_id]))
+        seen[r.doc_id] += r.length
+        used.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert seen == {i: len(x) for i, x in of.items()}
+    for places in used.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert sum(map(len, of.values())) > 0.97 * 2048 * len(used)

@@ -27,8 +27,8 @@ from twigline.llm.common import scratch_path
 
 MAGIC = b"TWGBITS1"
 BLOCK = 4096
-#: Tokens of one file at most, unless one document has more.
-FILE_TOKENS = 2_000_000
+#: Tokens at which a file is closed.
+FILE_TOKENS = 8_000_000
 
 
 def vocabulary_bits(vocab_size: int) -> int:
@@ -133,16 +133,20 @@ def write_token_files(
 ) -> None:
     """Encode every whole text and write files under ``path`` in ascending order of document id.
 
-    One range shuffle by id; a task then streams its documents into files of about ``file_tokens`` tokens, written by
-    Spark's own file writer (its commit protocol, any Hadoop file system).  A file's folder is named
-    ``shard=<task><number>-<tokens>``: 8 digits of the task's number and 8 of the file's number in it, so names sort as
-    the documents do, and how many tokens the file holds, so that a reader can place files without opening them.
+    One range shuffle by id, then by a hash of the text, so neither a null nor a repeated id fills one task; a task then
+    streams its documents into files of about ``file_tokens`` tokens, written by Spark's own file writer (its commit
+    protocol, any Hadoop file system).  A file's folder is named ``shard=<task><number>-<tokens>``: 8 digits of the
+    task's number and 8 of the file's number in it, so names sort as the documents do, and how many tokens the file
+    holds, so that a reader can place files without opening them twice; it compares the name with the file.
 
-    Null text counts as empty; null ids come first; equal ids are ordered by text; an empty table gives no files.
+    Null text counts as empty; null ids come first; equal ids are ordered by a hash of the text; an empty table
+    gives no files.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first())
-    rows = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    # equal rows are told apart by a row number; which comes first does not show
+    rows = rows.withColumns({"_h": F.xxhash64("text"), "_n": F.monotonically_increasing_id()})
+    order = [F.col("doc_id").asc_nulls_first(), F.col("_h"), F.col("_n")]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -171,9 +175,9 @@ def write_token_files(
             return out
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for run in in_slices(texts):
-                for i, tokens in zip(run, enc.encode_documents([texts[i] for i in run]), strict=True):
+            ids = batch.column(0).to_pylist()
+            for at, texts in in_slices(batch.column(1)):
+                for i, tokens in enumerate(enc.encode_documents(texts), at):
                     keys.append(ids[i])
                     held.append(tokens)
                     size += len(tokens)
@@ -196,7 +200,7 @@ def read_token_files(spark: SparkSession, path: str, values: tuple[str, ...] = (
     ``values`` are the SQL expressions of ``ids`` to return: what needs only a digest does not carry the ids further.
 
     ``start`` counts the ids of all documents before it, over all files; it needs one row per file, not per document,
-    and takes the files' sizes from their names, without reading them.
+    and takes the files' sizes from their names; a file whose own count differs from its name raises.
     """
     from pyspark.sql import Window
 
@@ -204,13 +208,16 @@ def read_token_files(spark: SparkSession, path: str, values: tuple[str, ...] = (
     files = files.filter(F.col("path").contains("/shard="))
     name = r"/shard=([0-9]+)-([0-9]+)/"
     shard = F.regexp_extract("path", name, 1).alias("shard")
-    sizes = files.select(shard, F.regexp_extract("path", name, 2).cast("long").alias("n"))
-    files = files.select(shard, "content")
+    size = F.regexp_extract("path", name, 2).cast("long").alias("n")
+    sizes = files.select(shard, size)
+    files = files.select(shard, size, "content")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for shard, named, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 f = BitFile(blob.as_py())
+                if f.tokens != named:
+                    raise ValueError(f"file {shard} holds {f.tokens} tokens, its name says {named}")
                 at = 0
                 while at < f.docs:
                     stop = at + 1
@@ -235,8 +242,14 @@ def read_token_files(spark: SparkSession, path: str, values: tuple[str, ...] = (
                     )
                     at = stop
 
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    # first sums of the writer's tasks, one row each, then of the files of each task
+    sizes = sizes.withColumn("task", F.substring("shard", 1, 8))
+    by_task = sizes.groupBy("task").agg(F.sum("n").alias("n"))
+    earlier = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    by_task = by_task.select("task", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("task_base"))
+    before = Window.partitionBy("task").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).join(by_task, "task")
+    bases = bases.select("shard", (F.col("task_base") + F.col("base")).alias("base"))
     docs = files.mapInArrow(read, READ_SCHEMA).selectExpr("shard", "doc_id", "local_start", "n_tokens", *values)
     start = (F.col("base") + F.col("local_start")).alias("start")
     rest = [c for c in docs.columns if c not in ("shard", "doc_id", "local_start", "n_tokens")]

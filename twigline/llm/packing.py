@@ -17,6 +17,8 @@ from twigline.llm.common import stable_key
 #: Tokens of one randomised group; bounds a task's memory (16 bytes a token at most).
 GROUP_TOKENS = 2_000_000
 SEQUENCE_TOKENS = 2048
+#: Tasks that equal rows are dealt over.
+SALTS = 1024
 
 
 class CapacityTree:
@@ -79,7 +81,7 @@ def pack_documents(
     """One row per piece of a document, with its place in a sequence and its ids (little-endian unsigned 32 bits).
 
     Documents are shuffled by a hash of id and text, so every group is a random draw; within a task, groups close at
-    ``group_tokens``.  A document is cut at multiples of the sequence length; its full-length pieces are sequences by
+    ``group_tokens``.  Copies of a row are dealt over ``SALTS`` tasks.  A document is cut at multiples of the sequence length; its full-length pieces are sequences by
     themselves, and the remainders of a group are packed by first-fit decreasing.  Sequence ids are unique over the
     table (task number and running number), offsets gapless from 0.
 
@@ -87,7 +89,9 @@ def pack_documents(
     an empty table gives no rows; other columns are ignored, whatever their names.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.withColumn("_h", stable_key("doc_id", "text")).repartition("_h").sortWithinPartitions("_h")
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))
+    rows = rows.withColumns({"_h": stable_key("doc_id", "text"), "_s": salt})
+    rows = rows.repartition("_h", "_s").sortWithinPartitions("_h")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -123,9 +127,9 @@ def pack_documents(
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
         for batch in batches:
-            docs_, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for run in in_slices(texts):
-                for i, ids in zip(run, enc.encode_documents([texts[i] for i in run]), strict=True):
+            docs_ = batch.column(0).to_pylist()
+            for at, texts in in_slices(batch.column(1)):
+                for i, ids in enumerate(enc.encode_documents(texts), at):
                     group.append((docs_[i], ids))
                     held += len(ids)
                     if held >= group_tokens:
