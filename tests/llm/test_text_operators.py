@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from twigline.llm import langid, maintext, simhash, tiff
+from twigline.llm import langid, maintext, queries, simhash, tiff
 from twigline.llm.components import connected_components
 
 
@@ -129,6 +129,85 @@ def test_main_text_goes_on_after_furniture():
     assert got == "\n\n".join(["Head", *story, end.strip(), "Fin."])
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<div class="content no-sidebar"><article><p>Hello there</p></article></div>', "Hello there"),
+        ('<article class="post has-sidebar comments-open"><p>Hi you</p></article>', "Hi you"),
+        ('<article><header class="entry-header"><h1>Title</h1></header><p>x y</p></article>', "Title\n\nx y"),
+        ('<article><section id="related-work"><p>Related</p></section><p class="notice-of-sale">Sale</p></article>', "Related\n\nSale"),
+        ("<article><p>for <math><mi>x</mi></math> in y</p></article>", "for x in y"),
+        ("<article><p>one</p></article><p>between</p><article><p>two</p></article>", "one\n\ntwo"),
+        ("<form><h1>T</h1><p>all the text</p></form>", "T\n\nall the text"),
+        ('<article><p>a</p><div id="comment-12" class="comment-list"><p>First!</p></div></article>', "a"),
+        ('<article><p>See <a href=x>this</a></p><p><a href=x>and that</a></p></article>', "See this\n\nand that"),
+    ],
+)
+def test_names_and_containers(page, text):
+    assert maintext.main_text(page) == text
+
+
+def test_surging_text_decides():
+    menu = "".join(f"<div><a href=x>Entry {i}</a></div>" for i in range(5))
+    story = f"<h2>Head</h2><p>{'A sentence of the story. ' * 12}</p><p>{'It goes on. ' * 12}</p>"
+    short = "<div>(c) 2020 Someone</div>"
+    # a short line cut off from the story goes, one beside it stays
+    got = maintext.main_text(f"<body>{short}{menu}<div>{story}</div>{menu}{short}")
+    assert got.startswith("Head") and got.count("\n\n") == 2 and "Someone" not in got
+    # text that surges outside the main block stays
+    far = "<div>" + "Far away text. " * 8 + "</div>"
+    assert maintext.main_text(f"<body><div>{story}</div>{menu}{far}").endswith("Far away text.")
+    # an article that most text lies outside of is no guide
+    assert maintext.main_text(f"<body><article><p>Teaser</p></article>{menu}<div>{story * 3}</div>").count("Head") == 3
+
+
+def plain_surges(sizes, surge, window):
+    half = window // 2
+    sums = [sum(sizes[max(0, i - half) : i + half + 1]) for i in range(len(sizes))]
+    out = [False] * len(sizes)
+    for i in range(len(sizes)):
+        a = b = i
+        while a > 0 and sums[a - 1] > 0:
+            a -= 1
+        while b + 1 < len(sizes) and sums[b + 1] > 0:
+            b += 1
+        out[i] = sums[i] > 0 and max(sums[a : b + 1]) >= min(surge, max(sums))
+    return out
+
+
+def test_surges_against_brute_force():
+    rng = random.Random(12)
+    for _ in range(300):
+        sizes = [rng.choice([0, 0, 0, 0, 3, 20, 90]) for _ in range(rng.randint(0, 40))]
+        for window in (1, 3, 5):
+            assert maintext.surges(np.array(sizes, dtype=np.int64), 60, window).tolist() == plain_surges(sizes, 60, window)
+
+
+def test_main_text_is_linear():
+    import time
+
+    began = time.perf_counter()
+    assert maintext.main_text("<div>" * 40_000 + "deep") == "deep"
+    assert maintext.main_text("<p><b>" * 40_000 + "x") == "x"
+    assert time.perf_counter() - began < 5
+
+
+def test_main_text_query_against_the_template(spark):
+    """All pages of the small table hold one article, cut here by regular expressions."""
+    import html
+    import re
+
+    data = "/root/testdata/sf0.001"
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{data}/pages.parquet").collect()}
+    rows = queries.QUERIES["op7_main_text"](spark, data).collect()
+    assert len(rows) == len(pages)
+    for r in rows:
+        inner = re.search("<article>(.*?)</article>", pages[r.page_id], re.S)[1]
+        blocks = re.sub("<[^>]*>", "", re.sub("<br>", " ", re.sub("</?(?:p|h1|h2|ul|li|div)>", "\0", inner))).split("\0")
+        want = [" ".join(html.unescape(b).split()) for b in blocks]
+        assert r.text == "\n\n".join(b for b in want if b) and r.n_chars == len(r.text)
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "</p>", "<!--", "<div class='", "<script>x", "<a href=\"x>y", "<" * 2000])
 def test_main_text_of_odd_pages(page):
     assert isinstance(maintext.main_text(page), str)
