@@ -72,7 +72,6 @@ def test_builder_shapes():
     ]
     assert query(q.spec()).root == q.root
     assert len(Query.all("a").append(Query.all("b"))) == 2
-    assert Query.first("a").build().exits_early
 
 
 def test_builder_errors():

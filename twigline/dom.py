@@ -1,7 +1,9 @@
 """HTML text to interval-coded element rows, with tolerant recovery from errors.
 
-One pass over the UTF-8 bytes.  Elements come in the order of their start tags; an element's subtree is the run of rows
-from itself to ``last_id``.  Offsets count bytes.  Recursion-free, so nesting may be as deep as it likes.
+``walk`` passes over the UTF-8 bytes once and reports the tags to a sink: ``parse_html`` collects all elements, and
+``twigline.matcher`` evaluates queries on the way.  Elements come in the order of their start tags; an element's subtree
+is the run of rows from itself to ``last_id``.  Offsets count bytes.  Recursion-free, and linear in the tags however
+deep they nest.
 """
 
 from __future__ import annotations
@@ -95,120 +97,192 @@ def parse_attributes(raw: bytes) -> tuple[str | None, str | None, list[tuple[str
     return ident, cls, out
 
 
-def parse_html(html: str | bytes | None, trace: bool = False) -> Dom:
-    """Elements of a document. None gives none."""
-    data = html if isinstance(html, bytes) else (html or "").encode("utf-8", "surrogatepass")
-    dom = Dom(events=[] if trace else None)
+class Sink:
+    """What a walk over a document reports to. ``open`` and ``close`` return True to end the walk there."""
+
+    #: Runs of text, or None if nobody asks for them.
+    text: list[bytes] | None = None
+
+    def open(self, row: int, name: str, attributes: bytes | None, parent: int, depth: int, start: int, inner: int | None, size: int) -> bool:
+        """A start tag at ``start``: ``inner`` is where its content starts (None for void elements), ``size`` the text so far."""
+        raise NotImplementedError
+
+    def close(self, row: int, depth: int, last: int, end: int, size: int, reason: str) -> bool:
+        """The element's content ends at ``end``; ``last`` is the last row inside it."""
+        raise NotImplementedError
+
+
+def walk(data: bytes, sink: Sink) -> bool:
+    """Report a document's elements in the order of their tags; whether the sink ended the walk.
+
+    The open elements are also kept by name, so that no tag has to search them.
+    """
     stack: list[tuple[str, int]] = []  # lower-case name, row
-    chunks: list[bytes] = []
+    places: dict[str, list[int]] = {}  # levels of the open elements of each name
+    known: dict[bytes, tuple[str, str]] = {}  # spellings of names met
+    texts = sink.text
+    opened, closed, search = sink.open, sink.close, _MARKUP.search
     size = 0  # bytes of text so far, with one space after each run
+    rows = 0
     n, at = len(data), 0
-    events = dom.events
-    parent_id, last_id, depth, names = dom.parent_id, dom.last_id, dom.depth, dom.name
-    text_start, text_end, inner_start, inner_end = dom.text_start, dom.text_end, dom.inner_start, dom.inner_end
-    reasons = dom.close_reason
 
-    def add_text(raw: bytes) -> None:
-        nonlocal size
-        run = raw.strip()
-        if run and (run[0] >= 128 or run[-1] >= 128):
-            run = run.decode("utf-8", "replace").strip().encode("utf-8", "replace")
-        if run:
-            chunks.append(run)
-            size += len(run) + 1
+    def find(wanted: tuple[str, ...], scope: str) -> int:
+        """Level of the innermost open element with one of these names in scope, or -1."""
+        level = -1
+        for name in wanted:
+            open_ = places.get(name)
+            if open_ and open_[-1] > level:
+                level = open_[-1]
+        if level < 0:
+            return -1
+        if scope == "select":
+            for between in range(len(stack) - 1, level, -1):
+                if stack[between][0] not in ("option", "optgroup"):
+                    return -1
+            return level
+        for name in BARRIERS[scope]:
+            open_ = places.get(name)
+            if open_ and open_[-1] > level:
+                return -1
+        return level
 
-    def close(level: int, end: int, reason: str) -> None:
+    def close(level: int, end: int, reason: str) -> bool:
         """Close the open elements from ``level`` on; the outermost for ``reason``, those inside it implicitly."""
         while len(stack) > level:
             name, row = stack.pop()
-            last_id[row] = len(names) - 1
-            inner_end[row] = end
-            if size > text_start[row]:
-                text_end[row] = size - 1
-            else:
-                text_start[row] = None
-            why = reason if len(stack) == level or reason == "eof" else ("mismatched" if reason == "end_tag" else reason)
-            reasons[row] = why
-            if events is not None:
-                events.append(("CloseTag" if why == "end_tag" else "ImpliedClose", names[row], len(stack) + 1, end, why))
+            places[name].pop()
+            why = "mismatched" if reason == "end_tag" and len(stack) > level else reason
+            if closed(row, len(stack) + 1, rows - 1, end, size, why):
+                return True
+        return False
 
-    def find(wanted: tuple[str, ...], scope: str) -> int:
-        """Level of the innermost open element with one of these names in scope, or -1."""
-        for level in range(len(stack) - 1, -1, -1):
-            name = stack[level][0]
-            if name in wanted:
-                return level
-            if scope == "select":
-                if name not in ("option", "optgroup"):
-                    return -1
-            elif name in BARRIERS[scope]:
-                return -1
-        return -1
+    def add_text(a: int, b: int) -> None:
+        nonlocal size
+        run = data[a:b].strip()
+        if run and (run[0] >= 128 or run[-1] >= 128):
+            run = run.decode("utf-8", "replace").strip().encode("utf-8", "replace")
+        if run:
+            texts.append(run)
+            size += len(run) + 1
 
     while at < n:
-        lt = data.find(b"<", at)
-        m = None
-        start = at
-        while lt >= 0:
-            m = _MARKUP.match(data, lt)
-            if m:
-                break
-            lt = data.find(b"<", lt + 1)
+        m = search(data, at)
         if not m:
-            add_text(data[start:])
+            if texts is not None:
+                add_text(at, n)
             break
-        if m.start() > start:
-            add_text(data[start : m.start()])
+        start = m.start()
+        if texts is not None and start > at:
+            add_text(at, start)
         at = m.end()
-        end = m["end"]
-        if end is not None:
-            name = end.decode("utf-8", "replace").strip().lower()
-            level = find((name,), SCOPES.get(name, "default"))
-            if level >= 0:
-                close(level, m.start(), "end_tag")
+        kind = m.lastgroup
+        if kind == "end":
+            raw = m["end"]
+            names = known.get(raw)
+            if names is None:
+                low = raw.decode("utf-8", "replace").strip().lower()
+                known[raw] = names = (low, low)
+            low = names[1]
+            if stack and stack[-1][0] == low:
+                level = len(stack) - 1
+            elif places.get(low):
+                level = find((low,), SCOPES.get(low, "default"))
+            else:
+                continue
+            if level >= 0 and close(level, start, "end_tag"):
+                return True
             continue
-        raw = m["name"] or m["name2"]
-        if raw is None:
+        if kind == "attrs":
+            raw, attributes = m["name"], m["attrs"]
+        elif kind == "attrs2":
+            raw, attributes = m["name2"], m["attrs2"]
+        else:
             continue
-        name = raw.decode("utf-8", "replace")
-        low = name.lower()
-        if low in CLOSES_P:
+        names = known.get(raw)
+        if names is None:
+            name = raw.decode("utf-8", "replace")
+            known[raw] = names = (name, name.lower())
+        name, low = names
+        if low in CLOSES_P and places.get("p"):
             level = find(("p",), "default")
-            if level >= 0:
-                close(level, m.start(), "implied")
-        for wanted in IMPLIED.get(low, ()):
-            level = find(wanted, SCOPES[low])
-            if level >= 0:
-                close(level, m.start(), "implied")
-        row = len(names)
-        names.append(name)
-        attrs = m["attrs"] if m["name"] is not None else m["attrs2"]
-        if attrs and not attrs.isspace():
-            ident, cls, rest = parse_attributes(attrs)
-        else:
-            ident, cls, rest = None, None, []
-        dom.id.append(ident)
-        dom.class_.append(cls)
-        dom.attributes.append(rest)
-        parent_id.append(stack[-1][1] if stack else -1)
-        depth.append(len(stack) + 1)
-        last_id.append(row)
+            if level >= 0 and close(level, start, "implied"):
+                return True
+        if low in IMPLIED:
+            for wanted in IMPLIED[low]:
+                level = find(wanted, SCOPES[low])
+                if level >= 0 and close(level, start, "implied"):
+                    return True
         void = low in VOID
-        inner_start.append(None if void else at)
-        inner_end.append(None)
-        text_start.append(None if void else size)
-        text_end.append(None)
-        reasons.append("void" if void else "")
-        if events is not None:
-            events.append(("OpenTag", name, len(stack) + 1, m.start(), None))
+        depth = len(stack) + 1
+        if opened(rows, name, attributes, stack[-1][1] if stack else -1, depth, start, None if void else at, size):
+            return True
+        rows += 1
         if void:
             continue
-        stack.append((low, row))
+        stack.append((low, rows - 1))
+        open_ = places.get(low)
+        if open_ is None:
+            places[low] = [depth - 1]
+        else:
+            open_.append(depth - 1)
         if low == "script":
             stop = _SCRIPT_END.search(data, at)
             to = stop.start() if stop else n
-            add_text(data[at:to])
+            if texts is not None:
+                add_text(at, to)
             at = to
-    close(0, n, "eof")
-    dom.text = b" ".join(chunks)
+    return close(0, n, "eof")
+
+
+class _DomSink(Sink):
+    def __init__(self, dom: Dom) -> None:
+        self.dom = dom
+        self.text = []
+
+    def open(self, row: int, name: str, attributes: bytes | None, parent: int, depth: int, start: int, inner: int | None, size: int) -> bool:
+        dom = self.dom
+        if attributes and not attributes.isspace():
+            ident, cls, rest = parse_attributes(attributes)
+        else:
+            ident, cls, rest = None, None, []
+        dom.name.append(name)
+        dom.id.append(ident)
+        dom.class_.append(cls)
+        dom.attributes.append(rest)
+        dom.parent_id.append(parent)
+        dom.depth.append(depth)
+        dom.last_id.append(row)
+        dom.inner_start.append(inner)
+        dom.inner_end.append(None)
+        dom.text_start.append(None if inner is None else size)
+        dom.text_end.append(None)
+        dom.close_reason.append("void" if inner is None else "")
+        if dom.events is not None:
+            dom.events.append(("OpenTag", name, depth, start, None))
+        return False
+
+    def close(self, row: int, depth: int, last: int, end: int, size: int, reason: str) -> bool:
+        dom = self.dom
+        dom.last_id[row] = last
+        dom.inner_end[row] = end
+        if size > dom.text_start[row]:
+            dom.text_end[row] = size - 1
+        else:
+            dom.text_start[row] = None
+        dom.close_reason[row] = reason
+        if dom.events is not None:
+            dom.events.append(("CloseTag" if reason == "end_tag" else "ImpliedClose", dom.name[row], depth, end, reason))
+        return False
+
+
+def as_bytes(html: str | bytes | None) -> bytes:
+    return html if isinstance(html, bytes) else (html or "").encode("utf-8", "surrogatepass")
+
+
+def parse_html(html: str | bytes | None, trace: bool = False) -> Dom:
+    """All elements of a document. None gives none."""
+    dom = Dom(events=[] if trace else None)
+    sink = _DomSink(dom)
+    walk(as_bytes(html), sink)
+    dom.text = b" ".join(sink.text)
     return dom

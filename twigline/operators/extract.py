@@ -2,40 +2,65 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
+from twigline.matcher import Match, compile_queries, find_matches
 from twigline.operators.parse import DOM, RAW, TEXT, with_dom
-from twigline.plans import joins, local
+from twigline.plans import joins
 from twigline.query import Query, QueryBuilder, Section, as_queries
 
 #: Columns of a match.
-MATCH_COLUMNS = [
-    "query_ix", "section_ix", "selector", "path", "parent_path", "node_id", "depth", "name", "id", "class", "attributes",
-    "inner_html", "text_content",
-]
-
-
-def _bytes(source: str | Column, start: Column, end: Column) -> Column:
-    return F.decode(F.substring(source, start + 1, end - start), "UTF-8")
-
-
-def _content(node: Column, inner: Column, text: Column) -> list[Column]:
-    """Slices of the document and its text, by byte offsets; null for void elements and for no text."""
-    a, b = node["inner_start"], node["inner_end"]
-    s, t = node["text_start"], node["text_end"]
+MATCH_FIELDS = {
+    "query_ix": "int", "section_ix": "int", "selector": "string", "path": "array<int>", "parent_path": "array<int>",
+    "node_id": "int", "depth": "int", "name": "string", "id": "string", "class": "string",
+    "attributes": "array<struct<key:string,value:string>>", "inner_html": "string", "text_content": "string",
+}
+MATCH_COLUMNS = list(MATCH_FIELDS)
+_PAIR = pa.struct([("key", pa.string()), ("value", pa.string())])
+_ARROW = {"int": pa.int32(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
+
+
+def _match_arrays(found: list[Match], selectors: list[list[str]]) -> list[pa.Array]:
+    plans = [m.plan for m in found]
+    pairs = [p for m in found for p in m.attributes]
+    ends = [0]
+    for m in found:
+        ends.append(ends[-1] + len(m.attributes))
+    attributes = pa.StructArray.from_arrays(
+        [pa.array([k for k, _ in pairs], pa.string()), pa.array([v for _, v in pairs], pa.string())], ["key", "value"]
+    )
+    values = {
+        "query_ix": [p.query for p in plans],
+        "section_ix": [p.number for p in plans],
+        "selector": [selectors[p.query][p.number] for p in plans],
+        "path": [m.path for m in found],
+        "parent_path": [m.path[:-1] for m in found],
+        "node_id": [m.path[-1] for m in found],
+        "depth": [m.depth for m in found],
+        "name": [m.name for m in found],
+        "id": [m.id for m in found],
+        "class": [m.class_ for m in found],
+        "inner_html": [m.inner_html for m in found],
+        "text_content": [m.text_content for m in found],
+    }
     return [
-        F.when(inner & a.isNotNull(), _bytes(F.col(RAW), a, b)).alias("inner_html"),
-        F.when(text & s.isNotNull() & t.isNotNull(), _bytes(F.col(TEXT), s, t)).alias("text_content"),
+        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), attributes) if c == "attributes" else pa.array(values[c], _ARROW[k])
+        for c, k in MATCH_FIELDS.items()
     ]
 
 
-def _picked(queries: list[Query], what) -> Column:  # noqa: ANN001
-    """A constant of each (query, section), looked up by the two numbers."""
-    rows = F.array(*[F.array(*[F.lit(what(s)) for _, _, s in q.sections()]) for q in queries])
-    return F.element_at(F.element_at(rows, F.col("query_ix") + 1), F.col("section_ix") + 1)
+def _kept(df: DataFrame, html_col: str, keep: list[str] | None, made: Iterable[str]) -> list[str]:
+    kept = [c for c in df.columns if c != html_col] if keep is None else [c for c in keep if c != html_col]
+    clash = sorted(set(kept) & set(made))
+    if clash:
+        raise ValueError(f"kept columns named as a match's: {clash}; rename them or leave them out of keep")
+    return kept
 
 
 def extract(
@@ -47,48 +72,45 @@ def extract(
 ) -> DataFrame:
     """One row per match of every selector of every query, with the kept columns (default: all but the html).
 
-    ``plan`` "local" evaluates a document's queries inside its row: no shuffle, fit for streams.  "joins" joins element
-    rows instead, for very large documents; it needs ``keep`` to identify a document.
+    ``plan`` "local" evaluates a document's queries while it is parsed, and stops where nothing more can match: no
+    shuffle, fit for streams; only matches leave the Python worker.  "joins" joins element rows instead, for documents
+    whose matches one task should not find alone.  Both give the same rows.
 
     ``path`` names a match by the element numbers of its enclosing matches and its own; ``parent_path`` is the enclosing
-    match's.  ``with_ordinal`` adds a match's place in its scope.  Null html has no matches.
+    match's.  ``with_ordinal`` adds a match's place in its scope.  Null html has no matches; repeated rows have their
+    matches each.
     """
     many = as_queries(queries)
-    kept = [c for c in df.columns if c != html_col] if keep is None else keep
-    clash = sorted(set(kept) & set(MATCH_COLUMNS))
-    if clash:
-        raise ValueError(f"kept columns named as a match's: {clash}; rename them or leave them out of keep")
+    kept = _kept(df, html_col, keep, MATCH_COLUMNS)
     if plan == "joins":
-        return _extract_joined(df, many, html_col, keep)
+        return _extract_joined(df, many, html_col, kept)
     if plan != "local":
         raise ValueError(f"unknown plan {plan!r}")
-    dom = with_dom(df, html_col, keep)
-    keep = [c for c in dom.columns if c not in (DOM, RAW, TEXT)]
-    found = [_tagged(local.query_matches(q, F.col(DOM)), k) for k, q in enumerate(many)]
-    every = found[0] if len(found) == 1 else F.concat(*found)
-    rows = dom.select(*keep, DOM, RAW, TEXT, F.explode(every).alias("m"))
-    rows = rows.select(
-        *keep, RAW, TEXT, F.col("m.query").alias("query_ix"), F.col("m.section").alias("section_ix"), F.col("m.path").alias("path"),
-        F.element_at(DOM, F.element_at("m.path", -1) + 1).alias("n"),
-    )
-    return _shape(rows, many, keep)
-
-
-def _tagged(matches: Column, k: int) -> Column:
-    """The query's number beside each match."""
-    return F.transform(matches, lambda m: F.struct(F.lit(k).alias("query"), m["section"].alias("section"), m["path"].alias("path")))
-
-
-def _shape(rows: DataFrame, many: list[Query], keep: list[str]) -> DataFrame:
-    n = F.col("n")
-    inner, text = _picked(many, lambda s: s.save.inner_html), _picked(many, lambda s: s.save.text_content)
-    path = F.col("path")
-    return rows.select(
-        *keep, "query_ix", "section_ix", _picked(many, lambda s: s.selector).alias("selector"), "path",
-        F.slice(path, F.lit(1), F.size(path) - 1).alias("parent_path"), n["node_id"].alias("node_id"), n["depth"].alias("depth"),
-        n["name"].alias("name"), n["id"].alias("id"), n["class"].alias("class"), n["attributes"].alias("attributes"),
-        *_content(n, inner, text),
-    )
+    schema = df.select(*kept).schema
+    for f in StructType.fromDDL(", ".join(f"{c} {k}" for c, k in MATCH_FIELDS.items())):
+        schema = schema.add(f)
+    names = schema.names
+    selectors = [[s.selector for _, _, s in q.sections()] for q in many]
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plans = compile_queries(many)
+        for batch in batches:
+            pages = batch.column(batch.num_columns - 1).cast(pa.binary())
+            own = batch.select(list(range(batch.num_columns - 1)))
+            rows: list[int] = []
+            found: list[Match] = []
+            held = 0  # bytes of the content found
+            for i in range(batch.num_rows):
+                some = find_matches(pages[i].as_py(), plans)
+                rows += [i] * len(some)
+                found += some
+                held += sum(len(m.inner_html or "") + len(m.text_content or "") for m in some)
+                if found and (len(found) > 20_000 or held > 8_000_000 or i == batch.num_rows - 1):
+                    kept_rows = own.take(pa.array(rows)).columns if kept else []
+                    yield pa.RecordBatch.from_arrays([*kept_rows, *_match_arrays(found, selectors)], names)
+                    rows, found, held = [], [], 0
+
+    return df.select(*kept, html_col).mapInArrow(find, schema)
 
 
 def with_ordinal(matches: DataFrame, keys: list[str]) -> DataFrame:
@@ -97,20 +119,52 @@ def with_ordinal(matches: DataFrame, keys: list[str]) -> DataFrame:
     return matches.withColumn("ordinal", (F.row_number().over(scope) - 1).cast("int"))
 
 
-def _extract_joined(df: DataFrame, many: list[Query], html_col: str, keep: list[str] | None) -> DataFrame:
-    dom = with_dom(df, html_col, keep)
-    keep = [c for c in dom.columns if c not in (DOM, RAW, TEXT)]
-    if not keep:
-        raise ValueError("the join plan needs columns that identify a document")
-    flat = dom.select(*keep, RAW, TEXT, F.explode(DOM).alias("n"))
-    nodes = flat.select(*keep, "n.*")
+def _bytes(source: str | Column, start: Column, end: Column) -> Column:
+    return F.decode(F.substring(source, start + 1, end - start), "UTF-8")
+
+
+def _extract_joined(df: DataFrame, many: list[Query], html_col: str, kept: list[str]) -> DataFrame:
+    """The documents are parsed once and numbered; steps join narrow element rows by that number."""
+    numbered = df.select(F.struct(*kept).alias("_keep") if kept else F.lit(0).alias("_keep"), F.monotonically_increasing_id().alias("_doc"), html_col)
+    dom = with_dom(numbered, html_col, ["_keep", "_doc"])
+    context = df.sparkSession.sparkContext
+    dom = dom.checkpoint() if context.getCheckpointDir() else dom.persist(StorageLevel.DISK_ONLY)
+    nodes = dom.select("_doc", F.inline(DOM))
     out = None
     for k, q in enumerate(many):
-        part = joins.query_matches(q, nodes, keep).withColumn("query_ix", F.lit(k))
+        part = joins.query_matches(q, nodes, ["_doc"]).withColumn("query_ix", F.lit(k))
         out = part if out is None else out.unionByName(part)
-    out = out.withColumnRenamed("section", "section_ix").withColumn("_id", F.element_at("path", -1))
-    rows = flat.withColumn("_id", F.col("n.node_id")).join(out, [*keep, "_id"])
-    return _shape(rows, many, keep)
+    # a document's matches meet it once
+    found = out.groupBy("_doc").agg(F.collect_list(F.struct("query_ix", "section", "path")).alias("_found"))
+    rows = dom.join(found, "_doc").select("_keep", DOM, RAW, TEXT, F.explode("_found").alias("_m"))
+    rows = rows.select("_keep", RAW, TEXT, "_m", F.element_at(DOM, F.element_at("_m.path", -1) + 1).alias("_n"))
+    n, path = F.col("_n"), F.col("_m.path")
+    picked = lambda what: F.array(*[F.array(*[F.lit(what(s)) for _, _, s in q.sections()]) for q in many])[F.col("_m.query_ix")][
+        F.col("_m.section")
+    ]
+    inner, text = picked(lambda s: s.save.inner_html), picked(lambda s: s.save.text_content)
+    return rows.select(
+        *[F.col("_keep")[c].alias(c) for c in kept], F.col("_m.query_ix").alias("query_ix"), F.col("_m.section").alias("section_ix"),
+        picked(lambda s: s.selector).alias("selector"), path.alias("path"), F.slice(path, F.lit(1), F.size(path) - 1).alias("parent_path"),
+        *[n[f].alias(f) for f in ("node_id", "depth", "name", "id", "class", "attributes")],
+        F.when(inner & n["inner_start"].isNotNull(), _bytes(RAW, n["inner_start"], n["inner_end"])).alias("inner_html"),
+        F.when(text & n["text_end"].isNotNull() & n["text_start"].isNotNull(), _bytes(TEXT, n["text_start"], n["text_end"])).alias("text_content"),
+    )
+
+
+_NESTED = ("node_id", "depth", "name", "id", "class", "attributes", "inner_html", "text_content")
+
+
+def _nested_type(section: Section) -> str:
+    fields = [f"{f}:{MATCH_FIELDS[f]}" for f in _NESTED]
+    fields += [f"children_{i}:array<{_nested_type(c)}>" for i, c in enumerate(section.children)]
+    return f"struct<{','.join(fields)}>"
+
+
+def _nested_arrow(section: Section) -> pa.DataType:
+    fields = [(f, pa.list_(_PAIR) if f == "attributes" else _ARROW[MATCH_FIELDS[f]]) for f in _NESTED]
+    fields += [(f"children_{i}", pa.list_(_nested_arrow(c))) for i, c in enumerate(section.children)]
+    return pa.struct(fields)
 
 
 def nested(df: DataFrame, query: Query | QueryBuilder, html_col: str = "html", keep: list[str] | None = None, into: str = "matches") -> DataFrame:
@@ -119,21 +173,36 @@ def nested(df: DataFrame, query: Query | QueryBuilder, html_col: str = "html", k
     Child fields are named ``children_0``, ``children_1``, ... in the order of the child selectors.
     """
     (q,) = as_queries(query)
-    dom = with_dom(df, html_col, keep)
-    keep = [c for c in dom.columns if c not in (DOM, RAW, TEXT)]
-
-    def build(section: Section, scope: Column | None) -> Column:
-        found = local.section_matches(section, F.col(DOM), scope)
-
-        def one(n: Column) -> Column:
-            inner, text = F.lit(section.save.inner_html), F.lit(section.save.text_content)
-            kids = [build(c, n).alias(f"children_{i}") for i, c in enumerate(section.children)]
-            fields = [n[f].alias(f) for f in ("node_id", "depth", "name", "id", "class", "attributes")]
-            return F.struct(*fields, *_content(n, inner, text), *kids)
-
-        return F.transform(found, one)
-
-    return dom.select(*keep, build(q.root, None).alias(into))
+    kept = _kept(df, html_col, keep, [into])
+    schema = df.select(*kept).schema.add(into, ArrayType(StructType.fromDDL(f"x {_nested_type(q.root)}")[0].dataType))
+    kind = pa.list_(_nested_arrow(q.root))
+    places = {}  # section number: parent's number and place among its children
+    for number, parent, _ in q.sections():
+        places[number] = (parent, sum(p == parent for p, _ in places.values()))
+    counts = {number: len(section.children) for number, _, section in q.sections()}
+
+    def tree(found: list[Match]) -> list[dict]:
+        top: list[dict] = []
+        made: dict[tuple, dict] = {}
+        for m in found:
+            number = m.plan.number
+            values = (m.path[-1], m.depth, m.name, m.id, m.class_, [{"key": k, "value": v} for k, v in m.attributes], m.inner_html, m.text_content)
+            node = dict(zip(_NESTED, values, strict=True)) | {f"children_{i}": [] for i in range(counts[number])}
+            made[number, m.path] = node
+            parent, place = places[number]
+            (top if parent < 0 else made[parent, m.path[:-1]][f"children_{place}"]).append(node)
+        return top
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plans = compile_queries([q])
+        for batch in batches:
+            pages = batch.column(batch.num_columns - 1).cast(pa.binary())
+            for at in range(0, batch.num_rows, 256):
+                trees = [tree(find_matches(p.as_py(), plans)) for p in pages.slice(at, 256)]
+                part = batch.slice(at, len(trees))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(trees, kind)], schema.names)
+
+    return df.select(*kept, html_col).mapInArrow(build, schema)
 
 
 def select_matches(matches: DataFrame, selector: str, root: bool = True) -> DataFrame:

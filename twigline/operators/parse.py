@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from twigline.dom import Dom, parse_html
+from twigline.dom import Dom, as_bytes, parse_html
+from twigline.matcher import compile_queries, find_matches
+from twigline.query import Query, QueryBuilder, as_queries
 
 NODE_FIELDS = {
     "node_id": "int", "parent_id": "int", "last_id": "int", "depth": "int", "name": "string", "id": "string",
@@ -98,38 +100,63 @@ def html_nodes(df: DataFrame, html_col: str = "html", keep: list[str] | None = N
     return dom.select(*keep, F.inline(DOM))
 
 
-def html_events(df: DataFrame, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
-    """One row per parse event (start tag, end tag, implied close with its reason), for diagnosis."""
+EVENT_DDL = "seq int, event string, tag string, depth int, position int, reason string"
+
+
+def html_events(
+    df: DataFrame,
+    html_col: str = "html",
+    keep: list[str] | None = None,
+    queries: Query | QueryBuilder | Iterable[Query | QueryBuilder] | None = None,
+) -> DataFrame:
+    """One row per event, for diagnosis.
+
+    Without queries: start tags, end tags and implied closes with their reason.  With queries also the evaluation: the
+    parse's start and end, tags that fit a waiting step or don't, scopes opened and closed, matches saved and complete,
+    and the early end of the parse; ``reason`` then names the query and section (``0.1``).
+    """
     keep = [c for c in (df.columns if keep is None else keep) if c != html_col]
+    clash = sorted(set(keep) & set(StructType.fromDDL(EVENT_DDL).names))
+    if clash:
+        raise ValueError(f"kept columns named as an event's: {clash}; rename them or leave them out of keep")
+    many = None if queries is None else as_queries(queries)
     schema = df.select(*keep).schema
-    for f in StructType.fromDDL("seq int, event string, tag string, depth int, position int, reason string"):
+    for f in StructType.fromDDL(EVENT_DDL):
         schema = schema.add(f)
-
     names = schema.names
+    kinds = [pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()]
+
+    def trace(html: bytes | None, plans: list | None) -> list[tuple]:
+        if plans is None:
+            return parse_html(html, trace=True).events
+        found: list[tuple] = []
+        find_matches(html, plans, found)
+        return found
 
     def events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plans = None if many is None else compile_queries(many)
         for batch in batches:
             pages = batch.column(batch.num_columns - 1).cast(pa.binary())
             kept = batch.select(list(range(batch.num_columns - 1)))
+            rows: list[int] = []
+            found: list[tuple] = []
             for i in range(batch.num_rows):
-                found = parse_html(pages[i].as_py(), trace=True).events
-                if found:
-                    cols = list(zip(*found, strict=True))
-                    kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            *kept.take(pa.array([i] * len(found))).columns,
-                            pa.array(range(len(found)), pa.int32()),
-                            *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
-                        ],
-                        names,
-                    )
+                own = trace(pages[i].as_py(), plans)
+                rows += [i] * len(own)
+                found += [(n, *e) for n, e in enumerate(own)]
+                if found and (len(found) > 50_000 or i == batch.num_rows - 1):
+                    columns = [pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*kept.take(pa.array(rows)).columns, *columns], names)
+                    rows, found = [], []
 
     return df.select(*keep, html_col).mapInArrow(events, schema)
 
 
 def register_sql(spark: SparkSession, name: str = "html_nodes") -> None:
-    """A table function for SQL: ``SELECT ... FROM pages, LATERAL html_nodes(html)``, with the elements' contents."""
+    """A table function for SQL: ``SELECT ... FROM pages, LATERAL html_nodes(html)``, with the elements' contents.
+
+    Spark allows no batch-wise table function beside LATERAL, so rows are evaluated one by one, but travel in Arrow batches.
+    """
     from pyspark.sql.functions import udtf
 
     ddl = (
@@ -137,18 +164,22 @@ def register_sql(spark: SparkSession, name: str = "html_nodes") -> None:
         "attributes map<string,string>, inner_html string, text_content string"
     )
 
-    @udtf(returnType=ddl)
+    @udtf(returnType=ddl, useArrow=True)
     class HtmlNodes:
-        def eval(self, html: str):  # noqa: ANN202
-            data = (html or "").encode("utf-8", "surrogatepass")
-            dom = parse_html(data)
-            for i in range(len(dom)):
-                a, b = dom.inner_start[i], dom.inner_end[i]
-                s, t = dom.text_start[i], dom.text_end[i]
-                yield (
-                    i, dom.parent_id[i], dom.last_id[i], dom.depth[i], dom.name[i], dom.id[i], dom.class_[i],
-                    dict(reversed(dom.attributes[i])), None if a is None else data[a:b].decode("utf-8", "replace"),
-                    None if s is None or t is None else dom.text[s:t].decode("utf-8", "replace"),
-                )
+        def eval(self, html: str) -> Iterator[tuple]:
+            yield from _with_content(html)
 
     spark.udtf.register(name, HtmlNodes)
+
+
+def _with_content(html: str | bytes | None) -> Iterator[tuple]:
+    data = as_bytes(html)
+    dom = parse_html(data)
+    for i in range(len(dom)):
+        a, b = dom.inner_start[i], dom.inner_end[i]
+        s, t = dom.text_start[i], dom.text_end[i]
+        yield (
+            i, dom.parent_id[i], dom.last_id[i], dom.depth[i], dom.name[i], dom.id[i], dom.class_[i],
+            dict(reversed(dom.attributes[i])), None if a is None else data[a:b].decode("utf-8", "replace"),
+            None if s is None or t is None else dom.text[s:t].decode("utf-8", "replace"),
+        )

@@ -76,11 +76,6 @@ class Query:
         walk(self.root, -1)
         return out
 
-    @property
-    def exits_early(self) -> bool:
-        """Whether the first match of the root settles everything."""
-        return self.root.first
-
     def spec(self) -> dict:
         return _to_spec(self.root)
 
