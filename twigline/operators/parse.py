@@ -57,10 +57,18 @@ def nodes_array(doms: list[Dom]) -> pa.Array:
     return _list([len(d) for d in doms], struct)
 
 
+#: Bytes that Spark reads as one partition, unless told otherwise.
+SCAN_BYTES = 128 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` in as many partitions as there are cores, if it has fewer; larger inputs are left as they are."""
+    """``df`` in as many partitions as there are cores, if its size makes fewer; larger inputs are left as they are.
+
+    For small files of one row group, which Spark can't cut: parsing costs more than dealing their rows out.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SCAN_BYTES else df
 
 
 def with_dom(df: DataFrame, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
