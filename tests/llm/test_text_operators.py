@@ -75,13 +75,74 @@ def test_lzw_and_packbits_long():
         assert tiff.packbits_decode(tiff.packbits_encode(raw)) == raw
 
 
+def test_fixed_vectors():
+    """Byte strings worked out by hand from the TIFF 6.0 specification's rules, not by this module's encoders."""
+    # PackBits: the specification's own example
+    packed = bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA")
+    assert tiff.packbits_decode(packed) == bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22AAAAAAAAAAAAAAAAAAAA")
+    assert tiff.packbits_decode(b"\x80\x00A") == b"A"  # 128 says nothing
+    # LZW: clear, 7, 258 (7 7), 8, 8, 258, 6, 6, end, each in 9 bits
+    codes = [256, 7, 258, 8, 8, 258, 6, 6, 257]
+    bits = "".join(f"{c:09b}" for c in codes)
+    data = int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+    assert tiff.lzw_decode(data) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
+
+
+def test_bilevel_and_unknown_pages():
+    import struct
+
+    def page(entries, data, at):
+        head = struct.pack("<H", len(entries)) + b"".join(struct.pack("<HHIHH", t, 3, 1, v, 0) for t, v in sorted(entries))
+        return data + head
+
+    # 10 x 2 pixels of 1 bit, PackBits; then a page with an unknown compression; then a plain one
+    strip = bytes([3, 0b10101010, 0b01000000, 0b11111111, 0b11000000])
+    common = [(256, 10), (257, 2), (277, 1), (278, 2)]
+    one = [*common, (258, 1), (259, 32773), (273, 8), (279, 5)]
+    two = [*common, (258, 1), (259, 7), (273, 8), (279, 5)]
+    body = b"II*\0" + struct.pack("<I", 14) + strip + b"\0"
+    for k, entries in enumerate([one, two, [*common, (258, 8), (259, 1), (273, 0), (279, 20)]]):
+        body = page([*entries] if k < 2 else [(t, v if t != 273 else 0) for t, v in entries], body, 0)
+        body += struct.pack("<I", len(body) + 4 if k < 2 else 0)
+    pages = list(tiff.read_directories(body))
+    assert len(pages) == 3 and isinstance(pages[1], tiff.TiffError)
+    assert pages[0]["pixels"][:, :, 0].tolist() == [[1, 0] * 4 + [0, 1], [1] * 10]
+    assert pages[2]["pixels"].tobytes() == body[:20]
+
+
+def test_tiff_survives_hostile_bytes(spark):
+    rng = random.Random(13)
+    files = [
+        tiff.write_tiff([np.arange(640, dtype=np.uint8).reshape(10, 64)] * 2, c, p, 200, t, o)
+        for c in tiff.COMPRESSIONS for p in (True, False) for t in (None, (16, 16)) for o in "<>"
+    ]
+    bad = []
+    for f in files:
+        bad += [f[: rng.randrange(len(f))] for _ in range(8)]
+        for _ in range(60):
+            b = bytearray(f)
+            for _ in range(rng.randint(1, 4)):
+                b[rng.randrange(len(b))] = rng.choice([0, 1, 255, 128, rng.randrange(256)])
+            bad.append(bytes(b))
+    # huge sizes, an ASCII-typed and a negative width, an empty tag
+    base = tiff.write_tiff([np.zeros((2, 64), np.uint8)], "deflate")
+    at = base.index(bytes.fromhex("0001040001000000"))
+    for kind, count, value in ((4, 1, 1 << 20), (4, 1, (1 << 32) - 1), (2, 1, 65), (9, 1, (1 << 32) - 5), (4, 0, 0), (5, 1, 8)):
+        entry = kind.to_bytes(2, "little") + count.to_bytes(4, "little") + value.to_bytes(4, "little")
+        bad.append(base[: at + 2] + entry + base[at + 12 :])
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(bad)], "k int, media binary")
+    rows = tiff.tiff_pages(df, "media").select("k", "page", "error").collect()
+    assert {r.k for r in rows} == set(range(len(bad)))
+    assert all(r.error for r in rows if r.k >= len(bad) - 6)
+
+
 def test_tiff_tables(spark):
     good = tiff.write_tiff([np.arange(64, dtype=np.uint8).reshape(1, 64)] * 2)
     rows = [(1, good, 5), (2, None, 5), (3, b"", 5), (4, b"II*\0" + b"\xff" * 4, 5), (5, good[:-30], 5), (6, good, 5)]
     df = spark.createDataFrame(rows, "k int, media binary, width int")
     out = tiff.tiff_pages(df, "media").collect()
     assert [(r.k, r.page) for r in out if r.error is None and r.k in (1, 6)] == [(1, 0), (1, 1), (6, 0), (6, 1)]
-    assert {r.k for r in out if r.error} == {3, 4, 5} and not [r for r in out if r.k == 2]
+    assert {r.k for r in out if r.error} == {3, 4, 5} and [r.page for r in out if r.k == 3] == [0] and not [r for r in out if r.k == 2]
     assert out[0].width == 64 and out[0].pixels == bytes(range(64))
     assert tiff.tiff_pages(df.filter("false"), "media").count() == 0
 

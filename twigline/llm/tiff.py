@@ -153,6 +153,8 @@ def _tags(data: bytes, at: int, order: str) -> tuple[dict[int, tuple], int]:
             (place,) = struct.unpack_from(order + "I", data, place)
         if place + size * count > len(data):
             raise TiffError("a tag's values lie outside the file")
+        if not count:
+            continue
         if code == "c":
             tags[tag] = (data[place : place + count],)
         else:
@@ -176,12 +178,19 @@ def _expand(data: bytes, compression: int) -> bytes:
     raise TiffError(f"compression {compression} is not supported")
 
 
-def _chunk(raw: bytes, rows: int, width: int, samples: int, bits: int, predictor: int, order: str) -> np.ndarray:
-    kind = np.dtype({8: "u1", 16: order + "u2", 32: order + "u4"}[bits])
-    need = rows * width * samples * kind.itemsize
-    if len(raw) < need:
+def _samples(raw: bytes, rows: int, width: int, samples: int, bits: int, predictor: int, order: str) -> np.ndarray:
+    """Samples of a strip or tile, (rows, width, samples); those of 1, 2 or 4 bits start each row at a byte."""
+    row = -(-width * samples * bits // 8)
+    if len(raw) < rows * row:
         raise TiffError("a strip or tile is too short")
-    x = np.frombuffer(raw[:need], kind).reshape(rows, width, samples)
+    if bits < 8:
+        if predictor != 1:
+            raise TiffError(f"predictor {predictor} is not supported with {bits} bits")
+        packed = np.frombuffer(raw[: rows * row], np.uint8).reshape(rows, row)
+        ones = np.unpackbits(packed, axis=1)[:, : width * samples * bits].reshape(rows, width, samples, bits)
+        return (ones << np.arange(bits - 1, -1, -1, dtype=np.uint8)).sum(axis=3, dtype=np.uint8)
+    kind = np.dtype({8: "u1", 16: order + "u2", 32: order + "u4"}[bits])
+    x = np.frombuffer(raw[: rows * row], kind).reshape(rows, width, samples)
     if predictor == 2:
         x = np.add.accumulate(x.astype(kind.newbyteorder("=")), axis=1, dtype=kind.newbyteorder("="))
     elif predictor != 1:
@@ -189,40 +198,70 @@ def _chunk(raw: bytes, rows: int, width: int, samples: int, bits: int, predictor
     return x
 
 
+def _number(tags: dict[int, tuple], tag: int, default: int | None = None) -> int | None:
+    values = tags.get(tag) or (default,)
+    if values[0] is not None and (not isinstance(values[0], int) or values[0] < 0):
+        raise TiffError(f"tag {tag} is no number from 0")
+    return values[0]
+
+
+def _numbers(tags: dict[int, tuple], tag: int) -> tuple[int, ...]:
+    values = tags.get(tag, ())
+    if not all(isinstance(v, int) and v >= 0 for v in values):
+        raise TiffError(f"tag {tag} holds no numbers from 0")
+    return values
+
+
+def _most(size: int, compression: int) -> int:
+    """Bytes that so many compressed bytes can expand to: the formats' limits, with room."""
+    return size * {NONE: 1, PACKBITS: 64, LZW: 4096}.get(compression, 1100) + 64
+
+
 def _page(data: bytes, tags: dict[int, tuple], order: str) -> dict:
-    one = lambda tag, default=None: tags.get(tag, (default,))[0]
-    width, height = one(WIDTH), one(HEIGHT)
+    width, height = _number(tags, WIDTH), _number(tags, HEIGHT)
     if not width or not height:
         raise TiffError("a page without size")
-    samples = one(SAMPLES, 1)
-    bits = set(tags.get(BITS, (1,)))
-    if len(bits) != 1 or not bits <= {8, 16, 32}:
+    samples = _number(tags, SAMPLES, 1)
+    if not samples:
+        raise TiffError("a page without samples")
+    bits = set(_numbers(tags, BITS) or (1,))
+    if len(bits) != 1 or not bits <= {1, 2, 4, 8, 16, 32}:
         raise TiffError(f"{sorted(bits)} bits a sample are not supported")
     (depth,) = bits
-    compression, predictor, planes = one(COMPRESSION, NONE), one(PREDICTOR, 1), one(PLANAR, 1)
+    compression, predictor = _number(tags, COMPRESSION, NONE), _number(tags, PREDICTOR, 1)
+    planes = _number(tags, PLANAR, 1)
     per = samples if planes == 1 else 1
     layers = 1 if planes == 1 else samples
-    out = np.zeros((height, width, samples), dtype=f"u{depth // 8}")
-    if TILE_OFFSETS in tags:
-        w, h = one(TILE_WIDTH), one(TILE_HEIGHT)
-        offsets, counts = tags[TILE_OFFSETS], tags.get(TILE_COUNTS, ())
+    tiled = TILE_OFFSETS in tags
+    if tiled:
+        w, h = _number(tags, TILE_WIDTH), _number(tags, TILE_HEIGHT)
+        offsets, counts = _numbers(tags, TILE_OFFSETS), _numbers(tags, TILE_COUNTS)
     else:
-        w, h = width, min(height, one(ROWS_PER_STRIP, height) or height)
-        offsets, counts = tags.get(STRIP_OFFSETS, ()), tags.get(STRIP_COUNTS, ())
+        w, h = width, min(height, _number(tags, ROWS_PER_STRIP, height) or height)
+        offsets, counts = _numbers(tags, STRIP_OFFSETS), _numbers(tags, STRIP_COUNTS)
     if not w or not h:
         raise TiffError("strips or tiles without size")
     across, down = -(-width // w), -(-height // h)
-    if len(offsets) < across * down * layers or len(counts) < across * down * layers:
+    many = across * down * layers
+    if len(offsets) < many or len(counts) < many:
         raise TiffError("strips or tiles are missing")
+    for at, size in zip(offsets[:many], counts[:many], strict=True):
+        if at + size > len(data):
+            raise TiffError("a strip or tile lies outside the file")
+    # no memory for samples that the strips or tiles can't hold
+    row = -(-w * per * depth // 8)
+    for k in range(many):
+        rows = h if tiled else min(h, height - k % (across * down) * h)
+        if rows * row > _most(counts[k], compression):
+            raise TiffError("a strip or tile is too short")
+    out = np.zeros((height, width, samples), dtype=f"u{max(1, depth // 8)}")
     for layer in range(layers):
         for k in range(across * down):
             y, x = k // across * h, k % across * w
             i = layer * across * down + k
-            if offsets[i] + counts[i] > len(data):
-                raise TiffError("a strip or tile lies outside the file")
-            rows = h if TILE_OFFSETS in tags else min(h, height - y)
+            rows = h if tiled else min(h, height - y)
             raw = _expand(data[offsets[i] : offsets[i] + counts[i]], compression)
-            part = _chunk(raw, rows, w, per, depth, predictor, order)[: height - y, : width - x]
+            part = _samples(raw, rows, w, per, depth, predictor, order)[: height - y, : width - x]
             if planes == 1:
                 out[y : y + part.shape[0], x : x + part.shape[1]] = part
             else:
@@ -230,25 +269,47 @@ def _page(data: bytes, tags: dict[int, tuple], order: str) -> dict:
     return {"width": width, "height": height, "samples": samples, "bits": depth, "compression": compression, "pixels": out}
 
 
+def read_directories(data: bytes) -> Iterator[dict | TiffError]:
+    """Every page in the order of the directories, or what is wrong with it; pixels as an array (height, width, samples).
+
+    A page that can't be read does not hide those after it; a broken chain of directories ends with its fault.
+    """
+    try:
+        if data[:4] == b"II*\0":
+            order = "<"
+        elif data[:4] == b"MM\0*":
+            order = ">"
+        else:
+            raise TiffError("no TIFF header")
+        if len(data) < 8:
+            raise TiffError("the header is cut off")
+        (at,) = struct.unpack_from(order + "I", data, 4)
+        if not at:
+            raise TiffError("no directory")
+        seen = set()
+        while at:
+            if at in seen:
+                raise TiffError("the directories form a loop")
+            seen.add(at)
+            tags, following = _tags(data, at, order)
+            try:
+                page = _page(data, tags, order)
+            except TiffError as e:
+                page = e
+            except (ValueError, OverflowError, MemoryError, IndexError, struct.error) as e:
+                page = TiffError(f"unreadable: {e}")
+            yield page
+            at = following
+    except TiffError as e:
+        yield e
+
+
 def read_pages(data: bytes) -> Iterator[dict]:
-    """Every page in the order of the directories; pixels as an array (height, width, samples)."""
-    if data[:4] == b"II*\0":
-        order = "<"
-    elif data[:4] == b"MM\0*":
-        order = ">"
-    else:
-        raise TiffError("no TIFF header")
-    if len(data) < 8:
-        raise TiffError("the header is cut off")
-    (at,) = struct.unpack_from(order + "I", data, 4)
-    seen = set()
-    while at:
-        if at in seen:
-            raise TiffError("the directories form a loop")
-        seen.add(at)
-        tags, following = _tags(data, at, order)
-        yield _page(data, tags, order)
-        at = following
+    """Every page; raises at the first that can't be read."""
+    for page in read_directories(data):
+        if isinstance(page, TiffError):
+            raise page
+        yield page
 
 
 def write_tiff(
@@ -339,8 +400,9 @@ def page_feature(x: np.ndarray) -> str:
 def tiff_pages(df: DataFrame, media_col: str, keep: list[str] | None = None) -> DataFrame:
     """One row per page of every TIFF in ``media_col``: the columns of ``keep`` and the page's fields.
 
-    ``pixels`` holds the samples row by row, little-endian.  Null media gives no rows.  Bytes that are no readable TIFF
-    give the pages before the fault and then one row with ``error`` and null page fields.  Kept columns with the name of
+    ``pixels`` holds the samples row by row, little-endian; samples under 8 bits take a byte each.  Null media gives no
+    rows.  A page that can't be read gives a row with its number and ``error``, and the pages after it follow; bytes that
+    are no TIFF, or whose chain of directories breaks, give one such row at that place.  Kept columns with the name of
     a page field give way to it.  Narrow: no shuffle.
     """
     names = [f.split()[0] for f in PAGE_FIELDS.split(", ")]
@@ -360,18 +422,16 @@ def tiff_pages(df: DataFrame, media_col: str, keep: list[str] | None = None) ->
             for i in range(batch.num_rows):
                 data = media[i].as_py()
                 if data is not None:
-                    n = 0
-                    try:
-                        for n, p in enumerate(read_pages(data), 1):
-                            x = p["pixels"]
-                            raw = x.astype(x.dtype.newbyteorder("<"), copy=False).tobytes()
-                            sizes = (n - 1, p["width"], p["height"], p["samples"], p["bits"], p["compression"])
-                            found.append((*sizes, raw, page_feature(x), None))
-                            rows.append(i)
-                            held += len(raw)
-                    except (TiffError, struct.error, KeyError) as e:
-                        found.append((*[None] * 8, str(e) or "unreadable"))
+                    for n, p in enumerate(read_directories(data)):
                         rows.append(i)
+                        if isinstance(p, TiffError):
+                            found.append((n, *[None] * 7, str(p) or "unreadable"))
+                            continue
+                        x = p["pixels"]
+                        raw = x.astype(x.dtype.newbyteorder("<"), copy=False).tobytes()
+                        sizes = (n, p["width"], p["height"], p["samples"], p["bits"], p["compression"])
+                        found.append((*sizes, raw, page_feature(x), None))
+                        held += len(raw)
                 if rows and (held > 8_000_000 or i == batch.num_rows - 1):
                     cols = [pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)]
                     yield pa.RecordBatch.from_arrays([*kept.take(pa.array(rows)).columns, *cols], [*keep, *names])
