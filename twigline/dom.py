@@ -34,13 +34,15 @@ SCOPES = {
     **dict.fromkeys(("option", "optgroup"), "select"),
 }
 
+# groups: comment, end tag, start tag's name and attributes, the same of one with unbalanced quotes
+_COMMENT, _END, _ATTRS, _ATTRS2 = 1, 2, 4, 6
 _MARKUP = re.compile(
     rb"<(?:"
-    rb"!--(?P<comment>.*?)(?:-->|\Z)"
+    rb"!--(.*?)(?:-->|\Z)"
     rb"|[!?][^>]*(?:>|\Z)"
-    rb"|/(?P<end>[^>]*)(?:>|\Z)"
-    rb"|(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    rb"|(?P<name2>[A-Za-z][^\s/>]*)(?P<attrs2>[^>]*)(?:>|\Z)"
+    rb"|/([^>]*)(?:>|\Z)"
+    rb"|([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+    rb"|([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)"
     rb")",
     re.S,
 )
@@ -175,9 +177,9 @@ def walk(data: bytes, sink: Sink) -> bool:
         if texts is not None and start > at:
             add_text(at, start)
         at = m.end()
-        kind = m.lastgroup
-        if kind == "end":
-            raw = m["end"]
+        kind = m.lastindex
+        if kind == _END:
+            raw = m[_END]
             names = known.get(raw)
             if names is None:
                 low = raw.decode("utf-8", "replace").strip().lower()
@@ -192,10 +194,8 @@ def walk(data: bytes, sink: Sink) -> bool:
             if level >= 0 and close(level, start, "end_tag"):
                 return True
             continue
-        if kind == "attrs":
-            raw, attributes = m["name"], m["attrs"]
-        elif kind == "attrs2":
-            raw, attributes = m["name2"], m["attrs2"]
+        if kind == _ATTRS or kind == _ATTRS2:
+            raw, attributes = m.group(kind - 1, kind)
         else:
             continue
         names = known.get(raw)

@@ -119,23 +119,24 @@ class Matcher(Sink):
         self.live = 0  # scopes that may find more
         self.waiting: dict[int, list[Match]] = {}  # matches with content to come, by row
         self.names: dict[int, str] = {}
-        self.for_children: list[tuple] = [()]
-        self.for_descendants: list[tuple] = [()]
-        self.scopes: list[list[_Scope] | None] = [None]
+        # of every open element: threads for its children, threads for its descendants, scopes that it ends
+        self.frames: list[tuple[tuple, tuple, list[_Scope] | None]] = [((), (), None)]
         self._enter([_Scope(p, ()) for p in plans], "", 0, 0)
 
     def _enter(self, scopes: list[_Scope], name: str, depth: int, at: int) -> None:
         """Scopes of the innermost open element."""
         self.live += len(scopes)
-        self.scopes[-1] = scopes
         new = [(s, s.plan.start) for s in scopes]
-        self.for_children[-1] += tuple(t for t in new if t[1].child)
-        self.for_descendants[-1] += tuple(t for t in new if not t[1].child)
+        children, descendants, _ = self.frames[-1]
+        children += tuple(t for t in new if t[1].child)
+        descendants += tuple(t for t in new if not t[1].child)
+        self.frames[-1] = (children, descendants, scopes)
         if self.trace is not None:
             self.trace += [("ScopedCursorCreated", name, depth, at, _label(s)) for s in scopes]
 
     def open(self, row: int, name: str, attributes: bytes | None, parent: int, depth: int, start: int, inner: int | None, size: int) -> bool:
-        children, descendants = self.for_children[-1], self.for_descendants[-1]
+        frame = self.frames[-1]
+        children, descendants, _ = frame
         trace = self.trace
         if trace is not None:
             trace.append(("OpenTag", name, depth, start, None))
@@ -144,43 +145,41 @@ class Matcher(Sink):
         to_children: list[tuple] = []
         to_descendants: list[tuple] = []
         found: list[Match] = []
-        for threads in (children, descendants):
-            for thread in threads:
-                scope, step = thread
-                if scope.done:
-                    continue
-                fit = step.name is None or step.name == name
-                if fit and not step.plain:
-                    if parsed is None:
-                        parsed = parse_attributes(attributes) if attributes and not attributes.isspace() else _NO_ATTRIBUTES
-                    fit = fits(step.compound, parsed)
-                if trace is not None:
-                    trace.append(("TransitionMatched" if fit else "TransitionRejected", name, depth, start, _label(scope)))
-                if not fit:
-                    continue
-                after = step.following
-                if after is not None:
-                    (to_children if after.child else to_descendants).append((scope, after))
-                    continue
+        for scope, step in children + descendants if children else descendants:
+            fit = step.name == name or step.name is None
+            if not fit and trace is None or scope.done:
+                continue
+            if fit and not step.plain:
                 if parsed is None:
                     parsed = parse_attributes(attributes) if attributes and not attributes.isspace() else _NO_ATTRIBUTES
-                plan = scope.plan
-                match = Match(plan, (*scope.path, row), name, parsed, depth)
-                self.matches.append(match)
-                found.append(match)
-                if trace is not None:
-                    trace.append(("ElementSaved", name, depth, start, _label(scope)))
-                if plan.first:
-                    scope.done = True
-                    self.live -= 1
+                fit = fits(step.compound, parsed)
+            if trace is not None:
+                trace.append(("TransitionMatched" if fit else "TransitionRejected", name, depth, start, _label(scope)))
+            if not fit:
+                continue
+            after = step.following
+            if after is not None:
+                (to_children if after.child else to_descendants).append((scope, after))
+                continue
+            if parsed is None:
+                parsed = parse_attributes(attributes) if attributes and not attributes.isspace() else _NO_ATTRIBUTES
+            plan = scope.plan
+            match = Match(plan, (*scope.path, row), name, parsed, depth)
+            self.matches.append(match)
+            found.append(match)
+            if trace is not None:
+                trace.append(("ElementSaved", name, depth, start, _label(scope)))
+            if plan.first:
+                scope.done = True
+                self.live -= 1
         if inner is None:
             return bool(found) and not self.live and not self.waiting and self._exit(name, depth, start)
         if to_descendants:
             held = set(descendants)
             descendants += tuple(t for t in to_descendants if t not in held)
-        self.for_children.append(tuple(to_children))
-        self.for_descendants.append(descendants)
-        self.scopes.append(None)
+        if to_children or to_descendants or frame[0] or frame[2]:
+            frame = (tuple(to_children), descendants, None)
+        self.frames.append(frame)
         if found:
             kept = [m for m in found if m.plan.inner or m.plan.text]
             for m in kept:
@@ -194,9 +193,7 @@ class Matcher(Sink):
         return False
 
     def close(self, row: int, depth: int, last: int, end: int, size: int, reason: str) -> bool:
-        self.for_children.pop()
-        self.for_descendants.pop()
-        scopes = self.scopes.pop()
+        scopes = self.frames.pop()[2]
         trace = self.trace
         if trace is not None:
             name = self.names.pop(row)
