@@ -39,17 +39,63 @@ def test_neighbours_small_tables_are_exact(spark):
     assert ann.nearest_neighbours(df.filter("false"), df).count() == 0
 
 
-def test_neighbours_recall(spark):
+@pytest.mark.parametrize("spread_", [0.0, 1.0])
+def test_neighbours_recall(spark, spread_):
+    """Isotropic and clustered vectors, far more lists than are probed in the latter; all queries count."""
     rng = np.random.default_rng(2)
-    centres = rng.normal(size=(20, 32))
-    x = centres[rng.integers(0, 20, 4000)] + rng.normal(size=(4000, 32))
+    centres = 3 * spread_ * rng.normal(size=(40, 16))
+    x = centres[rng.integers(0, 40, 6000)] + rng.normal(size=(6000, 16))
     rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)]
+    model = ann.train(x, ann.list_count(len(x)))
+    n = ann.probe_count(x, model, 20, len(x))
+    assert len(model.centroids) > 300 and n < len(model.centroids) * (0.2 if spread_ else 0.7)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = {}
-    for r in ann.nearest_neighbours(df, df.filter("vec_id % 100 = 0")).collect():
+    for r in ann.nearest_neighbours(df, df.filter("vec_id % 20 = 0")).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
-    want = plain_neighbours(rows, range(0, 4000, 100), 20)
-    hits = sum(len(got[q] & {i for i, _ in w}) for q, w in want.items())
+    asked = np.arange(0, 6000, 20)
+    scores = x[asked] @ x.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    best = np.argsort(-scores, axis=1)[:, :20]
+    hits = sum(len(got[q] & set(b)) for q, b in zip(asked.tolist(), best.tolist(), strict=True))
+    assert all(len(g) == 20 for g in got.values()) and hits / 20 / len(asked) >= 0.9
+
+
+def test_blocks_hold_all_lists(monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 50)
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(0, 60, 40)
+    sizes[7] = 500
+    block, parts = ann.list_blocks(rng.normal(size=(40, 8)), sizes)
+    for b in range(block.max() + 1):
+        of = np.flatnonzero(block == b)
+        assert len(of) and (len(of) == 1 or sizes[of].sum() <= 50)
+    assert parts[7] == 10
+
+
+def test_ids_with_several_vectors_keep_their_scores(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 5.0]), (2, [1.0, 1.0]), (3, [2.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.vec_id, r.score) for r in ann.nearest_neighbours(df, df.filter("vec_id = 2")).collect()}
+    assert got == {(1, 1.0), (1, 5.0), (3, 2.0)}
+
+
+def test_nearest_query_against_brute_force(spark):
+    got = {}
+    for r in queries.QUERIES["op2_nearest"](spark, DATA).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{DATA}/embeddings.parquet").collect()]
+    of = {i: np.array(v, float) for i, v in rows}
+    want = plain_neighbours(rows, [i for i, _ in rows if i % 20 == 0], 20)
+    assert got.keys() == want.keys()
+    hits = 0
+    for q, found in got.items():
+        found.sort()
+        assert [n for n, _, _ in found] == list(range(1, 21))
+        for (_, i, s), (_, j, t) in zip(found, found[1:], strict=False):
+            assert (-s, i) < (-t, j)
+        assert all(abs(float((of[i] * of[q]).sum()) - s) < 1e-12 for _, i, s in found)
+        hits += len({i for _, i, _ in found} & {i for i, _ in want[q]})
     assert hits / 20 / len(want) >= 0.9
 
 

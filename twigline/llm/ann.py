@@ -26,12 +26,12 @@ TRAIN_ROWS = 16_384
 MAX_LISTS = 4096
 SUBSPACE_WIDTH = 4
 CODES = 256
-#: Candidates ranked exactly, for each query and block of a list.
-REFINE = 32
-#: Share of the lists that a query looks into, where there are over ``ALL_LISTS`` of them.
-PROBE_SHARE, ALL_LISTS = 0.75, 16
-#: Distinct vectors of a list, and queries on it, that are handled together.
-BLOCK_ROWS, BLOCK_QUERIES = 4096, 2048
+#: Candidates ranked exactly, for each query and block of vectors.
+REFINE = 48
+#: Share of a query's neighbours that are to lie in the lists it probes, and sample queries that fit their number to it.
+PROBE_RECALL, PROBE_QUERIES = 0.96, 512
+#: Vectors of a block (several small lists, or a part of a large one), and queries on it, that are handled together.
+BLOCK_ROWS, BLOCK_QUERIES, CHUNK_QUERIES = 4096, 8192, 512
 
 
 @dataclass
@@ -95,12 +95,52 @@ def train(sample: np.ndarray, lists: int, seed: int = 11) -> IvfPq:
 
 
 def list_count(classes: int) -> int:
-    return max(1, min(MAX_LISTS, round(math.sqrt(classes) / 4)))
+    return max(1, min(MAX_LISTS, round(4 * math.sqrt(classes))))
 
 
-def probe_count(lists: int) -> int:
-    """Lists that a query looks into: all of a few, then a fixed share."""
-    return lists if lists <= ALL_LISTS else math.ceil(PROBE_SHARE * lists)
+def probe_count(sample: np.ndarray, model: IvfPq, k: int, total: int, seed: int = 5) -> int:
+    """Lists to probe, in the order of their centroids' inner products, for ``PROBE_RECALL`` of the true neighbours.
+
+    Fitted on sample queries and their exact neighbours among the sample; so many that they lie about as near as the
+    ``k`` nearest of all ``total`` vectors, or at least one: nearer ones need fewer lists.
+    """
+    rng = np.random.default_rng(seed)
+    x = model.padded(sample.astype(np.float64))
+    asked = rng.permutation(len(x))[:PROBE_QUERIES]
+    near = min(len(x) - 1, max(1, round(k * len(x) / max(1, total))))
+    if near < 1 or len(model.centroids) == 1:
+        return len(model.centroids)
+    scores = x[asked] @ x.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    best = np.argpartition(-scores, near - 1, axis=1)[:, :near]
+    order = np.argsort(-(x[asked] @ model.centroids.T), axis=1, kind="stable")
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(order.shape[1])[None, :], axis=1)
+    found = np.take_along_axis(place, model.assign(sample)[best], axis=1)
+    return int(np.quantile(found, PROBE_RECALL, method="higher")) + 1
+
+
+def list_blocks(centroids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(block, parts) of every list: lists that lie near each other share a block of about ``BLOCK_ROWS`` vectors; a
+    larger list is a block by itself, in so many parts."""
+    order = []
+    todo = [np.arange(len(centroids))]
+    while todo:  # halves along the axis on which the centroids differ most
+        at = todo.pop()
+        if len(at) <= 2:
+            order += at.tolist()
+            continue
+        x = centroids[at]
+        line = np.argsort(x[:, x.var(axis=0).argmax()], kind="stable")
+        todo += [at[line[len(at) // 2 :]], at[line[: len(at) // 2]]]
+    block, parts = np.zeros(len(centroids), dtype=np.int32), np.ones(len(centroids), dtype=np.int32)
+    now, held = -1, BLOCK_ROWS
+    for i in order:
+        if held + sizes[i] > BLOCK_ROWS:
+            now, held = now + 1, 0
+        block[i], held = now, held + sizes[i]
+        parts[i] = max(1, -(-int(sizes[i]) // BLOCK_ROWS))
+    return block, parts
 
 
 def usable(vec: str | Column) -> Column:
@@ -126,11 +166,14 @@ def nearest_neighbours(
     """(query_id, rank, vec_id, score): each query's k best of ``vectors``, its own id left out.
 
     ``queries`` has the same two columns.  score is the exact inner product in double precision; ties go to the smaller
-    id.  Vectors that are null, zero, or hold null or non-finite components take no part, nor do those with another
-    length than the most frequent one (ties: the shorter), nor null ids.  A repeated (id, vector) row counts once; rows
-    with the query's id are never its neighbours.  Fewer candidates than k give fewer rows; empty tables give none.
+    id.  How many lists a query probes is fitted on the sample (``probe_count``) unless given as ``probes``.
 
-    Skew: copies are one class; lists and the queries on them are cut into blocks of bounded size.
+    Vectors that are null, zero, or hold null or non-finite components take no part, nor do those with another
+    length than the most frequent one (ties: the shorter), nor null ids.  A repeated (id, vector) row counts once, an id
+    with several vectors as each of them; rows with the query's id are never its neighbours.  Fewer candidates than k give fewer rows; empty tables give none.
+
+    Skew: copies are one class; small lists share a block, large lists and the queries on a block are cut into parts of
+    bounded size; a query is sent once to every block that holds one of its lists.
     """
     spark = vectors.sparkSession
     result = "query_id long, rank int, vec_id long, score double"
@@ -146,96 +189,98 @@ def nearest_neighbours(
     dimension = lengths["d"]
     rows, asked = (x.filter(F.size("v") == dimension).distinct() for x in (rows, clean(queries)))
 
-    # classes of equal vectors, each with its k + 1 smallest ids
+    # classes of equal vectors, each with its k + 1 smallest ids; "c" numbers them, "least" is the smallest id
     first = Window.partitionBy("v").orderBy("id")
     ranked = rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= k + 1)
     classes = ranked.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    classes = staged(classes.select(F.col("ids")[0].alias("c"), "v", "ids"), "classes")
+    numbered = [F.monotonically_increasing_id().alias("c"), F.col("ids")[0].alias("least"), "v", "ids"]
+    classes = staged(classes.select(*numbered), "classes")
     total = classes.count()
-    # one row for each distinct query vector; "q" names it
-    asking = staged(asked.groupBy("v").agg(F.min("id").alias("q")), "asking")
-    lists = list_count(total)
-    sample = classes.orderBy(F.xxhash64("c")).limit(TRAIN_ROWS).select("v").toArrow().column(0)
-    model = train(_matrix(sample), lists)
+    # one row for each distinct query vector; "q" numbers them
+    asking = staged(asked.select("v").distinct().select("v", F.monotonically_increasing_id().alias("q")), "asking")
+    sample = _matrix(classes.orderBy(F.xxhash64("v"), "least").limit(TRAIN_ROWS).select("v").toArrow().column(0))
+    model = train(sample, list_count(total))
     lists = len(model.centroids)
+    n_probes = probes or probe_count(sample, model, k, total)
     shared = spark.sparkContext.broadcast(model)  # at most MAX_LISTS centroids and CODES codewords
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
             if batch.num_rows:
-                x = _matrix(batch.column(1))
+                x = _matrix(batch.column(2))
                 where = m.assign(x)
                 codes = [r.tobytes() for r in m.encode(x, where)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(where.astype(np.int32)), pa.array(codes, pa.binary()), batch.column(1)],
-                    ["c", "list", "code", "v"],
+                    [*batch.columns[:2], pa.array(where.astype(np.int32)), pa.array(codes, pa.binary()), batch.column(2)],
+                    ["c", "least", "list", "code", "v"],
                 )
 
-    indexed = staged(classes.select("c", "v").mapInArrow(index, "c long, list int, code binary, v array<double>"), "index")
+    kind = "c long, least long, list int, code binary, v array<double>"
+    indexed = staged(classes.select("c", "least", "v").mapInArrow(index, kind), "index")
     sizes = {r["list"]: r["count"] for r in indexed.groupBy("list").count().collect()}  # at most MAX_LISTS rows
     size = np.array([sizes.get(i, 0) for i in range(lists)])
+    block, parts = list_blocks(model.centroids, size)
     least = 8 * (k + 1)
-    n_probes = probes or probe_count(lists)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each block that holds a list to probe."""
         m = shared.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _matrix(batch.column(0))
-            order = np.argsort(-(m.padded(x) @ m.centroids.T), axis=1, kind="stable")
-            # so many lists that there are candidates enough
-            need = np.maximum(n_probes, (np.cumsum(size[order], axis=1) < least).sum(axis=1) + 1)
-            need = np.minimum(need, lists)
-            owner = np.repeat(np.arange(len(x)), need)
-            found = np.concatenate([order[i, :n] for i, n in enumerate(need)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(1).take(pa.array(owner)), pa.array(found), batch.column(0).take(pa.array(owner))],
-                ["q", "list", "qv"],
-            )
-
-    probed = staged(asking.select("v", "q").mapInArrow(probe, "q long, list int, qv array<double>"), "probes")
-    asks = {r["list"]: r["count"] for r in probed.groupBy("list").count().collect()}
-
-    def blocks(counts: dict[int, int], most: int) -> Column:
-        """Number of blocks of a list, from at most MAX_LISTS counts."""
-        return F.array(*[F.lit(max(1, -(-counts.get(i, 0) // most))) for i in range(lists)])[F.col("list")]
-
-    left = indexed.withColumn("b", F.pmod(F.xxhash64("c"), blocks(sizes, BLOCK_ROWS).cast("long")).cast("int"))
-    left = left.withColumn("a", F.explode(F.sequence(F.lit(0), blocks(asks, BLOCK_QUERIES) - 1)))
-    right = probed.withColumn("a", F.pmod(F.xxhash64("q"), blocks(asks, BLOCK_QUERIES).cast("long")).cast("int"))
-    right = right.withColumn("b", F.explode(F.sequence(F.lit(0), blocks(sizes, BLOCK_ROWS) - 1)))
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                x = _matrix(part.column(0))
+                order = np.argsort(-(m.padded(x) @ m.centroids.T), axis=1, kind="stable")
+                # so many lists that there are candidates enough
+                need = np.maximum(n_probes, (np.cumsum(size[order], axis=1) < least).sum(axis=1) + 1)
+                owner, blocks, chosen = [], [], []
+                for i, n in enumerate(np.minimum(need, lists)):
+                    mine = order[i, :n]
+                    mine = mine[np.argsort(block[mine], kind="stable")]
+                    names, starts = np.unique(block[mine], return_index=True)
+                    owner += [i] * len(names)
+                    blocks += names.tolist()
+                    chosen += [run.astype("<i4").tobytes() for run in np.split(mine, starts[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(1).take(pa.array(owner)), pa.array(blocks, pa.int32()), pa.array(chosen, pa.binary()), part.column(0).take(pa.array(owner))],
+                    ["q", "block", "lists", "qv"],
+                )
+
+    probed = staged(asking.select("v", "q").mapInArrow(probe, "q long, block int, lists binary, qv array<double>"), "probes")
+    asks = {r["block"]: r["count"] for r in probed.groupBy("block").count().collect()}  # at most as many rows as lists
+    blocks = int(block.max()) + 1
+    in_parts = np.ones(blocks, dtype=np.int64)
+    np.maximum.at(in_parts, block, parts)
+    in_asks = [max(1, -(-asks.get(b, 0) // BLOCK_QUERIES)) for b in range(blocks)]
+
+    def of_block(values: list[int]) -> Column:
+        return F.array(*[F.lit(int(x)) for x in values])[F.col("block")]
+
+    left = indexed.withColumn("block", F.array(*[F.lit(int(x)) for x in block])[F.col("list")])
+    left = left.withColumn("b", F.pmod(F.xxhash64("c"), of_block(in_parts).cast("long")).cast("int"))
+    left = left.withColumn("a", F.explode(F.sequence(F.lit(0), of_block(in_asks) - 1)))
+    right = probed.withColumn("a", F.pmod(F.xxhash64("q"), of_block(in_asks).cast("long")).cast("int"))
+    right = right.withColumn("b", F.explode(F.sequence(F.lit(0), of_block(in_parts) - 1)))
 
     def search(key: tuple, cand: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"q": np.empty(0, np.int64), "c": np.empty(0, np.int64), "score": np.empty(0)})
-        if not len(cand) or not len(ask):
-            return none
-        m = shared.value
-        x = np.stack(cand["v"].to_numpy())
-        ids = cand["c"].to_numpy()
-        codes = np.stack([np.frombuffer(b, np.uint8) for b in cand["code"]])
-        centre = m.centroids[key[0]]
-        out = []
-        for at in range(0, len(ask), 64):
-            q = np.stack(ask["qv"].to_numpy()[at : at + 64])
-            names = ask["q"].to_numpy()[at : at + 64]
-            tables = m.tables(q)
-            rough = np.repeat((m.padded(q) @ centre).astype(np.float32)[:, None], len(x), axis=1)
-            for s in range(codes.shape[1]):
-                rough += tables[:, s, :][:, codes[:, s]]
-            r = min(len(x), max(refine, k + 1))
-            best = np.argpartition(-rough, r - 1, axis=1)[:, :r] if r < len(x) else np.tile(np.arange(len(x)), (len(q), 1))
-            exact = (x[best] * q[:, None, :]).sum(axis=2)
-            order = np.lexsort((ids[best], -exact), axis=1)[:, : k + 1]
-            rows_ = np.arange(len(q))[:, None]
-            out.append((np.repeat(names, order.shape[1]), ids[best[rows_, order]].ravel(), exact[rows_, order].ravel()))
-        q_, c_, s_ = (np.concatenate(z) for z in zip(*out, strict=True))
-        return pd.DataFrame({"q": q_, "c": c_, "score": s_})
-
-    keys = ["list", "a", "b"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, "q long, c long, score double")
-    by_score = Window.partitionBy("q").orderBy(F.desc("score"), "c")
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        if len(cand):
+            cand = cand.sort_values("list", kind="stable")
+            m = shared.value
+            x = np.stack(cand["v"].to_numpy())
+            c, ids = cand["c"].to_numpy(), cand["least"].to_numpy()
+            codes = np.stack([np.frombuffer(b, np.uint8) for b in cand["code"]])
+            names, starts = np.unique(cand["list"].to_numpy(), return_index=True)
+            runs = dict(zip(names.tolist(), zip(starts.tolist(), [*starts[1:].tolist(), len(x)], strict=True), strict=True))
+            for at in range(0, len(ask), CHUNK_QUERIES):
+                some = ask.iloc[at : at + CHUNK_QUERIES]
+                out.append(_search(m, x, c, ids, codes, runs, some, k, refine))
+        q_, c_, i_, s_ = (np.concatenate(z) for z in zip(*out, strict=True))
+        return pd.DataFrame({"q": q_, "c": c_, "least": i_, "score": s_})
+
+    keys = ["block", "a", "b"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, "q long, c long, least long, score double")
+    by_score = Window.partitionBy("q").orderBy(F.desc("score"), "least", "c")
     top = found.withColumn("n", F.row_number().over(by_score)).filter(F.col("n") <= k + 1)
     # ids of the classes; per query vector the k + 1 best ids
     items = top.join(classes.select("c", "ids"), "c").select("q", "score", F.explode("ids").alias("vec_id"))
@@ -250,6 +295,41 @@ def nearest_neighbours(
     )
 
 
+def _search(m: IvfPq, x, c, ids, codes, runs: dict, ask: pd.DataFrame, k: int, refine: int):  # noqa: ANN001, ANN202
+    """The best of a block for some queries: by asymmetric distances in the lists each of them probes, then exactly."""
+    q = np.stack(ask["qv"].to_numpy())
+    names = ask["q"].to_numpy()
+    wanted = [np.frombuffer(b, "<i4") for b in ask["lists"]]
+    owner = np.repeat(np.arange(len(q)), [len(w) for w in wanted])
+    asked = np.concatenate(wanted)
+    order = np.argsort(asked, kind="stable")
+    asked, owner = asked[order], owner[order]
+    tables = m.tables(q)
+    rough = np.full((len(q), len(x)), -np.inf, dtype=np.float32)
+    lists, starts = np.unique(asked, return_index=True)
+    for number, a, b in zip(lists.tolist(), starts.tolist(), [*starts[1:].tolist(), len(asked)], strict=True):
+        if number not in runs:
+            continue
+        lo, hi = runs[number]
+        who, code = owner[a:b], codes[lo:hi]
+        part = np.repeat((m.padded(q[who]) @ m.centroids[number]).astype(np.float32)[:, None], hi - lo, axis=1)
+        mine = tables if len(who) == len(q) else tables[who]
+        for s in range(code.shape[1]):
+            part += mine[:, s, :].take(code[:, s], axis=1)
+        rough[who, lo:hi] = part
+    r = min(len(x), max(refine, k + 1))
+    best = np.argpartition(-rough, r - 1, axis=1)[:, :r] if r < len(x) else np.tile(np.arange(len(x)), (len(q), 1))
+    near = np.take_along_axis(rough, best, axis=1) > -np.inf
+    # one product after the other, so that a score does not depend on what else is searched
+    exact = (x[best] * q[:, None, :]).sum(axis=2)
+    exact[~near] = -np.inf
+    rank = np.lexsort((ids[best], -exact), axis=1)[:, : k + 1]
+    at = np.arange(len(q))[:, None]
+    keep = near[at, rank].ravel()
+    out = (np.repeat(names, rank.shape[1]), c[best[at, rank]].ravel(), ids[best[at, rank]].ravel(), exact[at, rank].ravel())
+    return tuple(o[keep] for o in out)
+
+
 def op2_nearest(spark, sf_dir):  # noqa: ANN001, ANN201
     """The 20 nearest of every vector whose id is divisible by 20, among all other vectors."""
     from twigline.llm.common import table
