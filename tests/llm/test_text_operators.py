@@ -38,6 +38,50 @@ def test_language_model(spark):
     assert {r.lang_pred for r in langid.predict_language(df.limit(3), empty).collect()} == {"und"}
 
 
+def test_long_texts_are_read_in_slices(monkeypatch):
+    text = prose("de", random.Random(14), 400) + "\n123  " + prose("fr", random.Random(15), 300)
+    whole = np.bincount(langid.subwords(text), minlength=langid.BUCKETS)
+    monkeypatch.setattr(langid, "SLICE", 50)
+    ids, counts = langid.subword_counts(text)
+    assert len(list(langid.slices(text))) > 20 and (whole[ids] == counts).all() and whole.sum() == counts.sum()
+
+
+def test_unknown_languages_are_rejected():
+    rng = random.Random(16)
+    rows = [(x, *langid.subword_counts(prose(x, rng))) for x in ("en", "de") for _ in range(300)]
+    model = langid.fit(rows)
+    known = [model.predict(prose(x, rng))[2] for x in ("en", "de") for _ in range(200)]
+    other = [model.predict(" ".join("".join(rng.choices(["ko", "zja", "mbu", "ó", "ivy"], k=3)) for _ in range(60)))[2] for _ in range(100)]
+    assert sum(known) <= 4 and sum(other) >= 95
+
+
+def test_sample_is_bounded(spark, monkeypatch):
+    rng = random.Random(17)
+    rows = [(i, "en", prose("en", rng, 20)) for i in range(300)] + [(5, "en", "same id")] * 200 + [(9000, "xx", prose("fr", rng))]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    seen = []
+    monkeypatch.setattr(langid, "fit", lambda samples: seen.append(samples))
+    langid.train_language_model(df, rows_per_lang=50)
+    of = [lang for lang, _, _ in seen[0]]
+    assert of.count("xx") == 1 and 40 <= of.count("en") <= 50
+    monkeypatch.setattr(langid, "SAMPLE_BYTES", 40_000)
+    langid.train_language_model(df, rows_per_lang=50)
+    assert sum(6 * len(ids) for _, ids, _ in seen[1]) <= 60_000 and {x for x, _, _ in seen[1]} == {"en", "xx"}
+
+
+def test_language_query_on_held_out_rows(spark):
+    """The query's rows against the labels it did not learn from."""
+    data = "/root/testdata/sf0.01"
+    truth = {r.doc_id: (r.lang, zlib.crc32(str(r.doc_id).encode()) % 4 == 2, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    rows = queries.QUERIES["op4_language_id"](spark, data).collect()
+    assert len(rows) == len(truth)
+    held = [r for r in rows if truth[r.doc_id][0] and r.held_out]
+    assert len(held) > 100 and all(r.held_out == truth[r.doc_id][1] and 0 <= r.score <= 1 for r in rows)
+    assert sum(r.lang_pred == truth[r.doc_id][0] for r in held) >= 0.97 * len(held)
+    assert all((r.lang_pred == "und") == (not langid.has_letter(truth[r.doc_id][2])) for r in rows)
+    assert sum(r.rejected for r in held) <= 0.01 * len(held)
+
+
 def test_folding_equals_averaging():
     rng = np.random.default_rng(0)
     samples = [(x, *np.unique(langid.subwords(t), return_counts=True)) for x, t in [("a", "abc abd"), ("b", "xyz xyw")] * 20]

@@ -8,6 +8,7 @@ sample rows that training did not see.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,11 +22,13 @@ from twigline.llm.common import stable_key
 BUCKETS = 1 << 15
 DIMENSIONS = 8
 GRAMS = (1, 2, 3, 4)
-#: Rows of each language in the training sample, at most; languages kept, at most.
+#: Rows of each language in the training sample, at most; languages learned, at most: the most frequent (ties: by name).
 ROWS_PER_LANG = 700
 MAX_LANGS = 200
+#: Bytes of bucket counts that the sample may bring to the driver, shared evenly by the languages.
+SAMPLE_BYTES = 256 << 20
 EPOCHS = 6
-#: Share of well labelled calibration rows that the rejection threshold may cost.
+#: Share of well labelled calibration rows that either rejection threshold may cost.
 REJECT_SHARE = 0.001
 UNDETERMINED = "und"
 
@@ -33,8 +36,13 @@ UNDETERMINED = "und"
 _WORD_BYTE = np.array([chr(b).isalpha() if b < 128 else True for b in range(256)])
 
 
+#: Characters of a slice of a long text.
+SLICE = 1 << 18
+_GAP = re.compile(r"[ \t-\r]")
+
+
 def subwords(text: str) -> np.ndarray:
-    """Bucket of every subword of the lower-cased whole text."""
+    """Bucket of every subword of the lower-cased text."""
     raw = np.frombuffer(b" " + text.lower().encode("utf-8", "surrogatepass") + b" ", dtype=np.uint8)
     raw = np.where(_WORD_BYTE[raw], raw, np.uint8(32))
     blank = raw == 32
@@ -56,6 +64,28 @@ def subwords(text: str) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, dtype=np.uint32)
 
 
+def slices(text: str) -> Iterator[str]:
+    """A whole text in runs cut at white space: their subwords together are the text's."""
+    at = 0
+    while len(text) - at > SLICE:
+        cut = _GAP.search(text, at + SLICE)
+        if not cut:
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:] if at else text
+
+
+def subword_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets of a whole text, and how often each occurs."""
+    parts = [subwords(s) for s in slices(text)]
+    if len(parts) == 1:
+        return np.unique(parts[0], return_counts=True)
+    every = sum(np.bincount(p, minlength=BUCKETS) for p in parts)
+    ids = np.flatnonzero(every)
+    return ids.astype(np.uint32), every[ids]
+
+
 def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
@@ -67,25 +97,32 @@ class LanguageModel:
     weights: np.ndarray  # dimensions x languages
     bias: np.ndarray
     temperature: float = 1.0
-    threshold: float = 0.0
+    threshold: float = 0.0  # least score that is not rejected
+    seen: np.ndarray | None = None  # whether a bucket occurs in the training rows
+    least_seen: float = 0.0  # least share of seen subwords that is not rejected
 
     def folded(self) -> np.ndarray:
         """Logits of every bucket: averaging them equals averaging embeddings first."""
         return (self.embeddings @ self.weights).astype(np.float32)
 
-    def predict(self, text: str | None, folded: np.ndarray | None = None) -> tuple[str, float]:
+    def predict(self, text: str | None, folded: np.ndarray | None = None) -> tuple[str, float, bool]:
+        """(language, score, rejected) of a whole text."""
         if not self.langs or not has_letter(text):
-            return UNDETERMINED, 0.0
+            return UNDETERMINED, 0.0, True
         folded = self.folded() if folded is None else folded
-        ids = subwords(text)
-        if not len(ids):
-            return UNDETERMINED, 0.0
-        total = np.zeros(folded.shape[1])
-        for at in range(0, len(ids), 1 << 18):
-            total += folded[ids[at : at + (1 << 18)]].sum(axis=0, dtype=np.float64)
-        p = _softmax((total / len(ids) + self.bias) / self.temperature)
+        total, n, seen = np.zeros(folded.shape[1]), 0, 0
+        for part in slices(text):
+            ids = subwords(part)
+            total += folded[ids].sum(axis=0, dtype=np.float64)
+            n += len(ids)
+            if self.seen is not None:
+                seen += np.count_nonzero(self.seen[ids])
+        if not n:
+            return UNDETERMINED, 0.0, True
+        p = _softmax((total / n + self.bias) / self.temperature)
         best = int(p.argmax())
-        return self.langs[best], float(p[best])
+        unlike = self.seen is not None and seen < self.least_seen * n
+        return self.langs[best], float(p[best]), bool(p[best] < self.threshold or unlike)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -94,7 +131,12 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def fit(samples: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7, epochs: int = EPOCHS) -> LanguageModel:
-    """From (language, distinct buckets, their counts) of whole texts. Every fifth row calibrates."""
+    """From (language, distinct buckets, their counts) of whole texts. Every fifth row calibrates.
+
+    Rejection has two thresholds, both bounded by ``REJECT_SHARE``: on the score, and on the share of a text's subwords
+    that occur in training rows.  The latter is calibrated on held-out languages: each language in turn is unknown to
+    the others' subwords, and the threshold is the least that rejects such texts as well as any within the bound.
+    """
     langs = sorted({s[0] for s in samples})
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(samples))
@@ -133,9 +175,31 @@ def fit(samples: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7, epochs
         right = np.sort(p.max(axis=1)[p.argmax(axis=1) == y])
         if len(right):
             model.threshold = float(right[int(REJECT_SHARE * len(right))]) * 0.999
+    _calibrate_novelty(model, [samples[i] for i in train], [samples[i] for i in held])
     return model
 
 
+def _calibrate_novelty(model: LanguageModel, train: list, held: list) -> None:
+    by_lang = {x: np.zeros(BUCKETS, dtype=np.int32) for x in model.langs}
+    for lang, ids, _ in train:
+        by_lang[lang][ids] += 1
+    every = sum(by_lang.values(), np.zeros(BUCKETS, dtype=np.int32))
+    model.seen = every > 0
+
+    def share(seen: np.ndarray, row: tuple) -> float:
+        return float(row[2][seen[row[1]]].sum() / row[2].sum())
+
+    rows = [r for r in held if len(r[1])]
+    known = np.sort([share(model.seen, r) for r in rows])
+    unknown = np.array([share(every > by_lang[r[0]], r) for r in rows])
+    if len(known) and len(model.langs) > 1:
+        most = known[int(REJECT_SHARE * len(known))]  # no threshold above this is within the bound
+        caught = np.sort(unknown[unknown < most])
+        if len(caught):
+            # halfway between the unknown texts that can be told apart and the known ones
+            model.least_seen = float((caught[-1 - len(caught) // 100] + most) / 2)
+
+
 def train_language_model(
     docs: DataFrame,
     text_col: str = "text",
@@ -145,27 +209,39 @@ def train_language_model(
 ) -> LanguageModel:
     """Fit on at most ``rows_per_lang`` rows of each language (of ``MAX_LANGS`` languages), chosen by a hash.
 
-    First the keys of the sample are picked from narrow columns, then only their texts are read; the driver gets the
-    bucket counts of whole texts, never texts.
+    A language's distinct keys are counted first, so that only about as many rows as are wanted are ranked, however
+    frequent it is.  Then only the sample's texts are read; the driver gets the bucket counts of whole texts, never
+    texts, and of a language no more than its part of ``SAMPLE_BYTES``, at four bytes for each byte of text and gram
+    length, or for all buckets.
     """
     from pyspark.sql import Window
 
     spark = docs.sparkSession
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     keyed = rows.select(stable_key(*key_cols).alias("_h"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    narrow = keyed.select("_h", "lang")
+    most = F.least(F.lit(BUCKETS), F.octet_length("text") * len(GRAMS)) * 4
+    narrow = keyed.select("_h", "lang", most.cast("long").alias("most"))
+    langs = narrow.groupBy("lang").agg(F.approx_count_distinct("_h").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
+    langs = langs.collect()
+    # a hash below its language's bound: half as many again as wanted
+    share = {r["lang"]: min(1.0, 1.5 * rows_per_lang / max(1, r["n"]) + 1e-12) for r in langs}
+    bounds = spark.createDataFrame([(x, p * 2.0**63) for x, p in share.items()], "lang string, bound double")
+    low = narrow.join(F.broadcast(bounds), "lang").filter(F.shiftrightunsigned("_h", 1).cast("double") <= F.col("bound"))
+    low = low.groupBy("_h", "lang").agg(F.max("most").alias("most"))
     by_lang = Window.partitionBy("lang").orderBy("_h")
-    picked = narrow.withColumn("_n", F.row_number().over(by_lang)).filter(F.col("_n") <= rows_per_lang)
-    picked = picked.select("_h", "lang").limit(rows_per_lang * MAX_LANGS).collect()  # a bounded sample's keys
+    so_far = F.sum("most").over(by_lang.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    picked = low.withColumns({"_n": F.row_number().over(by_lang), "_bytes": so_far})
+    picked = picked.filter((F.col("_n") <= rows_per_lang) & ((F.col("_n") == 1) | (F.col("_bytes") <= SAMPLE_BYTES // max(1, len(langs)))))
+    picked = picked.select("_h", "lang").collect()  # a bounded sample's keys
     if not picked:
         return LanguageModel([], np.zeros((BUCKETS, DIMENSIONS)), np.zeros((DIMENSIONS, 1)), np.zeros(1))
     sample = spark.createDataFrame(picked, "_h long, lang string").distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [np.unique(subwords(t.as_py()), return_counts=True) for t in batch.column(1)]
-            ids = [i.astype("<u4").tobytes() for i, _ in out]
-            counts = [c.astype("<u4").tobytes() for _, c in out]
+            out = [subword_counts(t.as_py()) for t in batch.column(1)]
+            ids = [i.astype("<u2").tobytes() for i, _ in out]
+            counts = [c.astype("<f4").tobytes() for _, c in out]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())],
                 ["lang", "h", "ids", "counts"],
@@ -173,10 +249,12 @@ def train_language_model(
 
     texts = keyed.join(F.broadcast(sample), ["_h", "lang"], "left_semi").select("lang", "text", F.col("_h").alias("h"))
     got = texts.mapInArrow(count, "lang string, h long, ids binary, counts binary")
-    found = {(r.h, r.lang): r for r in got.dropDuplicates(["h", "lang"]).collect()}
+    # rows with one key and language but different texts: the one with the most counts, then the greatest
+    best = F.max(F.struct(F.length("ids"), "ids", "counts")).alias("b")
+    found = got.groupBy("h", "lang").agg(best).select("h", "lang", "b.ids", "b.counts").collect()
     samples = [
-        (r.lang, np.frombuffer(r.ids, "<u4"), np.frombuffer(r.counts, "<u4").astype(np.float64))
-        for _, r in sorted(found.items())
+        (r.lang, np.frombuffer(r.ids, "<u2"), np.frombuffer(r.counts, "<f4"))
+        for r in sorted(found, key=lambda r: (r.h, r.lang))
     ]
     return fit(samples)
 
@@ -185,7 +263,8 @@ def predict_language(docs: DataFrame, model: LanguageModel, text_col: str = "tex
     """All columns of ``docs`` and lang_pred, lang_score, lang_rejected.
 
     Only the text is looked at, as a whole.  Null texts, and texts without a letter, are ``und`` with score 0 and
-    rejected; so is everything when there was nothing to learn from.  Columns of ``docs`` with these names give way.
+    rejected; so is everything when there was nothing to learn from.  Other texts are rejected for a low score or for
+    subwords that the training texts scarcely hold.  Equal texts get equal values; an empty table gives no rows.  Columns of ``docs`` with these names give way.
     """
     columns = [c for c in docs.columns if c not in ("lang_pred", "lang_score", "lang_rejected")]
     spark = docs.sparkSession
@@ -198,8 +277,7 @@ def predict_language(docs: DataFrame, model: LanguageModel, text_col: str = "tex
         folded = m.folded()
         for batch in batches:
             out = [m.predict(t.as_py(), folded) for t in batch.column(at)]
-            langs, scores = [x[0] for x in out], [x[1] for x in out]
-            rejected = [x == UNDETERMINED or s < m.threshold for x, s in out]
+            langs, scores, rejected = ([x[k] for x in out] for k in range(3))
             added = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())]
             names = [*batch.schema.names, "lang_pred", "lang_score", "lang_rejected"]
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], names)
