@@ -21,19 +21,26 @@ TOXIC_FROM = 0.9
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the classifier does not reject; lang becomes the predicted language."""
+    """Documents whose language the classifier does not reject; lang becomes the predicted language.
+
+    Null texts and texts without a letter are rejected; null ids and repeated rows stay with the rest; if no document
+    has a language to learn from, or there are none, nothing stays.
+    """
     model = train_language_model(docs.filter(F.col("doc_id").isNotNull()))
     out = predict_language(docs, model).filter(~F.col("lang_rejected"))
     return out.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates: that with the smallest id, nulls last, then the smallest text hash."""
-    first = simhash_survivors(docs).withColumnsRenamed({"doc_id": "_id", "text_hash": "_first"})
-    rows = docs.withColumn("_hash", text_hash("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_hash").eqNullSafe(F.col("_first"))
+    """One row of each group of near-duplicates: that with the smallest id, nulls last, then the smallest text hash.
+
+    Of rows equal in id and text, one stays.  Null and empty texts are one group; an empty table gives no rows.
+    """
+    first = simhash_survivors(docs).withColumnsRenamed({"doc_id": "id", "text_hash": "first"})
+    rows = docs.select("doc_id", text_hash("text").alias("hash"), F.struct(*docs.columns).alias("row"))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & F.col("hash").eqNullSafe(F.col("first"))
     kept = rows.join(first, same, "left_semi")
-    return kept.dropDuplicates(["doc_id", "_hash"]).select(*docs.columns)
+    return kept.dropDuplicates(["doc_id", "hash"]).select("row.*")
 
 
 def kept_rate() -> Column:
@@ -42,16 +49,20 @@ def kept_rate() -> Column:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its rate says: the whole part, and once more with the rest as probability."""
-    rates = mixing_rates(docs, table(spark, sf_dir, "labels"), gains=MIX_GAINS, keep=docs.columns)
+    """Each document as often as its rate says: the whole part, and once more with the rest as probability.
+
+    Documents without words stay once; equal ids share their draw; null ids too; an empty table gives no rows.
+    """
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    rates = mixing_rates(rows, table(spark, sf_dir, "labels"), gains=MIX_GAINS, keep=["doc_id", "row"])
     chance = F.shiftrightunsigned(stable_key("doc_id"), 11) / float(1 << 53)
     copies = F.floor(kept_rate() + chance).cast("int")
-    out = rates.withColumn("_copies", copies).filter("_copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    out = rates.select("row", copies.alias("copies")).filter("copies > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents packed into sequences of 2048 tokens."""
+    """Pieces of the documents packed into sequences of 2048 tokens; an empty text is its end id, no rows give none."""
     return pack_documents(docs)
 
 

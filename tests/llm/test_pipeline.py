@@ -36,7 +36,8 @@ def test_stages_take_effect(spark, tmp_path):
 def test_mixing_keeps_what_is_not_surely_toxic(spark, tmp_path, monkeypatch):
     rows = [(i, "t", p, 0.0) for i, p in enumerate([0.0, 0.5, 0.89, 0.9])]
     rated = spark.createDataFrame(rows, "doc_id long, text string, p_toxic double, rate double")
-    monkeypatch.setattr(pipeline, "mixing_rates", lambda *a, **k: rated)
+    packed = rated.selectExpr("doc_id", "struct(doc_id, text) AS row", "p_toxic", "rate")
+    monkeypatch.setattr(pipeline, "mixing_rates", lambda *a, **k: packed)
     monkeypatch.setattr(pipeline, "table", lambda *a: None)
     out = pipeline.mixing(spark, rated.select("doc_id", "text"), "")
     assert sorted(r.doc_id for r in out.collect()) == [0, 1, 2]
@@ -50,3 +51,50 @@ def test_near_duplicates_keep_one_row_of_every_group(spark):
     got = [(r.doc_id, r.text) for r in pipeline.near_duplicates(spark, df, "").collect()]
     assert len(got) == 5 and {(None, a), (5, b), (7, c), (7, d)} < set(got) and not [t for i, t in got if (i, t) not in rows]
     assert pipeline.near_duplicates(spark, df.filter("false"), "").count() == 0
+
+
+def test_stages_take_empty_tables_and_clashing_columns(spark, tmp_path):
+    text = " ".join(f"word{i} the and" for i in range(60))
+    kind = "doc_id long, text string, lang string, source string, n_chars long, tokens int, row int, rate int, hash int, id int"
+    docs = spark.createDataFrame([(i, text + f" {i}" * 40, "en", "s", 1, 1, 1, 1, 1, 1) for i in range(6)], kind)
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, docs.filter("false"), str(tmp_path)).count() == 0, name
+        out = stage(spark, docs, str(tmp_path))
+        assert out.count() > 0 and (name == "packing" or out.columns == docs.columns), name
+
+
+def test_pipeline_against_its_operators(spark, tmp_path):
+    """The pipeline's result, retraced from each stage's own decisions by plain Python."""
+    from twigline.llm import simhash, tokens
+
+    data = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    kept = pipeline.language(spark, docs, data)
+    kept.write.parquet(str(tmp_path / "a"))
+    kept = spark.read.parquet(str(tmp_path / "a"))
+    rows = {r.doc_id: r.text for r in kept.collect()}
+    fps = {i: simhash.fingerprint(t) for i, t in rows.items()}
+    root = {i: i for i in fps}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in fps:
+        for j in fps:
+            if i < j and (fps[i] ^ fps[j]).bit_count() <= 4:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    one = pipeline.near_duplicates(spark, kept, data)
+    assert {r.doc_id for r in one.collect()} == {i for i in fps if find(i) == i}
+    one.write.parquet(str(tmp_path / "b"))
+    one = spark.read.parquet(str(tmp_path / "b"))
+    mixed = pipeline.mixing(spark, one, data)
+    times = {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
+    pieces = {}
+    for r in pipeline.run(spark, data).collect():
+        pieces[r.doc_id] = pieces.get(r.doc_id, 0) + r.length
+    enc = tokens.encoder()
+    assert pieces == {i: n * len(enc.encode_document(rows[i])) for i, n in times.items()}

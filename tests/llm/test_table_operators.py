@@ -188,7 +188,8 @@ def labelled(spark, n=600):
 
 def plain_rates(p, mass, target, steps=3000):
     """The same objective by plain projected gradients in numpy."""
-    m = (p * mass[:, None]).T @ p + np.eye(p.shape[1]) * (1e-9 * mass.sum() + 1e-9)
+    m = (p * mass[:, None]).T @ p
+    m += np.eye(p.shape[1]) * (mixing.DAMPING * np.trace(m) / p.shape[1] + 1e-9)
     r = np.ones(len(p))
     for _ in range(steps):
         r = np.maximum(0, r - p @ np.linalg.solve(m, (p * (mass * r)[:, None]).sum(axis=0) - target))
@@ -209,7 +210,8 @@ def test_mixing(spark):
     truth = out.doc_id.map(lambda i: ("good", "good", "low", "toxic")[int(i) % 4] if i == i and i < 600 else None)
     known = truth.notna()
     assert (p[known].argmax(axis=1) == truth[known].map(mixing.DOMAINS.index)).mean() > 0.97
-    assert np.allclose(out.rate.to_numpy(), plain_rates(p, mass, target), atol=1e-3)
+    assert np.allclose(reached, target, rtol=1e-5)  # of the documents' own posteriors
+    assert np.allclose(out.rate.to_numpy(), plain_rates(p, mass, target), atol=0.03)  # cells share a rate
     assert mixing.mixing_rates(docs.filter("false"), labels, weights).count() == 0
     assert mixing.mixing_rates(docs, labels.filter("false"), weights).count() == len(out)
 
@@ -221,7 +223,26 @@ def test_targets_out_of_reach_clip_at_zero(spark):
     mass = out.tokens.to_numpy(float)
     want = plain_rates(p, mass, np.array([mass.sum(), 0, 0]))
     assert (out.rate >= 0).all() and out.rate.min() < 0.05
-    assert np.allclose(out.rate.to_numpy(), want, atol=0.02)
+    assert np.allclose(out.rate.to_numpy(), want, atol=0.05)
+
+
+def test_mixing_says_what_it_misses(spark):
+    docs, labels = labelled(spark, 200)
+    _, report = mixing.mix(docs, labels, {"good": 0.5, "low": 0.3, "toxic": 0.2})
+    assert report["matched"] and report["gap"] <= mixing.TOLERANCE
+    clean = docs.filter("doc_id % 4 < 2")
+    with pytest.warns(UserWarning, match="missed"):
+        mixing.mixing_rates(clean, labels.filter("toxic = 0"), {"toxic": 1.0})
+
+
+def test_mixing_takes_clashing_columns_and_other_domains(spark):
+    docs, labels = labelled(spark, 200)
+    odd = docs.withColumnsRenamed({"rate": "_t"}).withColumns({c: F.lit(1) for c in ("tokens", "_f", "_keep", "p0", "q1", "p_good", "_s1")})
+    out = mixing.mixing_rates(odd, labels, {"good": 0.6, "low": 0.3, "toxic": 0.1}, keep=odd.columns)
+    assert len(set(out.columns)) == len(out.columns) and out.count() == docs.count()
+    kind = F.when(F.col("toxic") == 1, "bad").otherwise("fine")
+    two = mixing.mixing_rates(docs, labels, {"fine": 0.9, "bad": 0.1}, domain=kind, domains=("fine", "bad"))
+    assert two.columns == ["doc_id", "tokens", "p_fine", "p_bad", "rate"] and two.count() == docs.count()
 
 
 @pytest.mark.skipif(not os.path.exists(DATA), reason="no test tables")
@@ -241,7 +262,9 @@ def test_evidence_of_the_whole_text_counts(spark):
     docs, labels = labelled(spark)
     long = [(700, " ".join(["of it we on"] * 300 + ["moron trash loser"]), 5), (701, " ".join(["of it we on"] * 300 + ["apple river stone"]), 5)]
     model = mixing.train_domains(docs, labels)
-    out = {r.doc_id: r for r in mixing.memberships(docs.unionByName(spark.createDataFrame(long, docs.schema)), model, ["doc_id"]).collect()}
+    members = mixing.memberships(docs.unionByName(spark.createDataFrame(long, docs.schema)), model, ["doc_id"])
+    out = {r["_keep"].doc_id: r for r in members.collect()}
+    assert all(r.q0 + r.q1 + r.q2 == mixing.UNIT and r.p0 + r.p1 + r.p2 == mixing.GRID for r in out.values())
     assert out[700].p2 > 90 and out[701].p0 > 90
 
 

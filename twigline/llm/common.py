@@ -12,10 +12,14 @@ from pyspark.sql import functions as F
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
 
-    A machine-local folder is used only where that setting is absent (local tests).
+    A machine-local folder is used only where that setting is absent on a local master; elsewhere that is an error.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return root.rstrip("/") if root else f"file://{tempfile.gettempdir()}/twigline-scratch"
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"file://{tempfile.gettempdir()}/twigline-scratch"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -41,3 +45,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def stable_key(*cols: str) -> Column:
     """64-bit hash of the columns, equal for equal rows: a reproducible random order."""
     return F.xxhash64(F.lit("twigline"), *[F.col(c) for c in cols])
+
+
+def packed(columns: list[str]) -> Column:
+    """Columns to keep, in one struct: their names can't meet those of an operator's own columns."""
+    return (F.struct(*[F.col(f"`{c}`") for c in columns]) if columns else F.struct(F.lit(0).alias("_"))).alias("_keep")
+
+
+def unpacked(columns: list[str]) -> list[Column]:
+    return [F.col("_keep").getField(c).alias(c) for c in columns]

@@ -1,22 +1,25 @@
 """Mixing sources to target weights by soft membership (operator 10).
 
 A labelled table trains a classifier of domains (multinomial naive Bayes over hashed words, softened by a temperature
-that is fitted on held-out labels); every document gets posteriors over the domains from its whole text; projected-gradient least squares then fits nonnegative rates of documents so that the
-expected tokens of each domain, summed over all documents, match their targets.
+that is fitted on held-out labels); every document gets posteriors over the domains from its whole text;
+projected-gradient least squares then fits nonnegative rates of documents so that the expected tokens of each domain,
+summed over all documents, match their targets.
 
-DataFrame functions only.  Posteriors are kept in steps of 1/``GRID``, so a rate, which depends on posteriors alone, is
-fitted over the token sums of at most a fixed number of grid cells, and every gradient step is one small aggregation.
+DataFrame functions only.  Posteriors are whole millionths (``UNIT``).  Documents whose posteriors round to the same
+steps of 1/``GRID`` share a rate, and every cell of that grid carries the exact expected tokens of its documents: the
+totals that are fitted are those of the documents' own posteriors, and every gradient step is one small aggregation.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twigline.llm.common import stable_key, staged
+from twigline.llm.common import packed, stable_key, staged, unpacked
 
 DOMAINS = ("good", "low", "toxic")
 BUCKETS = 1 << 13
@@ -26,9 +29,13 @@ LABEL_ROWS = 20_000
 HELD_OUT, COLDEST, HOTTEST = 5, 0.1, 1000.0
 #: All domains together weigh so much, of their counts, in each domain's: rare words say little.
 SHRINK = 0.1
-GRID = 100
+UNIT, GRID = 1_000_000, 100
 STEPS = 100
 TOLERANCE = 1e-6
+#: Share of the mean second moment added to each domain's: bounds how much more a domain that few texts differ in weighs.
+DAMPING = 0.01
+#: Cells up to which their rates are broadcast; three domains have at most 5,151.
+BROADCAST_CELLS = 200_000
 
 
 def domain_of() -> Column:
@@ -49,18 +56,19 @@ class DomainModel:
     priors: list[float]  # log
     weights: list[list[float]]  # domain x bucket: log probability against the first domain
     temperature: float = 1.0  # scores are divided by it: words of a text are not independent
+    domains: tuple[str, ...] = DOMAINS
 
 
-def _log_weights(counts: list, held: tuple[bool, ...]) -> list[list[float]]:
-    seen = {d: [0.1] * BUCKETS for d in DOMAINS}
+def _log_weights(counts: list, held: tuple[bool, ...], domains: tuple[str, ...]) -> list[list[float]]:
+    seen = {d: [0.1] * BUCKETS for d in domains}
     for r in counts:
         if r["held"] in held:
             seen[r["domain"]][r["bucket"]] += r["count"]
     pooled = [SHRINK * sum(c) for c in zip(*seen.values(), strict=True)]
     extra = sum(pooled)
-    totals = {d: math.log(sum(seen[d]) + extra) for d in DOMAINS}
-    logs = {d: [math.log(c + q) - totals[d] for c, q in zip(seen[d], pooled, strict=True)] for d in DOMAINS}
-    return [[round(a - b, 4) for a, b in zip(logs[d], logs[DOMAINS[0]], strict=True)] for d in DOMAINS]
+    totals = {d: math.log(sum(seen[d]) + extra) for d in domains}
+    logs = {d: [math.log(c + q) - totals[d] for c, q in zip(seen[d], pooled, strict=True)] for d in domains}
+    return [[round(a - b, 4) for a, b in zip(logs[d], logs[domains[0]], strict=True)] for d in domains]
 
 
 def fit_temperature(scored: list[tuple[int, list[float]]], priors: list[float]) -> float:
@@ -83,12 +91,20 @@ def fit_temperature(scored: list[tuple[int, list[float]]], priors: list[float])
     return 2 / (low + high)
 
 
-def train_domains(docs: DataFrame, labels: DataFrame, label_rows: int = LABEL_ROWS) -> DomainModel:
+def train_domains(
+    docs: DataFrame,
+    labels: DataFrame,
+    label_rows: int = LABEL_ROWS,
+    domain: Column | None = None,
+    domains: tuple[str, ...] = DOMAINS,
+) -> DomainModel:
     """From at most ``label_rows`` labelled documents, chosen by a hash of the id; words are counted in the cluster.
 
-    The temperature is fitted on held-out texts with the weights of the others; the model's weights are those of all.
+    ``domain`` (default: ``domain_of()``) gives a labelled row's domain, one of ``domains``; others teach nothing.  The
+    temperature is fitted on held-out texts with the weights of the others; the model's weights are those of all.
     """
-    sample = labels.select("doc_id", domain_of().alias("domain")).filter("doc_id is not null and domain is not null")
+    name = (domain_of() if domain is None else domain).alias("domain")
+    sample = labels.select("doc_id", name).filter(F.col("doc_id").isNotNull() & F.col("domain").isin(*domains))
     sample = sample.orderBy(stable_key("doc_id"), "doc_id", "domain").limit(label_rows).distinct()
     rows = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(sample), "doc_id")
     # copies of a text are held out together
@@ -96,16 +112,16 @@ def train_domains(docs: DataFrame, labels: DataFrame, label_rows: int = LABEL_RO
     words = rows.select("domain", "held", F.explode(features(F.col("text"))).alias("bucket"))
     counts = words.groupBy("domain", "held", "bucket").count().collect()  # at most 2 x domains x BUCKETS rows
     of = sample.groupBy("domain").count().collect()
-    n = {d: 1.0 for d in DOMAINS}
+    n = {d: 1.0 for d in domains}
     for r in of:
         n[r["domain"]] += r["count"]
     every = sum(n.values())
-    priors = [math.log(n[d] / every) for d in DOMAINS]
+    priors = [math.log(n[d] / every) for d in domains]
     scored = rows.filter("held").select("doc_id", "domain", features(F.col("text")).alias("_f"))
-    scored = scored.select("doc_id", "domain", F.struct(*_scores(_log_weights(counts, (False,)))).alias("s"))
+    scored = scored.select("doc_id", "domain", F.struct(*_scores(_log_weights(counts, (False,), domains))).alias("s"))
     scored = scored.groupBy("doc_id", "domain").agg(F.min("s").alias("s")).collect()  # at most label_rows rows
-    temperature = fit_temperature([(DOMAINS.index(r["domain"]), [0.0, *r["s"]]) for r in scored], priors)
-    return DomainModel(priors, _log_weights(counts, (False, True)), temperature)
+    temperature = fit_temperature([(domains.index(r["domain"]), [0.0, *r["s"]]) for r in scored], priors)
+    return DomainModel(priors, _log_weights(counts, (False, True), domains), temperature, tuple(domains))
 
 
 def _sum_of(array: Column, places: str) -> Column:
@@ -120,26 +136,30 @@ def _scores(weights: list[list[float]]) -> list[Column]:
 
 
 def memberships(docs: DataFrame, model: DomainModel, keep: list[str]) -> DataFrame:
-    """``keep``, tokens (words) and p0, p1, ...: posteriors in whole steps of 1/GRID that add up to GRID."""
-    rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_t"))
-    rows = rows.select(*keep, features(F.col("_t")).alias("_f"), F.size(F.filter(F.split(F.trim("_t"), "\\s+"), lambda x: x != "")).alias("tokens"))
-    rows = rows.select(*keep, "tokens", *_scores(model.weights))
-    logits = [F.lit(model.priors[0])] + [
-        F.lit(model.priors[d]) + F.col(f"_s{d}") / model.temperature for d in range(1, len(DOMAINS))
-    ]
-    rows = rows.select(*keep, "tokens", *[x.alias(f"_l{d}") for d, x in enumerate(logits)])
-    top = F.greatest(*[F.col(f"_l{d}") for d in range(len(DOMAINS))])
-    rows = rows.select(*keep, "tokens", *[F.exp(F.col(f"_l{d}") - top).alias(f"_e{d}") for d in range(len(DOMAINS))])
-    total = sum((F.col(f"_e{d}") for d in range(1, len(DOMAINS))), F.col("_e0"))
+    """_keep (a struct of the columns ``keep``), tokens (words), q0, q1, ...: posteriors in whole millionths that add up
+    to ``UNIT``, and p0, p1, ...: their cell, in steps of 1/``GRID`` that add up to ``GRID``."""
+    k = len(model.domains)
+    rows = docs.select(packed(keep), F.coalesce("text", F.lit("")).alias("_t"))
+    tokens = F.size(F.filter(F.split(F.trim("_t"), "\\s+"), lambda x: x != "")).alias("tokens")
+    rows = rows.select("_keep", features(F.col("_t")).alias("_f"), tokens)
+    rows = rows.select("_keep", "tokens", *_scores(model.weights))
+    logits = [F.lit(model.priors[0])] + [F.lit(model.priors[d]) + F.col(f"_s{d}") / model.temperature for d in range(1, k)]
+    rows = rows.select("_keep", "tokens", *[x.alias(f"_l{d}") for d, x in enumerate(logits)])
+    top = F.greatest(*[F.col(f"_l{d}") for d in range(k)])
+    rows = rows.select("_keep", "tokens", *[F.exp(F.col(f"_l{d}") - top).alias(f"_e{d}") for d in range(k)])
+    total = sum((F.col(f"_e{d}") for d in range(1, k)), F.col("_e0"))
     # floors of the cumulated shares: whole steps that add up exactly
-    upto = [F.lit(0)]
     run = F.lit(0.0)
-    for d in range(len(DOMAINS) - 1):
+    upto = []
+    for d in range(k - 1):
         run = run + F.col(f"_e{d}") / total
-        upto.append(F.floor(run * GRID + 0.5).cast("int"))
-    upto.append(F.lit(GRID))
-    parts = [(upto[d + 1] - upto[d]).cast("int").alias(f"p{d}") for d in range(len(DOMAINS))]
-    return rows.select(*keep, F.col("tokens").cast("long").alias("tokens"), *parts)
+        upto.append(F.floor(run * UNIT + 0.5).cast("long").alias(f"_u{d}"))
+    rows = rows.select("_keep", F.col("tokens").cast("long").alias("tokens"), *upto)
+    ends = [F.lit(0).cast("long"), *[F.col(f"_u{d}") for d in range(k - 1)], F.lit(UNIT).cast("long")]
+    cells = [F.expr("0")] + [F.expr(f"cast((_u{d} * {GRID} + {UNIT // 2}) div {UNIT} as int)") for d in range(k - 1)] + [F.lit(GRID)]
+    exact = [(ends[d + 1] - ends[d]).alias(f"q{d}") for d in range(k)]
+    rough = [(cells[d + 1] - cells[d]).cast("int").alias(f"p{d}") for d in range(k)]
+    return rows.select("_keep", "tokens", *exact, *rough)
 
 
 def _solve(m: list[list[float]], b: list[float]) -> list[float]:
@@ -157,33 +177,47 @@ def _solve(m: list[list[float]], b: list[float]) -> list[float]:
 
 
 def rate_after(steps: list[list[float]]) -> Column:
-    """The rate of a document from its posteriors, after these gradient steps from rate 1."""
+    """The rate of a cell from its mean posteriors e0, e1, ..., after these gradient steps from rate 1."""
     if not steps:
         return F.lit(1.0)
     flat = ";".join(",".join(map(repr, s)) for s in steps)
     history = F.transform(F.split(F.lit(flat), ";"), lambda x: F.split(x, ",").cast("array<double>"))
 
     def move(rate: Column, e: Column) -> Column:
-        slope = sum((F.col(f"p{d}") / GRID * e[d] for d in range(1, len(DOMAINS))), F.col("p0") / GRID * e[0])
+        slope = sum((F.col(f"e{d}") * e[d] for d in range(1, len(steps[0]))), F.col("e0") * e[0])
         return F.greatest(F.lit(0.0), rate - slope)
 
     return F.aggregate(history, F.lit(1.0), move)
 
 
 def fit_rates(
-    members: DataFrame, weights: dict[str, float] | None = None, gains: dict[str, float] | None = None, steps: int = STEPS
+    members: DataFrame,
+    weights: dict[str, float] | None = None,
+    gains: dict[str, float] | None = None,
+    steps: int = STEPS,
+    domains: tuple[str, ...] = DOMAINS,
 ) -> tuple[DataFrame, dict]:
-    """(p0, p1, ..., rate) for every posterior that occurs, and a report.
+    """(p0, p1, ..., rate) for every cell of posteriors that occurs, and a report.
 
     Targets are either ``weights`` (shares of the present total of tokens) or ``gains`` (factors on each domain's
     present expected tokens).  The objective is the squared distance of expected from target tokens in the metric of
-    the inverse token-weighted second moment of the posteriors; gradients are taken per token, where a step of 1 is
-    safe.  Each step moves every rate along its posteriors and projects it to zero or above.
+    the inverse token-weighted second moment of the cells' mean posteriors, damped by ``DAMPING``; gradients are taken
+    per token, where a step of 1 is safe.  Each step moves every rate along its posteriors and projects it to zero or
+    above; the fit ends at the targets, or where a step no longer moves the totals.
+
+    The report has the present, target and reached tokens of each domain, the steps taken, the largest distance from a
+    target as a share of all tokens (``gap``), and whether that is within ``TOLERANCE`` (``matched``).
     """
-    names = [f"p{d}" for d in range(len(DOMAINS))]
-    cells = staged(members.groupBy(*names).agg(F.sum("tokens").alias("mass")), "cells")  # at most (GRID+1)(GRID+2)/2 rows
-    p = [F.col(x) / GRID for x in names]
-    k = len(names)
+    k = len(domains)
+    names = [f"p{d}" for d in range(k)]
+    exact = [F.sum((F.col("tokens") * F.col(f"q{d}")).cast("decimal(38,0)")).alias(f"t{d}") for d in range(k)]
+    cells = members.groupBy(*names).agg(F.sum("tokens").cast("double").alias("mass"), *exact)
+    mean = [
+        F.when(F.col("mass") > 0, F.col(f"t{d}").cast("double") / UNIT / F.col("mass")).otherwise(F.col(f"p{d}") / GRID).alias(f"e{d}")
+        for d in range(k)
+    ]
+    cells = staged(cells.select(*names, "mass", *mean), "cells")
+    p = [F.col(f"e{d}") for d in range(k)]
     moments = cells.agg(
         *[F.sum(F.col("mass") * p[i] * p[j]).alias(f"m{i}{j}") for i in range(k) for j in range(i, k)],
         *[F.sum(F.col("mass") * x).alias(f"t{i}") for i, x in enumerate(p)],
@@ -192,46 +226,64 @@ def fit_rates(
     every = sum(have)
     if weights is not None:
         share = sum(weights.values())
-        target = [every * weights.get(d, 0.0) / share for d in DOMAINS]
+        target = [every * weights.get(d, 0.0) / share for d in domains]
     else:
-        target = [x * (gains or {}).get(d, 1.0) for d, x in zip(DOMAINS, have, strict=True)]
-    ridge = 1e-9 * every + 1e-9
+        target = [x * (gains or {}).get(d, 1.0) for d, x in zip(domains, have, strict=True)]
+    ridge = DAMPING / k * sum(moments[f"m{i}{i}"] or 0.0 for i in range(k)) + 1e-9
     m = [[(moments[f"m{min(i, j)}{max(i, j)}"] or 0.0) + (ridge if i == j else 0.0) for j in range(k)] for i in range(k)]
     taken: list[list[float]] = []
-    totals = have
-    for _ in range(steps):
+    totals, before = have, None
+    least = TOLERANCE * max(1.0, every)
+    while True:
         gap = [a - b for a, b in zip(totals, target, strict=True)]
-        if max(map(abs, gap)) <= TOLERANCE * max(1.0, every):
+        still = before is not None and max(abs(a - b) for a, b in zip(totals, before, strict=True)) <= least / 10
+        if max(map(abs, gap)) <= least or still or len(taken) == steps:
             break
+        before = totals
         taken.append(_solve(m, gap))
         row = cells.withColumn("rate", rate_after(taken)).agg(*[F.sum(F.col("mass") * x * F.col("rate")) for x in p]).first()
         totals = [x or 0.0 for x in row]
-    report = {"present": have, "target": target, "reached": totals, "steps": len(taken)}
+    off = max(map(abs, gap)) / max(1.0, every)
+    report = {"present": have, "target": target, "reached": totals, "steps": len(taken), "gap": off, "matched": off <= TOLERANCE}
     return cells.select(*names, rate_after(taken).alias("rate")), report
 
 
-def mixing_rates(
+def mix(
     docs: DataFrame,
     labels: DataFrame,
     weights: dict[str, float] | None = None,
     gains: dict[str, float] | None = None,
     keep: list[str] | None = None,
-) -> DataFrame:
-    """``keep`` (default doc_id) with tokens, the posteriors p_<domain>, and the rate of every document.
+    domain: Column | None = None,
+    domains: tuple[str, ...] = DOMAINS,
+) -> tuple[DataFrame, dict]:
+    """``keep`` (default doc_id) with tokens, the posteriors p_<domain> and the rate of every document, and the report
+    of ``fit_rates``.  Kept columns with a result's name give way.
 
     Null or empty texts have no words: the prior is their posterior, and they weigh nothing.  Labels that are null or of
     unknown documents teach nothing; without labels all posteriors are equal.  A rate depends on the posterior alone, so
     ties and repeated rows get equal rates.  An empty table gives no rows.  Targets that no nonnegative rates can reach
-    are approached in the least-squares sense.
+    are approached in the least-squares sense, and the report says how far they are.
     """
-    keep = keep or ["doc_id"]
-    model = train_domains(docs, labels)
+    made = ["tokens", *[f"p_{d}" for d in domains], "rate"]
+    keep = [c for c in (["doc_id"] if keep is None else keep) if c not in made]
+    model = train_domains(docs, labels, domain=domain, domains=domains)
     members = staged(memberships(docs, model, keep), "memberships")
-    rates, _ = fit_rates(members, weights, gains)
-    names = [f"p{d}" for d in range(len(DOMAINS))]
-    out = members.join(F.broadcast(rates), names)  # at most (GRID+1)(GRID+2)/2 rows
-    shown = [(F.col(x) / GRID).alias(f"p_{d}") for x, d in zip(names, DOMAINS, strict=True)]
-    return out.select(*keep, "tokens", *shown, "rate")
+    rates, report = fit_rates(members, weights, gains, domains=domains)
+    rates = staged(rates, "rates")
+    names = [f"p{d}" for d in range(len(domains))]
+    small = rates.count() <= BROADCAST_CELLS
+    out = members.join(F.broadcast(rates) if small else rates, names)
+    shown = [(F.col(f"q{i}") / UNIT).alias(f"p_{d}") for i, d in enumerate(domains)]
+    return out.select(*unpacked(keep), "tokens", *shown, "rate"), report
+
+
+def mixing_rates(docs: DataFrame, labels: DataFrame, *args, **options) -> DataFrame:  # noqa: ANN002, ANN003
+    """The rates of ``mix``; warns if they don't match the targets."""
+    rates, report = mix(docs, labels, *args, **options)
+    if not report["matched"]:
+        warnings.warn(f"targets are missed by {report['gap']:.2%} of all tokens: {report}", stacklevel=2)
+    return rates
 
 
 #: Shares of tokens that the query aims at.
