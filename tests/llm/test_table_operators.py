@@ -114,7 +114,7 @@ def test_preferences(spark):
     assert out[0].prompt == head and out[0].chosen_text == "<|turn assistant|>\nyes<|end|>\n"
     assert out[0].chosen_mask == "19:0,11:1" and out[0].rejected_text == "<|turn assistant|>\n<|end|>\n"
     assert out[1].chosen_text == out[1].rejected_text == "" and out[2].chosen_text == ""
-    assert "< |end|>" in out[4].prompt and out[4].prompt.count("<|end|>") == 1
+    assert "<\\|end|>" in out[4].prompt and out[4].prompt.count("<|end|>") == 1
     assert "<|turn unknown|>" in out[7].prompt
     for r in out:
         for text, mask in ((r.chosen_text, r.chosen_mask), (r.rejected_text, r.rejected_mask)):
@@ -122,10 +122,57 @@ def test_preferences(spark):
     assert preference.format_preferences(df.filter("false")).count() == 0
 
 
-def test_native_plans_hold_no_python(spark):
-    df = spark.read.parquet(f"{DATA}/conversations.parquet")
-    plan = preference.format_preferences(preference.swapped_answers(df))._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan
+def test_escapes_can_be_undone(spark):
+    texts = ["<|end|>", "<\\|x", "<\\\\|", "a < | b", "<||>", "<<|", "", "\\<|"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", preference._safe(F.col("t")).alias("s"), preference.unescape(preference._safe(F.col("t"))).alias("u")).collect():
+        assert r.u == r.t and "<|" not in r.s
+
+
+def test_every_conversation_finds_a_partner_by_its_opening(spark, monkeypatch):
+    monkeypatch.setattr(preference, "PAIR_BUCKETS", 7)
+    hot = [(i, t, r, x) for i in range(0, 80, 2) for t, r, x in [(0, "user", "hi"), (1, "assistant", f"a{i % 4}"), (2, "user", f"b{i}")]]
+    rest = [(101, 0, "user", "alone"), (103, 5, None, None), (105, 5, None, None), (107, 1, "user", "q"), (107, 1, "user", "q"), (None, 0, "user", "hi")]
+    df = spark.createDataFrame(hot + rest, "conv_id long, turn long, role string, text string")
+    of = {r.conv_id: r.partner for r in preference.partners(df).collect()}
+    assert of.keys() == {*range(0, 80, 2), 101, 103, 105, 107} and of[101] is of[107] is None and (of[103], of[105]) == (105, 103)
+    assert all(of[i] is not None and of[i] % 2 == 0 and of[i] != i for i in range(0, 80, 2))
+    out = {r.conv_id: r for r in preference.format_preferences(preference.paired_conversations(df)).collect()}
+    assert len(out) == 44 and all(out[i].common_turns == (2 if of[i] % 4 == i % 4 else 1) for i in range(0, 80, 2))
+    assert out[103].common_turns == 1 and out[103].chosen_text == "" and out[101].rejected_text == "" and out[107].chosen_text.count("q") == 2
+    assert preference.paired_conversations(df.filter("false")).count() == 0
+
+
+def test_clashing_columns(spark):
+    kind = "array<struct<role:string,text:string>>"
+    df = spark.createDataFrame([([("user", "x")], [("user", "y")], 1, 2, 3, 4)], f"chosen {kind}, rejected {kind}, _a int, _b int, _p int, _keep int")
+    out = preference.format_preferences(df)
+    assert out.columns[:4] == ["_a", "_b", "_p", "_keep"] and out.first()["_b"] == 2
+    docs = spark.createDataFrame([(i, "x" * 300, 1, 2, 3, 4) for i in range(20)], "doc_id long, text string, _h int, _size int, depth int, cell int")
+    shards = sharding.assign_shards(docs, limit=1000)
+    assert shards.columns == [*docs.columns, *sharding.MADE] and {r.depth for r in shards.collect()} == {3}
+
+
+def plans_of(spark, monkeypatch, name):
+    """Plans of all that a query executes, intermediate tables included."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    seen = []
+    plain = DataFrameWriter.parquet
+
+    def parquet(self, *a, **k):
+        seen.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return plain(self, *a, **k)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    seen.append(queries.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString())
+    return seen
+
+
+@pytest.mark.parametrize("name", ["op6_preference", "op10_mixing"])
+def test_native_plans_hold_no_python(spark, monkeypatch, name):
+    for plan in plans_of(spark, monkeypatch, name):
+        assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
 def check_shards(rows, limit):
@@ -168,7 +215,20 @@ def test_shards_split_only_where_over(spark):
 def test_shard_files(spark, tmp_path):
     df = spark.range(50).select(F.col("id").alias("doc_id"), F.lit("y" * 50).alias("text"))
     sharding.write_shards(df, str(tmp_path / "s"), limit=500)
-    assert spark.read.parquet(str(tmp_path / "s")).count() == 50
+    back = sharding.read_shards(spark, str(tmp_path / "s"), df.schema)
+    assert back.count() == 50 and back.columns == ["doc_id", "text", "shard_bits", "shard_bytes_each", "shard"]
+    assert max(r["n"] for r in back.groupBy("shard").agg(F.sum(F.length("text")).alias("n")).collect()) <= 500
+    want = {r.doc_id: r.shard for r in sharding.assign_shards(df, limit=500).collect()}
+    assert {r.doc_id: r.shard for r in back.collect()} == want
+    sharding.write_shards(df.filter("false"), str(tmp_path / "e"))
+    assert sharding.read_shards(spark, str(tmp_path / "e"), df.schema).count() == 0
+
+
+def test_large_directories_are_joined(spark, monkeypatch):
+    df = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("y" * 50).alias("text"))
+    small = {r.doc_id: r.shard for r in sharding.assign_shards(df, limit=500).collect()}
+    monkeypatch.setattr(sharding, "BROADCAST_CELLS", 0)
+    assert {r.doc_id: r.shard for r in sharding.assign_shards(df, limit=500).collect()} == small
 
 
 def labelled(spark, n=600):

@@ -5,26 +5,39 @@ DataFrame functions only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from twigline.llm.common import packed, unpacked
+
 #: Text put before a turn (with its role), and after it.
 OPEN, CLOSE = "<|turn {}|>\n", "<|end|>\n"
 TRAINED_ROLE = "assistant"
+#: Parts that the conversations with one opening turn are paired in.
+PAIR_BUCKETS = 4096
 
 
 def _render(turns: Column) -> Column:
     return F.array_join(F.transform(turns, lambda t: F.concat(_head(t), _body(t))), "")
 
 
+def _safe(text: Column) -> Column:
+    """A text can't open a marker of its own: ``<|`` gets a backslash between its signs, and one more if it has some."""
+    return F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")
+
+
+def unescape(text: Column) -> Column:
+    """The turn's own text from a rendered one."""
+    return F.regexp_replace(text, r"<\\(\\*)\|", r"<$1|")
+
+
 def _head(turn: Column) -> Column:
     before, after = OPEN.split("{}")
-    return F.concat(F.lit(before), F.coalesce(turn["role"], F.lit("unknown")), F.lit(after))
+    return F.concat(F.lit(before), _safe(F.coalesce(turn["role"], F.lit("unknown"))), F.lit(after))
 
 
 def _body(turn: Column) -> Column:
-    # a text can't open a marker of its own
-    return F.concat(F.replace(F.coalesce(turn["text"], F.lit("")), F.lit("<|"), F.lit("< |")), F.lit(CLOSE))
+    return F.concat(_safe(F.coalesce(turn["text"], F.lit(""))), F.lit(CLOSE))
 
 
 def _mask(turns: Column) -> Column:
@@ -53,58 +66,71 @@ def format_preferences(pairs: DataFrame, chosen: str = "chosen", rejected: str =
     slim = lambda c: F.coalesce(
         F.transform(c, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))), F.array().cast(kind)
     )
-    rows = pairs.select(*keep, slim(F.col(chosen)).alias("_a"), slim(F.col(rejected)).alias("_b"))
+    rows = pairs.select(packed(keep), slim(F.col(chosen)).alias("_a"), slim(F.col(rejected)).alias("_b"))
     shorter = F.least(F.size("_a"), F.size("_b"))
     # nulls in the longer array's tail compare unequal, but only positions up to the shorter length count
     same = F.zip_with("_a", "_b", lambda a, b: a.eqNullSafe(b))
     first = F.array_position(same, False).cast("int")
     common = F.when(first == 0, shorter).otherwise(F.least(shorter, first - 1))
-    rows = rows.withColumn("common_turns", common)
-    tail = lambda c: F.slice(c, F.col("common_turns") + 1, F.size(c))
-    rows = rows.select(
-        *keep, "common_turns", F.slice("_a", F.lit(1), F.col("common_turns")).alias("_p"), tail("_a").alias("_a"),
-        tail("_b").alias("_b"),
-    )
+    rows = rows.select("_keep", "_a", "_b", common.alias("_n"))
+    tail = lambda c: F.slice(c, F.col("_n") + 1, F.size(c))
+    rows = rows.select("_keep", "_n", F.slice("_a", F.lit(1), F.col("_n")).alias("_p"), tail("_a").alias("_a"), tail("_b").alias("_b"))
     return rows.select(
-        *keep, "common_turns", _render(F.col("_p")).alias("prompt"),
+        *unpacked(keep), F.col("_n").alias("common_turns"), _render(F.col("_p")).alias("prompt"),
         _render(F.col("_a")).alias("chosen_text"), _mask(F.col("_a")).alias("chosen_mask"),
         _render(F.col("_b")).alias("rejected_text"), _mask(F.col("_b")).alias("rejected_mask"),
     )
 
 
-def swapped_answers(conversations: DataFrame) -> DataFrame:
-    """Pairs from a table of turns (conv_id, turn, role, text): chosen is a conversation up to its last assistant turn,
-    rejected the same with the last assistant text of its neighbour (the id that differs in the lowest bit) there.
+def partners(conversations: DataFrame) -> DataFrame:
+    """(conv_id, partner) of every conversation in a table of turns: another one that opens with the same turn, or null.
 
-    Turns are ordered by turn, role and text; repeated turns stay.  Conversations that have, or whose neighbour has, no
-    assistant turn form no pair; null ids form none.
+    Conversations with one opening turn are dealt over ``PAIR_BUCKETS`` parts by a hash of their id, so a frequent
+    opening fills no task; in each part the partner is the next id, the last one's the first.  Who is alone in a part is
+    paired with the next of those alone in other parts, and the only one such with the smallest id of the others.
+    """
+    opening = F.min(F.struct("turn", "role", "text")).alias("t")
+    firsts = conversations.filter(F.col("conv_id").isNotNull()).groupBy("conv_id").agg(opening)
+    said = F.md5(F.to_json(F.struct(F.col("t.role").alias("role"), F.col("t.text").alias("text"))))
+    digest = F.conv(F.substring(F.md5(F.col("conv_id").cast("string").cast("binary")), 1, 15), 16, 10).cast("long")
+    firsts = firsts.select("conv_id", said.alias("g"), (digest % PAIR_BUCKETS).alias("b"))
+
+    def paired(rows: DataFrame, *by: str) -> DataFrame:
+        whole = Window.partitionBy(*by)
+        line = whole.orderBy("conv_id")
+        next_ = F.coalesce(F.lead("conv_id").over(line), F.min("conv_id").over(whole))
+        return rows.withColumns({"partner": next_, "n": F.count("*").over(whole)})
+
+    parts = paired(firsts, "g", "b")
+    met = parts.filter("n > 1")
+    alone = paired(parts.filter("n = 1").select("conv_id", "g", "b"), "g")
+    least = met.groupBy("g").agg(F.min("conv_id").alias("least"))
+    last = alone.filter("n = 1").join(least, "g", "left").select("conv_id", F.col("least").alias("partner"))
+    both = met.select("conv_id", "partner").unionByName(alone.filter("n > 1").select("conv_id", "partner"))
+    return both.unionByName(last)
+
+
+def paired_conversations(conversations: DataFrame) -> DataFrame:
+    """(conv_id, rejected_id, chosen, rejected): every conversation of a table of turns (conv_id, turn, role, text) as the
+    chosen one, with its partner (``partners``) as the rejected one.
+
+    Turns are ordered by turn, role and text; repeated turns stay, and so does everything after the last answer.  A
+    conversation whose opening nobody shares has no rejected turns.  Rows with null ids are no conversation.
     """
     turn = F.struct("turn", "role", "text")
-    convs = conversations.filter(F.col("conv_id").isNotNull()).groupBy("conv_id")
-    convs = convs.agg(F.sort_array(F.collect_list(turn)).alias("t"))
-    # places of assistant turns; the greatest is the last
-    places = F.filter(
-        F.transform("t", lambda t, i: F.when(t["role"] == TRAINED_ROLE, i + 1).otherwise(0)), lambda i: i > 0
-    )
-    convs = convs.withColumn("n", F.array_max(places)).filter(F.col("n").isNotNull())
-    convs = convs.select("conv_id", F.slice("t", F.lit(1), F.col("n")).alias("t"))
-    answers = convs.select(
-        F.col("conv_id").bitwiseXOR(F.lit(1).cast("long")).alias("conv_id"), F.element_at("t", -1)["text"].alias("other")
-    )
-    rows = convs.join(answers, "conv_id")
-    plain = F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    swapped = F.concat(
-        F.slice(plain, F.lit(1), F.size("t") - 1),
-        F.array(F.struct(F.lit(TRAINED_ROLE).alias("role"), F.col("other").alias("text"))),
-    )
-    return rows.select("conv_id", plain.alias("chosen"), swapped.alias("rejected"))
+    convs = conversations.filter(F.col("conv_id").isNotNull()).groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("t"))
+    convs = convs.select("conv_id", F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("t"))
+    chosen = convs.withColumnsRenamed({"t": "chosen"}).join(partners(conversations), "conv_id")
+    rejected = convs.select(F.col("conv_id").alias("partner"), F.col("t").alias("rejected"))
+    out = chosen.join(rejected, "partner", "left")
+    return out.select("conv_id", F.col("partner").alias("rejected_id"), "chosen", "rejected")
 
 
 def op6_preference(spark, sf_dir):  # noqa: ANN001, ANN201
     """Preference records of all conversations."""
     from twigline.llm.common import table
 
-    out = format_preferences(swapped_answers(table(spark, sf_dir, "conversations")))
+    out = format_preferences(paired_conversations(table(spark, sf_dir, "conversations")))
     return out.withColumn("common_turns", F.col("common_turns").cast("long"))
 
 
@@ -112,25 +138,44 @@ ORACLE_SQL = r"""
 WITH turns AS (
   SELECT conv_id, role, text,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS n,
-         '<|turn ' || coalesce(role, 'unknown') || '|>' || chr(10) AS head,
-         replace(coalesce(text, ''), '<|', '< |') || '<|end|>' || chr(10) AS body
+         '<|turn ' || regexp_replace(coalesce(role, 'unknown'), '<(\*)\|', '<\|', 'g') || '|>' || chr(10) AS head,
+         regexp_replace(coalesce(text, ''), '<(\*)\|', '<\|', 'g') || '<|end|>' || chr(10) AS body
   FROM conversations WHERE conv_id IS NOT NULL
-), last AS (
-  SELECT conv_id, max(n) AS n FROM turns WHERE role = 'assistant' GROUP BY conv_id
-), answers AS (
-  SELECT t.conv_id, t.text, t.head, t.body, t.n FROM turns t JOIN last l ON t.conv_id = l.conv_id AND t.n = l.n
+), parts AS (
+  SELECT conv_id, role, text, CAST('0x' || substr(md5(CAST(conv_id AS VARCHAR)), 1, 15) AS BIGINT) % 4096 AS b
+  FROM turns WHERE n = 1
+), dealt AS (
+  SELECT *, count(*) OVER (PARTITION BY role, text, b) AS here,
+         coalesce(lead(conv_id) OVER (PARTITION BY role, text, b ORDER BY conv_id), min(conv_id) OVER (PARTITION BY role, text, b)) AS next
+  FROM parts
+), alone AS (
+  SELECT *, count(*) OVER (PARTITION BY role, text) AS left_over,
+         coalesce(lead(conv_id) OVER (PARTITION BY role, text ORDER BY conv_id), min(conv_id) OVER (PARTITION BY role, text)) AS other
+  FROM dealt WHERE here = 1
 ), pairs AS (
-  SELECT a.conv_id, a.n, a.text IS NOT DISTINCT FROM b.text AS same, a.head, a.body, b.body AS other
-  FROM answers a JOIN answers b ON b.conv_id = xor(a.conv_id, 1)
-), prompts AS (
-  SELECT p.conv_id, coalesce(string_agg(t.head || t.body, '' ORDER BY t.n), '') AS prompt
-  FROM pairs p LEFT JOIN turns t ON t.conv_id = p.conv_id AND (t.n < p.n OR (t.n = p.n AND p.same))
-  GROUP BY p.conv_id
+  SELECT conv_id, next AS partner FROM dealt WHERE here > 1
+  UNION ALL SELECT conv_id, other FROM alone WHERE left_over > 1
+  UNION ALL SELECT conv_id, (SELECT min(d.conv_id) FROM dealt d WHERE d.here > 1 AND d.role IS NOT DISTINCT FROM a.role AND d.text IS NOT DISTINCT FROM a.text)
+  FROM alone a WHERE left_over = 1
+), lengths AS (
+  SELECT conv_id, max(n) AS n FROM turns GROUP BY conv_id
+), split AS (
+  SELECT p.conv_id, p.partner, l.n AS a_n, r.n AS b_n,
+         coalesce((SELECT min(a.n) - 1 FROM turns a LEFT JOIN turns b ON b.conv_id = p.partner AND b.n = a.n
+                   WHERE a.conv_id = p.conv_id AND (b.n IS NULL OR a.role IS DISTINCT FROM b.role OR a.text IS DISTINCT FROM b.text)), l.n) AS common
+  FROM pairs p JOIN lengths l ON l.conv_id = p.conv_id LEFT JOIN lengths r ON r.conv_id = p.partner
+), chosen AS (
+  SELECT s.conv_id, coalesce(string_agg(t.head || t.body, '' ORDER BY t.n) FILTER (t.n <= s.common), '') AS prompt,
+         coalesce(string_agg(t.head || t.body, '' ORDER BY t.n) FILTER (t.n > s.common), '') AS chosen_text,
+         coalesce(string_agg(length(t.head) || ':0,' || length(t.body) || CASE WHEN t.role = 'assistant' THEN ':1' ELSE ':0' END, ',' ORDER BY t.n)
+                  FILTER (t.n > s.common), '') AS chosen_mask
+  FROM split s JOIN turns t ON t.conv_id = s.conv_id GROUP BY s.conv_id
+), rejected AS (
+  SELECT s.conv_id, string_agg(t.head || t.body, '' ORDER BY t.n) AS rejected_text,
+         string_agg(length(t.head) || ':0,' || length(t.body) || CASE WHEN t.role = 'assistant' THEN ':1' ELSE ':0' END, ',' ORDER BY t.n) AS rejected_mask
+  FROM split s JOIN turns t ON t.conv_id = s.partner AND t.n > s.common GROUP BY s.conv_id
 )
-SELECT p.conv_id, CAST(CASE WHEN same THEN n ELSE n - 1 END AS BIGINT) AS common_turns, prompt,
-       CASE WHEN same THEN '' ELSE head || body END AS chosen_text,
-       CASE WHEN same THEN '' ELSE length(head) || ':0,' || length(body) || ':1' END AS chosen_mask,
-       CASE WHEN same THEN '' ELSE head || other END AS rejected_text,
-       CASE WHEN same THEN '' ELSE length(head) || ':0,' || length(other) || ':1' END AS rejected_mask
-FROM pairs p JOIN prompts q ON p.conv_id = q.conv_id
+SELECT s.conv_id, s.partner AS rejected_id, CAST(common AS BIGINT) AS common_turns, prompt, chosen_text, chosen_mask,
+       coalesce(rejected_text, '') AS rejected_text, coalesce(rejected_mask, '') AS rejected_mask
+FROM split s JOIN chosen c ON c.conv_id = s.conv_id LEFT JOIN rejected r ON r.conv_id = s.conv_id
 """

@@ -9,17 +9,21 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from twigline.llm.common import staged
+from twigline.llm.common import packed, scratch_path, staged, unpacked
 
 #: Bytes of one shard, at most.
 SHARD_BYTES = 1 << 20
 #: Bits of the key's hash; rows that agree in all are told apart by a row number's hash.
 HASH_BITS = 60
+#: Cells of a round's directory up to which it is broadcast; beyond that rows are joined with it by a shuffle.
+BROADCAST_CELLS = 1 << 20
 #: Bits looked at in one round: bounds its directory to 2 ** ROUND_BITS cells.
 ROUND_BITS = 24
+MADE = ("shard", "shard_bits", "shard_bytes_each")
 
 
 def key_hash(key: Column) -> Column:
@@ -48,7 +52,9 @@ def _round(rows: DataFrame, done: int, upto: int, limit: int) -> tuple[DataFrame
     # a shard is a node that fits under one that doesn't
     below = fits.select((F.col("depth") + 1).alias("depth"), F.col("node").alias("parent"))
     leaves = fits.withColumn("parent", F.shiftrightunsigned("node", 1)).join(below, ["depth", "parent"], "left_anti")
-    placed = nodes.join(leaves.select("depth", "node"), ["depth", "node"]).select("cell", "depth")
+    placed = staged(nodes.join(leaves.select("depth", "node"), ["depth", "node"]).select("cell", "depth"), f"placed-{upto}")
+    if placed.count() <= BROADCAST_CELLS:
+        placed = F.broadcast(placed)
     return placed, cells.filter(F.col("size") > limit).select("cell", "lo", "hi")
 
 
@@ -59,14 +65,14 @@ def assign_shards(df: DataFrame, key: str = "doc_id", size: Column | None = None
     bits of its key, "!" and a row number.  Rows with equal keys stay together while they fit; past that the bits of a
     row number's hash go on where the key's hash ends (after a "+").  ``size`` defaults to the bytes of column ``text``
     (null: 0).  Null keys hash as the empty text; repeated rows are counted each; an empty table gives no rows; columns
-    with the result's names give way.  Only key hash and size are shuffled, except that rows join their cell's bits.
+    with the result's names give way.  Only key hash and size are shuffled, unless the directory has over
+    ``BROADCAST_CELLS`` cells: then rows join their cell's bits.
     """
     size = F.coalesce(F.octet_length("text"), F.lit(0)) if size is None else size
-    made = ("shard", "shard_bits", "shard_bytes_each")
-    keep = [c for c in df.columns if c not in made]
-    rows = df.select(*keep, key_hash(F.col(key)).alias("_h"), size.cast("long").alias("_size"))
+    keep = [c for c in df.columns if c not in MADE]
+    rows = df.select(packed(keep), key_hash(F.col(key)).alias("_h"), size.cast("long").alias("_size"))
     over = rows.filter(F.col("_size") > limit).select(
-        *keep, F.concat(_bits("_h", F.lit(HASH_BITS)), F.lit("!"), F.monotonically_increasing_id().cast("string")).alias("shard"),
+        *unpacked(keep), F.concat(_bits("_h", F.lit(HASH_BITS)), F.lit("!"), F.monotonically_increasing_id().cast("string")).alias("shard"),
         F.lit(HASH_BITS).alias("shard_bits"), F.col("_size").alias("shard_bytes_each"),
     )
     out, pending, stem = [over], rows.filter(F.col("_size") <= limit), F.lit("")
@@ -82,7 +88,7 @@ def assign_shards(df: DataFrame, key: str = "doc_id", size: Column | None = None
         name = F.concat(stem, _bits("_h", F.col("depth")))
         bits = F.col("depth") + (HASH_BITS if by_row else 0)
         out.append(
-            hit.select(*keep, name.alias("shard"), bits.cast("int").alias("shard_bits"), F.col("_size").alias("shard_bytes_each"))
+            hit.select(*unpacked(keep), name.alias("shard"), bits.cast("int").alias("shard_bits"), F.col("_size").alias("shard_bytes_each"))
         )
         left, distinct_keys = full.agg(F.count("*"), F.max(F.col("lo") != F.col("hi"))).first()
         if not left:
@@ -122,7 +128,7 @@ def _same_key(rows: DataFrame, keep: list[str], limit: int) -> list[DataFrame]:
         fit = staged(fit, "row-cells")
         out.append(
             cut.join(fit, ["_k", "bits"]).select(
-                *keep, F.concat(_bits("_k", F.lit(HASH_BITS)), F.lit("+"), "bits").alias("shard"),
+                *unpacked(keep), F.concat(_bits("_k", F.lit(HASH_BITS)), F.lit("+"), "bits").alias("shard"),
                 (F.col("depth") + HASH_BITS).cast("int").alias("shard_bits"), F.col("_size").alias("shard_bytes_each"),
             )
         )
@@ -133,21 +139,33 @@ def _same_key(rows: DataFrame, keep: list[str], limit: int) -> list[DataFrame]:
 
 
 def write_shards(df: DataFrame, path: str, **options) -> None:  # noqa: ANN003
-    """Write the rows of ``df`` as Parquet, one folder for each shard."""
+    """Write the rows of ``df`` as Parquet, one folder for each shard, with shard_bits and shard_bytes_each."""
     out = assign_shards(df, **options)
     out = out.withColumn("shard", F.concat(F.lit("s"), "shard"))
     out.repartition("shard").write.partitionBy("shard").parquet(path)
 
 
+def read_shards(spark: SparkSession, path: str, columns: StructType) -> DataFrame:
+    """The rows of ``write_shards``, whose columns were ``columns``, with shard, shard_bits and shard_bytes_each."""
+    schema = StructType([f for f in columns if f.name not in MADE])
+    for name, kind in (("shard_bits", "integer"), ("shard_bytes_each", "long"), ("shard", "string")):
+        schema = schema.add(name, kind)
+    return spark.read.schema(schema).parquet(path).withColumn("shard", F.expr("substring(shard, 2)"))
+
+
 def op9_sharding(spark, sf_dir):  # noqa: ANN001, ANN201
-    """Shard of every document."""
+    """All documents written as shards and read back: every document's shard, and the bytes of that shard."""
     from twigline.llm.common import table
 
-    docs = table(spark, sf_dir, "documents").select(
-        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
-    )
-    out = assign_shards(docs, "doc_id", F.col("n_bytes"))
-    return out.select("doc_id", "n_bytes", "shard", F.col("shard_bits").cast("long").alias("shard_bits"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = scratch_path(spark, "shards")
+    write_shards(docs, path)
+    back = read_shards(spark, path, docs.schema).select(
+        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "shard",
+        F.col("shard_bits").cast("long").alias("shard_bits"),
+    )
+    # a shard is small by its limit; its rows, without texts, meet in one task
+    return back.withColumn("shard_bytes", F.sum("n_bytes").over(Window.partitionBy("shard")))
 
 
 ORACLE_SQL = f"""
@@ -163,7 +181,8 @@ sums AS (
   FROM docs d, levels l JOIN sums ON sums.depth = l.depth AND sums.node = d.h >> (60 - l.depth)
   WHERE sums.s <= {SHARD_BYTES} GROUP BY ALL
 )
-SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes,
-       substr(lpad(format('{{:b}}', h), 60, '0'), 1, CAST(depth AS INTEGER)) AS shard, CAST(depth AS BIGINT) AS shard_bits
-FROM placed
+SELECT *, CAST(sum(n_bytes) OVER (PARTITION BY shard) AS BIGINT) AS shard_bytes FROM (
+  SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes,
+         substr(lpad(format('{{:b}}', h), 60, '0'), 1, CAST(depth AS INTEGER)) AS shard, CAST(depth AS BIGINT) AS shard_bits
+  FROM placed)
 """
