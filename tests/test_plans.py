@@ -3,10 +3,12 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from twigline import Query, Save, query
 from twigline.functions import attribute, attribute_map, match_json
 from twigline.local import match_paths, parse
+from twigline.matcher import compile_queries, find_matches
 from twigline.operators import elements, extract, html_nodes, nested, register_sql
 from twigline.operators.extract import with_ordinal
 from twigline.sources import from_strings, read_html_bytes, read_html_text, write_jsonl
@@ -59,6 +61,29 @@ def test_plans_agree(spark, plan):
     assert sorted((tuple(r) for r in got.collect()), key=str) == expected(documents)
 
 
+def test_joins_take_null_and_repeated_rows_like_local(spark):
+    df = spark.createDataFrame([(None, "<p><a>x</a>", 1), (1, "<p>", 2), (1, "<p><b><a>y</a>", 3), (1, "<p>", 2), (2, None, 4)], "k int, html string, _doc int")
+    q = query({"all": "p", "save": "all", "then": [{"all": "a", "save": "text_content"}]})
+    got = [sorted((str(tuple(r)) for r in extract(df, q, plan=p).collect())) for p in ("local", "joins")]
+    assert got[0] == got[1] and len(got[0]) == 6
+    odd = df.withColumnsRenamed({"k": "m", "_doc": "_nodes"}).withColumns({"n": F.lit(1), "_html": F.lit(2), "_keep": F.lit(3)})
+    assert all(set(odd.columns) - {"html"} <= set(extract(odd, q, plan=p).columns) for p in ("local", "joins"))
+
+
+def test_evaluation_stops_and_is_linear():
+    import time
+
+    seen = []
+    find_matches("<a>1</a>" + "<p>" * 10, compile_queries([Query.first("a", Save.all()).build()]), seen)
+    assert [e[0] for e in seen].count("OpenTag") == 1 and seen[-2][0] == "EarlyExit"
+    began = time.perf_counter()
+    assert len(find_matches("<div>" * 50_000, compile_queries([Query.all("div > div").build()]))) == 49_999
+    rows = "".join(f"<section class=s><h3>{i}</h3><b>x</b></section>" for i in range(4000))
+    q = query({"all": "section.s", "save": "all", "then": [{"first": "> h3", "save": "text_content"}, {"all": "b"}]})
+    assert len(find_matches(rows, compile_queries([q]))) == 12_000
+    assert time.perf_counter() - began < 10
+
+
 def test_no_shuffle_and_pruned_scan(spark, tmp_path):
     df = from_strings(spark, ["<a>x</a>"]).selectExpr("*", "'u' as url")
     df.write.parquet(str(tmp_path / "t"))

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from twigline.functions import attribute, attribute_map, has_attribute, match_json
 from twigline.operators.extract import elements, extract, nested, select_matches, with_ordinal
 from twigline.operators.parse import html_events, html_nodes, register_sql, spread
+from twigline.plans.literals import EVENTS, LITERALS
 from twigline.query import Query, Save, query
+from twigline.sources import from_strings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -264,8 +266,9 @@ def agg_links_by_lang(df: DataFrame) -> DataFrame:
 )
 def window_top_links(df: DataFrame) -> DataFrame:
     counts = _links(df, "a").groupBy("href").agg(F.count("*").alias("n"))
-    ranked = counts.withColumn("place", F.rank().over(Window.orderBy(F.desc("n"))).cast("long"))
-    return ranked.filter("place <= 10")
+    # a filter on the rank itself lets every partition keep its own first ten before they meet
+    ranked = counts.withColumn("r", F.rank().over(Window.orderBy(F.desc("n")))).filter("r <= 10")
+    return ranked.select("href", "n", F.col("r").cast("long").alias("place"))
 
 
 def _sql_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -278,3 +281,43 @@ QUERIES["sql_table_function"] = _sql_surface
 ORACLE_SQL["sql_table_function"] = (
     f"SELECT page_id, {TEXT} AS text FROM (SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS raw FROM pages)"
 )
+
+
+def _sql_text(value: str | None) -> str:
+    return "CAST(NULL AS VARCHAR)" if value is None else "'" + value.replace("'", "''") + "'"
+
+
+def _literal(selectors: list[str], documents: list[str | None]):  # noqa: ANN202
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = extract(from_strings(spark, documents), [Query.all(s, Save.only_text_content()) for s in selectors])
+        found = with_ordinal(found, ["doc_id"])
+        return found.select("doc_id", "selector", F.col("ordinal").cast("long").alias("ordinal"), F.col("text_content").alias("text"))
+
+    return run
+
+
+# queries over documents at hand, against the rows that the rules demand
+for _name, (_documents, _expected) in LITERALS.items():
+    _selectors = list(dict.fromkeys(s for _, s, _ in _expected))
+    QUERIES[_name] = _literal(_selectors, _documents)
+    _rows = []
+    for _k, (_doc, _selector, _texts) in enumerate(_expected):
+        _rows += [f"({_doc}, {_sql_text(_selector)}, {_n}, {_sql_text(_t)})" for _n, _t in enumerate(_texts)]
+    ORACLE_SQL[_name] = (
+        "SELECT CAST(d AS BIGINT) AS doc_id, s AS selector, CAST(n AS BIGINT) AS ordinal, t AS text FROM "
+        f"(VALUES {', '.join(_rows)}) v(d, s, n, t)"
+    )
+
+
+def _traced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    html, selector, _ = EVENTS
+    events = html_events(from_strings(spark, [html]), queries=Query.first(selector, Save.only_text_content()))
+    return events.select(F.col("seq").cast("long").alias("seq"), "event", "tag", F.col("position").cast("long").alias("position"))
+
+
+QUERIES["trace_evaluation"] = _traced
+ORACLE_SQL["trace_evaluation"] = (
+    "SELECT CAST(a AS BIGINT) AS seq, e AS event, t AS tag, CAST(p AS BIGINT) AS position FROM (VALUES "
+    + ", ".join(f"({_k}, {_sql_text(_e)}, {_sql_text(_t)}, {_p})" for _k, (_e, _t, _p) in enumerate(EVENTS[2]))
+    + ") v(a, e, t, p)"
+)
