@@ -217,6 +217,9 @@ def fit_rates(
         for d in range(k)
     ]
     cells = staged(cells.select(*names, "mass", *mean), "cells")
+    # every step reads the cells again: few of them go into one file
+    if k <= 3:
+        cells = staged(cells.coalesce(1), "cells-together")  # at most (GRID + 1)(GRID + 2) / 2 rows
     p = [F.col(f"e{d}") for d in range(k)]
     moments = cells.agg(
         *[F.sum(F.col("mass") * p[i] * p[j]).alias(f"m{i}{j}") for i in range(k) for j in range(i, k)],
