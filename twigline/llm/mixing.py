@@ -177,17 +177,24 @@ def _solve(m: list[list[float]], b: list[float]) -> list[float]:
 
 
 def rate_after(steps: list[list[float]]) -> Column:
-    """The rate of a cell from its mean posteriors e0, e1, ..., after these gradient steps from rate 1."""
+    """(rate, before, ahead) of a cell from its mean posteriors e0, e1, ..., after these steps from rate 1.
+
+    A step is its momentum and its slope for each domain.  It goes down the slope from ``ahead``, which lies beyond
+    the rate by the momentum's part of its last move, ``rate - before``.
+    """
+    start = F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("before"), F.lit(1.0).alias("ahead"))
     if not steps:
-        return F.lit(1.0)
+        return start
     flat = ";".join(",".join(map(repr, s)) for s in steps)
     history = F.transform(F.split(F.lit(flat), ";"), lambda x: F.split(x, ",").cast("array<double>"))
 
-    def move(rate: Column, e: Column) -> Column:
-        slope = sum((F.col(f"e{d}") * e[d] for d in range(1, len(steps[0]))), F.col("e0") * e[0])
-        return F.greatest(F.lit(0.0), rate - slope)
+    def move(at: Column, step: Column) -> Column:
+        ahead = at["rate"] + step[0] * (at["rate"] - at["before"])
+        slope = sum((F.col(f"e{d}") * step[d + 1] for d in range(1, len(steps[0]) - 1)), F.col("e0") * step[1])
+        rate = F.greatest(F.lit(0.0), ahead - slope)
+        return F.struct(rate.alias("rate"), at["rate"].alias("before"), ahead.alias("ahead"))
 
-    return F.aggregate(history, F.lit(1.0), move)
+    return F.aggregate(history, start, move)
 
 
 def fit_rates(
@@ -203,7 +210,8 @@ def fit_rates(
     present expected tokens).  The objective is the squared distance of expected from target tokens in the metric of
     the inverse token-weighted second moment of the cells' mean posteriors, damped by ``DAMPING``; gradients are taken
     per token, where a step of 1 is safe.  Each step moves every rate along its posteriors and projects it to zero or
-    above; the fit ends at the targets, or where a step no longer moves the totals.
+    above, with momentum (Beck and Teboulle, 2009) that starts anew when a step turns against its last move (O'Donoghue
+    and Candes, 2015).  The fit ends at the targets, or where a step without momentum no longer moves the totals.
 
     The report has the present, target and reached tokens of each domain, the steps taken, the largest distance from a
     target as a share of all tokens (``gap``), and whether that is within ``TOLERANCE`` (``matched``).
@@ -235,20 +243,31 @@ def fit_rates(
     ridge = DAMPING / k * sum(moments[f"m{i}{i}"] or 0.0 for i in range(k)) + 1e-9
     m = [[(moments[f"m{min(i, j)}{max(i, j)}"] or 0.0) + (ridge if i == j else 0.0) for j in range(k)] for i in range(k)]
     taken: list[list[float]] = []
-    totals, before = have, None
+    totals, before, pace, momentum = have, have, 1.0, 0.0
     least = TOLERANCE * max(1.0, every)
     while True:
         gap = [a - b for a, b in zip(totals, target, strict=True)]
-        still = before is not None and max(abs(a - b) for a, b in zip(totals, before, strict=True)) <= least / 10
-        if max(map(abs, gap)) <= least or still or len(taken) == steps:
+        if max(map(abs, gap)) <= least or len(taken) == steps:
+            break
+        # totals are linear in the rates
+        ahead = [g + momentum * (a - b) for g, a, b in zip(gap, totals, before, strict=True)]
+        taken.append([momentum, *_solve(m, ahead)])
+        at, mass = F.col("at"), F.col("mass")
+        turn = F.sum(mass * (at["ahead"] - at["rate"]) * (at["rate"] - at["before"]))
+        row = cells.withColumn("at", rate_after(taken)).agg(*[F.sum(mass * x * at["rate"]) for x in p], turn).first()
+        before, totals = totals, [x or 0.0 for x in row[:k]]
+        still = max(abs(a - b) for a, b in zip(totals, before, strict=True)) <= least / 10
+        if still and momentum == 0:
             break
-        before = totals
-        taken.append(_solve(m, gap))
-        row = cells.withColumn("rate", rate_after(taken)).agg(*[F.sum(F.col("mass") * x * F.col("rate")) for x in p]).first()
-        totals = [x or 0.0 for x in row]
+        if still or (row[k] or 0.0) > 0:
+            pace, momentum = 1.0, 0.0
+        else:
+            then = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
+            pace, momentum = then, (pace - 1) / then
+    gap = [a - b for a, b in zip(totals, target, strict=True)]
     off = max(map(abs, gap)) / max(1.0, every)
     report = {"present": have, "target": target, "reached": totals, "steps": len(taken), "gap": off, "matched": off <= TOLERANCE}
-    return cells.select(*names, rate_after(taken).alias("rate")), report
+    return cells.select(*names, rate_after(taken)["rate"].alias("rate")), report
 
 
 def mix(
