@@ -55,6 +55,19 @@ def test_unknown_languages_are_rejected():
     assert sum(known) <= 4 and sum(other) >= 95
 
 
+def test_languages_that_share_subwords_do_not_reject_odd_words():
+    rng = random.Random(18)
+    parts = ["ka", "lo", "mi", "ne", "tu"]
+
+    def text(lang, n=60):
+        weights = [5, 4, 3, 2, 1] if lang == "a" else [1, 2, 3, 4, 5]
+        return " ".join("".join(rng.choices(parts, weights, k=3)) for _ in range(n))
+
+    model = langid.fit([(x, *langid.subword_counts(text(x))) for x in ("a", "b") for _ in range(300)])
+    keyed = [model.predict(f"{text(x, 12)} AKIA{rng.getrandbits(60):X} {text(x, 12)}") for x in ("a", "b") for _ in range(100)]
+    assert model.least_seen == 0 and sum(rejected for _, _, rejected in keyed) <= 4
+
+
 def test_sample_is_bounded(spark, monkeypatch):
     rng = random.Random(17)
     rows = [(i, "en", prose("en", rng, 20)) for i in range(300)] + [(5, "en", "same id")] * 200 + [(9000, "xx", prose("fr", rng))]

@@ -30,6 +30,8 @@ SAMPLE_BYTES = 256 << 20
 EPOCHS = 6
 #: Share of well labelled calibration rows that either rejection threshold may cost.
 REJECT_SHARE = 0.001
+#: Share of texts of held-out languages that the share of seen subwords has to tell apart, to count at all.
+LEAST_CAUGHT = 0.5
 UNDETERMINED = "und"
 
 #: ASCII letters and every byte of multi-byte characters belong to words; the rest separates them.
@@ -135,7 +137,8 @@ def fit(samples: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7, epochs
 
     Rejection has two thresholds, both bounded by ``REJECT_SHARE``: on the score, and on the share of a text's subwords
     that occur in training rows.  The latter is calibrated on held-out languages: each language in turn is unknown to
-    the others' subwords, and the threshold is the least that rejects such texts as well as any within the bound.
+    the others' subwords, and the threshold is the least that rejects such texts as well as any within the bound.  If it
+    rejects less than ``LEAST_CAUGHT`` of them, as where all languages share their subwords, it is left out.
     """
     langs = sorted({s[0] for s in samples})
     rng = np.random.default_rng(seed)
@@ -190,12 +193,13 @@ def _calibrate_novelty(model: LanguageModel, train: list, held: list) -> None:
         return float(row[2][seen[row[1]]].sum() / row[2].sum())
 
     rows = [r for r in held if len(r[1])]
-    known = np.sort([share(model.seen, r) for r in rows])
+    # a training row is judged by the other training rows
+    known = np.sort([share(model.seen, r) for r in rows] + [share(every > 1, r) for r in train if len(r[1])])
     unknown = np.array([share(every > by_lang[r[0]], r) for r in rows])
-    if len(known) and len(model.langs) > 1:
+    if len(unknown) and len(model.langs) > 1:
         most = known[int(REJECT_SHARE * len(known))]  # no threshold above this is within the bound
         caught = np.sort(unknown[unknown < most])
-        if len(caught):
+        if len(caught) >= LEAST_CAUGHT * len(unknown):
             # halfway between the unknown texts that can be told apart and the known ones
             model.least_seen = float((caught[-1 - len(caught) // 100] + most) / 2)
 
