@@ -36,11 +36,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Of rows equal in id and text, one stays.  Null and empty texts are one group; an empty table gives no rows.
     """
-    first = simhash_survivors(docs).withColumnsRenamed({"doc_id": "id", "text_hash": "first"})
-    rows = docs.select("doc_id", text_hash("text").alias("hash"), F.struct(*docs.columns).alias("row"))
-    same = F.col("doc_id").eqNullSafe(F.col("id")) & F.col("hash").eqNullSafe(F.col("first"))
-    kept = rows.join(first, same, "left_semi")
-    return kept.dropDuplicates(["doc_id", "hash"]).select("row.*")
+    # one key without nulls: the join's partitions and order serve the removal of repeats as well
+    key = lambda i, h: F.concat_ws(":", F.coalesce(F.col(i).cast("string"), F.lit("")), F.coalesce(h, F.lit("")))
+    first = simhash_survivors(docs).select(key("doc_id", F.col("text_hash")).alias("key"))
+    rows = docs.select(key("doc_id", text_hash("text")).alias("key"), F.struct(*docs.columns).alias("row"))
+    return rows.join(first, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
 
 
 def kept_rate() -> Column:
