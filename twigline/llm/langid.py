@@ -39,7 +39,7 @@ _WORD_BYTE = np.array([chr(b).isalpha() if b < 128 else True for b in range(256)
 
 
 #: Characters of a slice of a long text.
-SLICE = 1 << 18
+SLICE = 1 << 16
 _GAP = re.compile(r"[ \t-\r]")
 
 

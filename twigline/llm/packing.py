@@ -77,6 +77,7 @@ def pack_documents(
     sequence_tokens: int = SEQUENCE_TOKENS,
     vocabulary: str | None = None,
     group_tokens: int = GROUP_TOKENS,
+    cache_words: int | None = None,
 ) -> DataFrame:
     """One row per piece of a document, with its place in a sequence and its ids (little-endian unsigned 32 bits).
 
@@ -86,7 +87,8 @@ def pack_documents(
     table (task number and running number), offsets gapless from 0.
 
     Null text counts as empty (a piece with the end id alone); null ids stay null; repeated rows are packed once each;
-    an empty table gives no rows; other columns are ignored, whatever their names.
+    an empty table gives no rows; other columns are ignored, whatever their names.  ``cache_words`` bounds the words a
+    worker remembers (less memory, more time; the ids are the same).
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))
@@ -98,7 +100,7 @@ def pack_documents(
 
         from twigline.llm.tokens import encoder, in_slices
 
-        enc = encoder(vocabulary)
+        enc = encoder(vocabulary, *([] if cache_words is None else [cache_words]))
         first = TaskContext.get().partitionId() << 40
         group: list[tuple[int | None, np.ndarray]] = []
         held = 0

@@ -29,8 +29,8 @@ MAX_DISTANCE = 4
 SEED = 42
 #: Fingerprints in a trie node that is handled as one task's side, on average.
 NODE_SIZE = 4096
-#: Node pairs held by a walk at once; more are put off.
-FRONTIER = 1 << 17
+#: Node pairs held by a walk at once, more are put off, and fingerprints compared at once: bounds on a worker's arrays.
+FRONTIER, COMPARED = 1 << 15, 1 << 17
 
 
 def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
@@ -178,8 +178,8 @@ def _compare(fps, alo, ahi, blo, bhi, lead_budget, budget, labels) -> None:  # n
     pairs = (ahi - alo) * width
     ends = np.cumsum(pairs)
     at = 0
-    while at < len(pairs):  # about a million comparisons at a time
-        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 1_000_000, side="right")))
+    while at < len(pairs):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + COMPARED, side="right")))
         reps = pairs[at:stop]
         k = np.arange(int(reps.sum())) - np.repeat(np.cumsum(reps) - reps, reps)
         w = np.repeat(width[at:stop], reps)

@@ -102,6 +102,7 @@ class WordEncoder:
             self.is_last[i] = bool(suffix) and token.endswith(suffix)
         self.known_pieces: dict[str, bytes] = {"'": PART}
         self.words: dict[str, bytes] = {}
+        self.cache_words = CACHE_WORDS
 
     def _whole_text(self, text: str) -> bytes:
         return np.array(self.full.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -163,7 +164,7 @@ class WordEncoder:
         found = list(map(known.get, words))
         unknown = [w for w, x in zip(words, found, strict=True) if x is None]
         if unknown:
-            if len(known) > CACHE_WORDS:
+            if len(known) > self.cache_words:
                 known.clear()
                 unknown = words
             known.update(self._learn(unknown))
@@ -221,11 +222,12 @@ def _portions(words: list[str], count: int) -> Iterator[list[str]]:
     return (words[at : at + count] for at in range(0, len(words), count))
 
 
-def encoder(path: str | None = None) -> WordEncoder:
-    """The worker's encoder for this file, kept between tasks."""
+def encoder(path: str | None = None, cache_words: int = CACHE_WORDS) -> WordEncoder:
+    """The worker's encoder for this file, kept between tasks, with at most about so many words remembered."""
     key = path or ""
     if key not in _ENCODERS:
         _ENCODERS[key] = WordEncoder(path)
+    _ENCODERS[key].cache_words = cache_words
     return _ENCODERS[key]
 
 
