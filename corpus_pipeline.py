@@ -16,8 +16,8 @@ from twigline.llm.simhash import simhash_survivors, text_hash
 
 #: Factors on the expected tokens of each domain: clean text is kept and slightly repeated, toxic text thinned out.
 MIX_GAINS = {"good": 1.05, "low": 1.0, "toxic": 0.25}
-#: Words remembered by a packing worker: other stages have left theirs in the executor's memory.
-CACHE_WORDS = 100_000
+#: Words that a packing worker remembers, and text it encodes at once: other stages have left theirs in the memory.
+CACHE_WORDS, SLICE_BYTES = 50_000, 1_000_000
 #: A document is taken less than once only if it is toxic with at least this probability.
 TOXIC_FROM = 0.9
 
@@ -65,7 +65,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents packed into sequences of 2048 tokens; an empty text is its end id, no rows give none."""
-    return pack_documents(docs, cache_words=CACHE_WORDS)
+    return pack_documents(docs, cache_words=CACHE_WORDS, slice_bytes=SLICE_BYTES)
 
 
 STAGES = [

@@ -78,6 +78,7 @@ def pack_documents(
     vocabulary: str | None = None,
     group_tokens: int = GROUP_TOKENS,
     cache_words: int | None = None,
+    slice_bytes: int = 4_000_000,
 ) -> DataFrame:
     """One row per piece of a document, with its place in a sequence and its ids (little-endian unsigned 32 bits).
 
@@ -88,7 +89,7 @@ def pack_documents(
 
     Null text counts as empty (a piece with the end id alone); null ids stay null; repeated rows are packed once each;
     an empty table gives no rows; other columns are ignored, whatever their names.  ``cache_words`` bounds the words a
-    worker remembers (less memory, more time; the ids are the same).
+    worker remembers, ``slice_bytes`` the texts it encodes at once (less memory, more time; the ids are the same).
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))
@@ -130,7 +131,7 @@ def pack_documents(
 
         for batch in batches:
             docs_ = batch.column(0).to_pylist()
-            for at, texts in in_slices(batch.column(1)):
+            for at, texts in in_slices(batch.column(1), slice_bytes):
                 for i, ids in enumerate(enc.encode_documents(texts), at):
                     group.append((docs_[i], ids))
                     held += len(ids)

@@ -137,7 +137,7 @@ class WordEncoder:
             found = list(map(known.get, pieces))
             new = {p: None for p, x in zip(pieces, found, strict=True) if x is None}
             if new:
-                if len(known) > CACHE_PIECES:
+                if len(known) > min(CACHE_PIECES, self.cache_words):
                     known.clear()
                     known["'"] = PART
                     new = dict.fromkeys(pieces)
@@ -223,7 +223,7 @@ def _portions(words: list[str], count: int) -> Iterator[list[str]]:
 
 
 def encoder(path: str | None = None, cache_words: int = CACHE_WORDS) -> WordEncoder:
-    """The worker's encoder for this file, kept between tasks, with at most about so many words remembered."""
+    """The worker's encoder for this file, kept between tasks, with at most about so many words and pieces remembered."""
     key = path or ""
     if key not in _ENCODERS:
         _ENCODERS[key] = WordEncoder(path)
