@@ -1,17 +1,25 @@
 """Token-id files with fixed-width bit packing (operator 3).
 
-File layout, all little-endian:
+A file is a row of records, each followed by ``SEPARATOR``; a record is read without the others, so neither the writer
+nor a reader holds a whole file as one value, and their order in the file does not matter.  In a record, ``MARK`` (the
+separator without its line end) is followed by a ``-``, so the separator stands between records only.  A record is, all
+little-endian:
+
+    uint64 x 2      tokens of the file before this record, tokens of the whole file
+    segment         whole documents, about ``SEGMENT_TOKENS`` tokens
+
+and a segment:
 
     magic  8 bytes  TWGBITS1
-    uint64 x 6      bits, block size, documents, tokens, blocks, byte length of the whole file
+    uint64 x 6      bits, block size, documents, tokens, blocks, byte length of the segment
     int64 x docs    document ids
     uint8 x docs    1 where the document id is null (padded with zeros to 8 bytes)
     uint64 x docs+1 token offset of every document
-    uint64 x blocks+1  byte offset of every block, from the start of the file
+    uint64 x blocks+1  byte offset of every block, from the start of the segment
     blocks          ids of ``block size`` tokens, each in ``bits`` bits, low bits first, padded to 64-bit words
 
-A byte after the end (the line end that the text writer adds) is ignored.  Blocks start at word borders, so any block
-is unpacked alone, by whole-array numpy operations.
+A byte after a segment's end is ignored.  Blocks start at word borders, so any block is unpacked alone, by whole-array
+numpy operations.
 """
 
 from __future__ import annotations
@@ -20,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twigline.llm.common import scratch_path
@@ -29,6 +37,11 @@ MAGIC = b"TWGBITS1"
 BLOCK = 4096
 #: Tokens at which a file is closed.
 FILE_TOKENS = 8_000_000
+#: Tokens at which a segment is closed: about 200 kB, so that the JVM's copies of a record are no humongous objects.
+SEGMENT_TOKENS = 100_000
+#: Ends a record.  The first sign occurs only once in it, so no other can start within it.
+MARK = b"|end of segments"
+SEPARATOR = MARK + b"\n"
 
 
 def vocabulary_bits(vocab_size: int) -> int:
@@ -66,7 +79,7 @@ def unpack_bits(words: np.ndarray, bits: int, n: int) -> np.ndarray:
 
 
 def write_blob(doc_ids: list[int | None], docs: list[np.ndarray], bits: int, block: int = BLOCK) -> bytes:
-    """One file's bytes."""
+    """One segment's bytes."""
     ends = np.cumsum([0, *map(len, docs)], dtype=np.uint64)
     ids = np.concatenate(docs) if docs else np.empty(0, dtype=np.uint32)
     if block % 64:
@@ -85,8 +98,20 @@ def write_blob(doc_ids: list[int | None], docs: list[np.ndarray], bits: int, blo
     return b"".join(parts + [r.astype("<u8").tobytes() for r in runs])
 
 
+def record(segment: bytes, before: int, file_tokens: int) -> bytes:
+    """A segment with its place in its file, without the separator."""
+    return (np.array([before, file_tokens], dtype="<u8").tobytes() + segment).replace(MARK, MARK + b"-")
+
+
+def from_record(raw: bytes) -> tuple[bytes, int, int]:
+    """Undoes ``record``."""
+    raw = raw.replace(MARK + b"-", MARK)
+    before, file_tokens = np.frombuffer(raw, "<u8", 2).tolist()
+    return raw[16:], before, file_tokens
+
+
 class BitFile:
-    """Random access to one file's bytes."""
+    """Random access to one segment's bytes."""
 
     def __init__(self, blob: bytes) -> None:
         if blob[:8] != MAGIC:
@@ -134,10 +159,11 @@ def write_token_files(
     """Encode every whole text and write files under ``path`` in ascending order of document id.
 
     One range shuffle by id, then by a hash of the text, so neither a null nor a repeated id fills one task; a task then
-    streams its documents into files of about ``file_tokens`` tokens, written by Spark's own file writer (its commit
-    protocol, any Hadoop file system).  A file's folder is named ``shard=<task><number>-<tokens>``: 8 digits of the
-    task's number and 8 of the file's number in it, so names sort as the documents do, and how many tokens the file
-    holds, so that a reader can place files without opening them twice; it compares the name with the file.
+    streams its documents into files of about ``file_tokens`` tokens, written record by record by Spark's own file writer
+    (its commit protocol, any Hadoop file system).  A file's folder is named ``shard=<task><number>-<tokens>-<bytes>``: 8
+    digits of the task's number and 8 of the file's number in it, so names sort as the documents do, and how many tokens
+    and bytes the file holds, so that a reader can place files without opening them twice; it compares the name with the
+    file.
 
     Null text counts as empty; null ids come first; equal ids are ordered by a hash of the text; an empty table
     gives no files.
@@ -158,21 +184,27 @@ def write_token_files(
         task, number = TaskContext.get().partitionId(), 0
         keys: list[int | None] = []
         held: list[np.ndarray] = []
-        size = 0
-
-        def blob() -> pa.RecordBatch:
-            nonlocal number, size
-            out = pa.RecordBatch.from_arrays(
-                [
-                    pa.array([f"{task:08d}{number:08d}-{size}"], pa.string()),
-                    pa.array([write_blob(keys, held, bits)], pa.binary()),
-                ],
-                ["shard", "value"],
-            )
-            number, size = number + 1, 0
+        segments: list[tuple[bytes, int]] = []
+        size = before = 0
+
+        def close_segment() -> None:
+            nonlocal before
+            segments.append((write_blob(keys, held, bits), before))
+            before = size
             keys.clear()
             held.clear()
-            return out
+
+        def file() -> Iterator[pa.RecordBatch]:
+            nonlocal number, size, before
+            if keys:
+                close_segment()
+            records = [record(segment, at, size) for segment, at in segments]
+            total = sum(map(len, records)) + len(records) * len(SEPARATOR)
+            name = pa.array([f"{task:08d}{number:08d}-{size}-{total}"], pa.string())
+            segments.clear()
+            number, size, before = number + 1, 0, 0
+            for r in records:
+                yield pa.RecordBatch.from_arrays([name, pa.array([r], pa.binary())], ["shard", "value"])
 
         for batch in batches:
             ids = batch.column(0).to_pylist()
@@ -182,13 +214,16 @@ def write_token_files(
                     held.append(tokens)
                     size += len(tokens)
                     if size >= file_tokens:
-                        yield blob()
-        if keys:
-            yield blob()
+                        yield from file()
+                    elif size - before >= SEGMENT_TOKENS:
+                        close_segment()
+        if size:
+            yield from file()
 
     blobs = rows.mapInArrow(write, "shard string, value binary")
     # the text writer puts a string's bytes down as they are
-    blobs.select("shard", F.col("value").cast("string").alias("value")).write.partitionBy("shard").text(path)
+    lines = blobs.select("shard", F.col("value").cast("string").alias("value"))
+    lines.write.partitionBy("shard").text(path, compression="none", lineSep=SEPARATOR.decode())
 
 
 READ_SCHEMA = "shard string, doc_id long, local_start long, n_tokens long, file_tokens long, ids binary"
@@ -200,24 +235,30 @@ def read_token_files(spark: SparkSession, path: str, values: tuple[str, ...] = (
     ``values`` are the SQL expressions of ``ids`` to return: what needs only a digest does not carry the ids further.
 
     ``start`` counts the ids of all documents before it, over all files; it needs one row per file, not per document,
-    and takes the files' sizes from their names; a file whose own count differs from its name raises.
+    and takes the files' sizes from their names; a file whose own count or length differs from its name raises.
     """
     from pyspark.sql import Window
 
+    def named(part: int) -> Column:
+        return F.regexp_extract("path", r"/shard=([0-9]+)-([0-9]+)-([0-9]+)/", part)
+
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     files = files.filter(F.col("path").contains("/shard="))
-    name = r"/shard=([0-9]+)-([0-9]+)/"
-    shard = F.regexp_extract("path", name, 1).alias("shard")
-    size = F.regexp_extract("path", name, 2).cast("long").alias("n")
-    sizes = files.select(shard, size)
-    files = files.select(shard, size, "content")
+    wrong = F.raise_error(F.concat(F.col("path"), F.lit(" has not the length in its name")))
+    whole = F.when(F.col("length") == named(3).cast("long"), named(2).cast("long")).otherwise(wrong)
+    sizes = files.select(named(1).alias("shard"), whole.alias("n"))
+    records = spark.read.text(path, lineSep=SEPARATOR.decode(), recursiveFileLookup=True)
+    records = records.select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("value"))
+    records = records.filter(F.col("path").contains("/shard="))
+    records = records.select(named(1).alias("shard"), named(2).cast("long").alias("n"), "value")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, named, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                f = BitFile(blob.as_py())
-                if f.tokens != named:
-                    raise ValueError(f"file {shard} holds {f.tokens} tokens, its name says {named}")
+            for shard, size, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                segment, before, file_tokens = from_record(raw.as_py())
+                if file_tokens != size:
+                    raise ValueError(f"file {shard} holds {file_tokens} tokens, its name says {size}")
+                f = BitFile(segment)
                 at = 0
                 while at < f.docs:
                     stop = at + 1
@@ -230,9 +271,9 @@ def read_token_files(spark: SparkSession, path: str, values: tuple[str, ...] = (
                         [
                             pa.array([shard] * n, pa.string()),
                             pa.array([f.doc_id(i) for i in range(at, stop)], pa.int64()),
-                            pa.array(f.ends[at:stop], pa.int64()),
+                            pa.array(before + f.ends[at:stop], pa.int64()),
                             pa.array(np.diff(f.ends[at : stop + 1]), pa.int64()),
-                            pa.array([f.tokens] * n, pa.int64()),
+                            pa.array([file_tokens] * n, pa.int64()),
                             pa.array(
                                 [ids[int(f.ends[i]) - base : int(f.ends[i + 1]) - base].tobytes() for i in range(at, stop)],
                                 pa.binary(),
@@ -250,7 +291,7 @@ def read_token_files(spark: SparkSession, path: str, values: tuple[str, ...] = (
     before = Window.partitionBy("task").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).join(by_task, "task")
     bases = bases.select("shard", (F.col("task_base") + F.col("base")).alias("base"))
-    docs = files.mapInArrow(read, READ_SCHEMA).selectExpr("shard", "doc_id", "local_start", "n_tokens", *values)
+    docs = records.mapInArrow(read, READ_SCHEMA).selectExpr("shard", "doc_id", "local_start", "n_tokens", *values)
     start = (F.col("base") + F.col("local_start")).alias("start")
     rest = [c for c in docs.columns if c not in ("shard", "doc_id", "local_start", "n_tokens")]
     return docs.join(bases, "shard").select("doc_id", start, "n_tokens", *rest, "shard")
