@@ -123,13 +123,40 @@ def test_deep_nesting():
 
 def test_generated_pages():
     n = 300
-    rows = "".join(f'<li class="entry"><a href="/n{i}.html"><em>Note</em> [{i}]</a></li>' for i in range(n))
-    found = run(f"<html><body><div id='content'>{rows}", "a")
-    assert [(e.attribute("href"), e.inner_html, e.text_content) for e in found] == [
-        (f"/n{i}.html", f"<em>Note</em> [{i}]", f"Note [{i}]") for i in range(n)
+    rows = "".join(f"<tr><th scope=row>{i}<td><q cite=#{i}>&lt;<i>{i * i}</i></q>" for i in range(n))
+    found = run(f"<table>{rows}", "tr > td q")
+    assert [(e.attribute("cite"), e.inner_html, e.text_content) for e in found] == [
+        (f"#{i}", f"&lt;<i>{i * i}</i>", f"&lt; {i * i}") for i in range(n)
     ]
 
 
+@pytest.mark.parametrize(
+    ("selector", "expected"),
+    [
+        ("h1 + p", ["1", "4"]),
+        ("h1 ~ p", ["1", "3", "4"]),
+        ("p + p", []),
+        ("br + i", ["2"]),
+        ("h1 + p + h2 ~ p", ["3"]),
+        ("div p, h2, p", ["1", "a", "3", "4"]),
+        ("h1 + p b", ["b"]),
+    ],
+)
+def test_siblings_and_lists(selector, expected):
+    html = "<div><h1>x</h1><p>1</p><h2>a</h2><br><i>2</i><p>3</p></div><h1>y</h1>text<p>4</p>"
+    assert texts(html if expected != ["b"] else html + "<h1></h1><p><b>b", selector) == expected
+
+
+def test_conditions():
+    html = "<ul><li>1<b>x</b></li><li>2</li><li>3<ol><li>4<b>y</b></ol></li></ul>"
+    of = lambda q: [e.text_content for e in parse(html, q).get("li") or []]
+    assert of(Query.all("li", Save.all()).having("b")) == ["1 x", "3 4 y", "4 y"]
+    assert of(Query.all("li", Save.all()).having("> b")) == ["1 x", "4 y"]
+    assert of(Query.all("li", Save.all()).without("b")) == ["2"]
+    assert of(Query.first("li", Save.all()).without("b")) == ["2"]
+    assert of(Query.first("li", Save.all()).having("ol").having("b")) == ["3 4 y"]
+
+
 def test_close_reasons_and_trace():
     dom = parse_html("<div><p>a<div>b</div><span>c</div><i>", trace=True)
     assert dict(zip(dom.name, dom.close_reason, strict=True))["p"] == "implied"

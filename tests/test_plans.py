@@ -11,6 +11,7 @@ from twigline.local import match_paths, parse
 from twigline.matcher import compile_queries, find_matches
 from twigline.operators import elements, extract, html_nodes, nested, register_sql
 from twigline.operators.extract import with_ordinal
+from twigline.plans import joins
 from twigline.sources import from_strings, read_html_bytes, read_html_text, write_jsonl
 from twigline.streaming import read_stream, stream_matches
 
@@ -19,6 +20,12 @@ QUERIES = [
     query({"first": "p .x", "save": "text_content"}),
     query({"all": "> div > p", "save": "inner_html"}),
     query({"all": "div a[k^=v]"}),
+    query({"all": "a + b", "save": "all"}),
+    query({"all": "p ~ .x i"}),
+    query({"all": "li ~ li + br, ul b, b", "save": "inner_html"}),
+    query({"all": "div, p", "having": ["b"], "then": [{"all": "a ~ i"}]}),
+    query({"first": "div div", "without": ["> a"], "then": [{"first": "b + i, a", "having": ["i"]}]}),
+    query({"all": "p", "without": ["b", "i + a"], "having": ["a"]}),
 ]
 
 
@@ -50,8 +57,10 @@ def expected(documents):
     return sorted(rows, key=str)
 
 
-@pytest.mark.parametrize("plan", ["local", "joins"])
-def test_plans_agree(spark, plan):
+@pytest.mark.parametrize(("plan", "size"), [("local", 0), ("joins", 1 << 16), ("joins", 7)])
+def test_plans_agree(spark, monkeypatch, plan, size):
+    """Ranges of 7 elements cut every document, with ancestors carried over the cuts."""
+    monkeypatch.setattr(joins, "RANGE", size)
     rng = random.Random(5)
     documents = [random_html(rng) for _ in range(25)] + ["", None]
     df = from_strings(spark, documents)
@@ -70,6 +79,48 @@ def test_joins_take_null_and_repeated_rows_like_local(spark):
     assert all(set(odd.columns) - {"html"} <= set(extract(odd, q, plan=p).columns) for p in ("local", "joins"))
 
 
+def test_one_large_document_is_dealt_over_tasks(spark, monkeypatch):
+    n = 60_000
+    html = "<ul>" + "<li><a k=v><b>x</b></a>" * n + "</ul>"
+    q = query({"all": "ul", "then": [{"all": "li a > b"}, {"all": "li + li"}]})
+    df = from_strings(spark, [html, "<ul><li><a><b>y</ul>"])
+    dealt = []
+    merged = joins._merge
+    monkeypatch.setattr(joins, "RANGE", 10_000)
+    monkeypatch.setattr(joins, "_merge", lambda *a: dealt.append(merged(*a)) or dealt[-1])
+    found = extract(df, q, keep=["doc_id"], plan="joins").groupBy("doc_id", "section_ix").count().collect()
+    assert sorted(tuple(r) for r in found) == [(0, 0, 1), (0, 1, n), (0, 2, n - 1), (1, 0, 1), (1, 1, 1)]
+    rows = dealt[1].select(F.expr("node_id div 10000").alias("r"), F.spark_partition_id().alias("task"))
+    per_range = rows.groupBy("r").agg(F.count("*").alias("n"), F.count_distinct("task").alias("tasks")).collect()
+    assert len(per_range) == 19 and all(r["tasks"] == 1 for r in per_range) and max(r["n"] for r in per_range) < 10_000
+    assert rows.select("task").distinct().count() > 1
+
+
+def test_many_queries_cost_little_more_than_one():
+    import time
+
+    html = "<nav>" + "".join(f"<li class='c{i % 50} z' k=v{i % 70}><i>x</i><a href='/{i}'>y</a></li>" for i in range(4000))
+
+    def took(queries):
+        program = compile_queries([Query.all(s).build() for s in queries])
+        best, n = 9.0, 0
+        for _ in range(3):
+            began = time.perf_counter()
+            n = len(find_matches(html, program))
+            best = min(best, time.perf_counter() - began)
+        return n, best
+
+    for one, many, n in (
+        ("nav > li.c1", [f"nav > li.c{i}" for i in range(400)], 4000),
+        ("nav a[href='/1']", [f"nav a[href='/{i}']" for i in range(400)], 400),
+        ("t1 a", [f"t{i} a" for i in range(400)], 0),
+        ("i", [f"li i t{i}" for i in range(400)], 0),
+    ):
+        count, some = took([one])
+        found, all_ = took(many)
+        assert found == n and all_ < 4 * some + 0.02, (one, some, all_)
+
+
 def test_evaluation_stops_and_is_linear():
     import time
 
@@ -78,6 +129,10 @@ def test_evaluation_stops_and_is_linear():
     assert [e[0] for e in seen].count("OpenTag") == 1 and seen[-2][0] == "EarlyExit"
     began = time.perf_counter()
     assert len(find_matches("<div>" * 50_000, compile_queries([Query.all("div > div").build()]))) == 49_999
+    scopes = query({"all": "div", "then": [{"first": "a"}]})
+    assert len(find_matches("<div>" * 20_000 + "<a><a>", compile_queries([scopes]))) == 40_000
+    for name in ("<" + "a" * 1_000_000, "<a<" * 20_000, "<a " * 20_000):
+        find_matches(name, compile_queries([Query.all("b").build()]))
     rows = "".join(f"<section class=s><h3>{i}</h3><b>x</b></section>" for i in range(4000))
     q = query({"all": "section.s", "save": "all", "then": [{"first": "> h3", "save": "text_content"}, {"all": "b"}]})
     assert len(find_matches(rows, compile_queries([q]))) == 12_000

@@ -2,17 +2,29 @@ import pytest
 
 from twigline import Query, QueryBuilder, Save, SelectorParseError, parse_selector, query
 from twigline.query import as_queries
-from twigline.selector import AttributeTest, Compound, Step
+from twigline.selector import AttributeTest, Compound, Step, parse_selectors
 
 
 def test_compounds_and_combinators():
-    assert parse_selector("element#id.class > other") == (
-        Step(" ", Compound("element", "id", ("class",))), Step(">", Compound("other")),
-    )
+    assert parse_selector("menu#top.wide > entry") == (Step(" ", Compound("menu", "top", ("wide",))), Step(">", Compound("entry")))
     assert parse_selector("a>b") == parse_selector("a > b")
     assert parse_selector("> a")[0].combinator == ">"
     assert parse_selector("a#one#two")[0].compound.id == "one"
     assert parse_selector(".x.y")[0].compound.classes == ("x", "y")
+    assert [s.combinator for s in parse_selector("a+b ~c > d e")] == [" ", "+", "~", ">", " "]
+
+
+def test_lists():
+    assert parse_selectors("a b,c , a b") == (parse_selector("a b"), parse_selector("c"))
+    assert parse_selectors('a[k=","]') == (parse_selector('a[k=","]'),)
+    with pytest.raises(SelectorParseError):
+        parse_selector("a, b")
+
+
+def test_conditions():
+    q = Query.all("a").having("b").all("> c", Save.all()).without("d").build()
+    assert q.spec() == {"all": "a", "save": "none", "having": ["b"], "then": [{"all": "> c", "save": "all", "without": ["d"]}]}
+    assert query(q.spec()) == q and len(q.sections()) == 2
 
 
 @pytest.mark.parametrize(
@@ -43,8 +55,13 @@ def test_attribute_tests(selector, test):
         (".", "missing class string"),
         ("#", "missing id string"),
         ("a.", "missing class string"),
-        (" a ~ b", "unsupported combinator '~'"),
-        ("a + b", "unsupported combinator '+'"),
+        ("~ a", "unsupported combinator '~'"),
+        (" + a", "unsupported combinator '+'"),
+        ("a + ", "missing selector element"),
+        ("a,, b", "missing selector element"),
+        (", b", "missing selector element"),
+        ("a,", "missing selector element"),
+        ("a, ~ b", "unsupported combinator '~'"),
         ("| a", "unsupported combinator '|'"),
         ("a[]", "attribute selector is missing a key"),
         ("*", "illegal selector token"),

@@ -41,8 +41,8 @@ _MARKUP = re.compile(
     rb"!--(.*?)(?:-->|\Z)"
     rb"|[!?][^>]*(?:>|\Z)"
     rb"|/([^>]*)(?:>|\Z)"
-    rb"|([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    rb"|([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)"
+    rb"|([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+    rb"|([A-Za-z][^\s/>]*+)([^>]*+)(?:>|\Z)"
     rb")",
     re.S,
 )
@@ -57,6 +57,7 @@ class Dom:
     """Columns of a document's elements, and its text."""
 
     parent_id: list[int] = field(default_factory=list)
+    prev_id: list[int] = field(default_factory=list)  # the sibling before, or -2
     last_id: list[int] = field(default_factory=list)
     depth: list[int] = field(default_factory=list)
     name: list[str] = field(default_factory=list)
@@ -238,6 +239,7 @@ class _DomSink(Sink):
     def __init__(self, dom: Dom) -> None:
         self.dom = dom
         self.text = []
+        self.latest: dict[int, int] = {}  # the last child so far
 
     def open(self, row: int, name: str, attributes: bytes | None, parent: int, depth: int, start: int, inner: int | None, size: int) -> bool:
         dom = self.dom
@@ -250,6 +252,8 @@ class _DomSink(Sink):
         dom.class_.append(cls)
         dom.attributes.append(rest)
         dom.parent_id.append(parent)
+        dom.prev_id.append(self.latest.get(parent, -2))
+        self.latest[parent] = row
         dom.depth.append(depth)
         dom.last_id.append(row)
         dom.inner_start.append(inner)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from twigline.matcher import Match, compile_queries, find_matches
-from twigline.operators.parse import DOM, RAW, TEXT, with_dom
+from twigline.operators.parse import RAW, TEXT, element_rows
 from twigline.plans import joins
 from twigline.query import Query, QueryBuilder, Section, as_queries
 
@@ -73,8 +73,8 @@ def extract(
     """One row per match of every selector of every query, with the kept columns (default: all but the html).
 
     ``plan`` "local" evaluates a document's queries while it is parsed, and stops where nothing more can match: no
-    shuffle, fit for streams; only matches leave the Python worker.  "joins" joins element rows instead, for documents
-    whose matches one task should not find alone.  Both give the same rows.
+    shuffle, fit for streams; only matches leave the Python worker.  "joins" joins element rows instead (see
+    ``plans.joins``): a document's elements are dealt over tasks by ranges.  Both give the same rows.
 
     ``path`` names a match by the element numbers of its enclosing matches and its own; ``parent_path`` is the enclosing
     match's.  ``with_ordinal`` adds a match's place in its scope.  Null html has no matches; repeated rows have their
@@ -123,32 +123,41 @@ def _bytes(source: str | Column, start: Column, end: Column) -> Column:
     return F.decode(F.substring(source, start + 1, end - start), "UTF-8")
 
 
+#: What a match needs of its element beside its number.
+_ELEMENT = ["depth", "name", "id", "class", "attributes", "inner_start", "inner_end", "text_start", "text_end"]
+
+
 def _extract_joined(df: DataFrame, many: list[Query], html_col: str, kept: list[str]) -> DataFrame:
-    """The documents are parsed once and numbered; steps join narrow element rows by that number."""
-    numbered = df.select(F.struct(*kept).alias("_keep") if kept else F.lit(0).alias("_keep"), F.monotonically_increasing_id().alias("_doc"), html_col)
-    dom = with_dom(numbered, html_col, ["_keep", "_doc"])
+    """The documents are parsed once and numbered; queries are joins of narrow element rows by that number.
+
+    Parsed documents are checkpointed where a checkpoint directory is set, as a cluster needs; else kept on local disks.
+    """
+    numbered = df.select(F.struct(*kept).alias("_keep") if kept else F.struct(F.lit(0).alias("_")).alias("_keep"), F.monotonically_increasing_id().alias("_doc"), html_col)
+    parsed = element_rows(numbered, html_col, "_doc", "_keep")
     context = df.sparkSession.sparkContext
-    dom = dom.checkpoint() if context.getCheckpointDir() else dom.persist(StorageLevel.DISK_ONLY)
-    nodes = dom.select("_doc", F.inline(DOM))
-    out = None
+    if context.getCheckpointDir() is None and context.getConf().get("spark.checkpoint.dir", None):
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir"))
+    parsed = parsed.checkpoint() if context.getCheckpointDir() else parsed.persist(StorageLevel.DISK_ONLY)
+    used = ["node_id", "parent_id", "prev_id", "last_id", "name", "id", "class", "classes", "attributes"]
+    nodes = parsed.filter("node_id >= 0").select("_doc", *used, F.struct(*_ELEMENT).alias("node"))
+    rows = None
     for k, q in enumerate(many):
         part = joins.query_matches(q, nodes, ["_doc"]).withColumn("query_ix", F.lit(k))
-        out = part if out is None else out.unionByName(part)
-    # a document's matches meet it once
-    found = out.groupBy("_doc").agg(F.collect_list(F.struct("query_ix", "section", "path")).alias("_found"))
-    rows = dom.join(found, "_doc").select("_keep", DOM, RAW, TEXT, F.explode("_found").alias("_m"))
-    rows = rows.select("_keep", RAW, TEXT, "_m", F.element_at(DOM, F.element_at("_m.path", -1) + 1).alias("_n"))
-    n, path = F.col("_n"), F.col("_m.path")
-    picked = lambda what: F.array(*[F.array(*[F.lit(what(s)) for _, _, s in q.sections()]) for q in many])[F.col("_m.query_ix")][
-        F.col("_m.section")
-    ]
+        rows = part if rows is None else rows.unionByName(part)
+    wanted = {RAW: any(s.save.inner_html for q in many for _, _, s in q.sections()), TEXT: any(s.save.text_content for q in many for _, _, s in q.sections())}
+    contents = [c for c, needed in wanted.items() if needed]
+    if kept or contents:
+        rows = rows.join(parsed.filter("node_id = -1").select("_doc", "_keep", *contents), "_doc")
+    n, path = F.col("node"), F.col("path")
+    picked = lambda what: F.array(*[F.array(*[F.lit(what(s)) for _, _, s in q.sections()]) for q in many])[F.col("query_ix")][F.col("section")]
     inner, text = picked(lambda s: s.save.inner_html), picked(lambda s: s.save.text_content)
+    none = F.lit(None).cast("string")
     return rows.select(
-        *[F.col("_keep")[c].alias(c) for c in kept], F.col("_m.query_ix").alias("query_ix"), F.col("_m.section").alias("section_ix"),
+        *[F.col("_keep")[c].alias(c) for c in kept], "query_ix", F.col("section").alias("section_ix"),
         picked(lambda s: s.selector).alias("selector"), path.alias("path"), F.slice(path, F.lit(1), F.size(path) - 1).alias("parent_path"),
-        *[n[f].alias(f) for f in ("node_id", "depth", "name", "id", "class", "attributes")],
-        F.when(inner & n["inner_start"].isNotNull(), _bytes(RAW, n["inner_start"], n["inner_end"])).alias("inner_html"),
-        F.when(text & n["text_end"].isNotNull() & n["text_start"].isNotNull(), _bytes(TEXT, n["text_start"], n["text_end"])).alias("text_content"),
+        F.element_at("path", -1).alias("node_id"), *[n[f].alias(f) for f in _ELEMENT[:5]],
+        (F.when(inner & n["inner_start"].isNotNull(), _bytes(RAW, n["inner_start"], n["inner_end"])) if wanted[RAW] else none).alias("inner_html"),
+        (F.when(text & n["text_end"].isNotNull() & n["text_start"].isNotNull(), _bytes(TEXT, n["text_start"], n["text_end"])) if wanted[TEXT] else none).alias("text_content"),
     )
 
 

@@ -7,14 +7,14 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, StructType
 
 from twigline.dom import Dom, as_bytes, parse_html
 from twigline.matcher import compile_queries, find_matches
 from twigline.query import Query, QueryBuilder, as_queries
 
 NODE_FIELDS = {
-    "node_id": "int", "parent_id": "int", "last_id": "int", "depth": "int", "name": "string", "id": "string",
+    "node_id": "int", "parent_id": "int", "prev_id": "int", "last_id": "int", "depth": "int", "name": "string", "id": "string",
     "class": "string", "classes": "array<string>", "attributes": "array<struct<key:string,value:string>>",
     "inner_start": "int", "inner_end": "int", "text_start": "int", "text_end": "int", "close_reason": "string",
 }
@@ -39,7 +39,7 @@ def nodes_array(doms: list[Dom]) -> pa.Array:
     pairs = [p for a in attributes for p in a]
     columns = {
         "node_id": pa.array([i for d in doms for i in range(len(d))], pa.int32()),
-        **{k: pa.array(flat(k), pa.int32()) for k in ("parent_id", "last_id", "depth")},
+        **{k: pa.array(flat(k), pa.int32()) for k in ("parent_id", "prev_id", "last_id", "depth")},
         "name": pa.array(flat("name"), pa.string()),
         "id": pa.array(flat("id"), pa.string()),
         "class": pa.array(flat("class_"), pa.string()),
@@ -101,6 +101,41 @@ def with_dom(df: DataFrame, html_col: str = "html", keep: list[str] | None = Non
     return df.select(*keep, html_col).mapInArrow(parse, schema)
 
 
+def element_rows(df: DataFrame, html_col: str, doc: str, keep: str) -> DataFrame:
+    """A row for every element (``doc`` and the element's fields), and one for every document, with node_id -1, ``doc``,
+    ``keep``, the document's bytes and those of its text.  However many elements a document has, no row holds them all."""
+    schema = StructType([df.schema[doc], *StructType.fromDDL(NODE_DDL)]).add(keep, df.schema[keep].dataType).add(RAW, BinaryType()).add(TEXT, BinaryType())
+    names = schema.names
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers, kept, pages = batch.column(0), batch.column(1), batch.column(2).cast(pa.binary())
+            at = 0
+            while at < batch.num_rows:  # a few megabytes of html at a time
+                doms, raws, size, start = [], [], 0, at
+                while at < batch.num_rows and size < 2_000_000:
+                    raw = pages[at].as_py() or b""
+                    doms.append(parse_html(raw))
+                    raws.append(raw)
+                    size += len(raw) + 1000
+                    at += 1
+                fields = nodes_array(doms).flatten().flatten()
+                n, m = sum(len(d) for d in doms), len(doms)
+                owner = pa.array([start + i for i, d in enumerate(doms) for _ in range(len(d))] + list(range(start, at)), pa.int64())
+                ends = [pa.array([-1] * m, pa.int32()), *(pa.nulls(m, f.type) for f in fields[1:])]
+                none = pa.nulls(n, pa.binary())
+                columns = [
+                    numbers.take(owner), *(pa.concat_arrays(pair) for pair in zip(fields, ends, strict=True)),
+                    kept.take(pa.array([None] * n + list(range(start, at)), pa.int64())),
+                    pa.concat_arrays([none, pa.array(raws, pa.binary())]), pa.concat_arrays([none, pa.array([d.text for d in doms], pa.binary())]),
+                ]
+                rows = pa.RecordBatch.from_arrays(columns, names)
+                for some in range(0, rows.num_rows, 50_000):
+                    yield rows.slice(some, 50_000)
+
+    return df.select(doc, keep, html_col).mapInArrow(parse, schema)
+
+
 def html_nodes(df: DataFrame, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
     """One row per element: the kept columns and the element's fields. A table to store, join and query."""
     dom = with_dom(df, html_col, keep)

@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, replace
 
-from twigline.selector import Step, parse_selector
+from twigline.selector import Step, parse_selectors
 
 
 @dataclass(frozen=True)
@@ -35,13 +35,18 @@ class Save:
 
 @dataclass(frozen=True)
 class Section:
-    """One selector of a query; children are evaluated inside each of its matches."""
+    """One selector of a query; children are evaluated inside each of its matches.
+
+    ``conditions`` are (wanted, section): a match counts only if it holds a match of each wanted one and none of the
+    others.
+    """
 
     selector: str
-    steps: tuple[Step, ...]
+    alternatives: tuple[tuple[Step, ...], ...]
     first: bool
     save: Save
     children: tuple[Section, ...] = ()
+    conditions: tuple[tuple[bool, Section], ...] = ()
 
     def __post_init__(self) -> None:
         names = [c.selector for c in self.children]
@@ -81,7 +86,7 @@ class Query:
 
 
 def _section(selector: str, first: bool, save: Save | None) -> Section:
-    return Section(selector, parse_selector(selector), first, save or Save.none())
+    return Section(selector, parse_selectors(selector), first, save or Save.none())
 
 
 class QueryFactory:
@@ -101,19 +106,39 @@ class QueryBuilder:
         self._root = root
         self._last = last  # way from the root to the section added last
 
-    def _append(self, sections: Iterable[Section], move: bool) -> QueryBuilder:
-        new = tuple(sections)
+    def _change(self, change: Callable[[Section], Section]) -> Section:
+        """The root, with the section added last changed."""
 
-        def put(at: Section, way: tuple[int, ...]) -> tuple[Section, int]:
+        def put(at: Section, way: tuple[int, ...]) -> Section:
             if not way:
-                return replace(at, children=at.children + new), len(at.children)
-            child, place = put(at.children[way[0]], way[1:])
-            children = (*at.children[: way[0]], child, *at.children[way[0] + 1 :])
-            return replace(at, children=children), place
+                return change(at)
+            return replace(at, children=(*at.children[: way[0]], put(at.children[way[0]], way[1:]), *at.children[way[0] + 1 :]))
+
+        return put(self._root, self._last)
+
+    def _append(self, sections: Iterable[Section], move: bool) -> QueryBuilder:
+        new, place = tuple(sections), 0
 
-        root, place = put(self._root, self._last)
+        def add(at: Section) -> Section:
+            nonlocal place
+            place = len(at.children)
+            return replace(at, children=at.children + new)
+
+        root = self._change(add)
         return QueryBuilder(root, (*self._last, place) if move else self._last)
 
+    def having(self, selector: str) -> QueryBuilder:
+        """Keep only those matches of the section added last that hold a match of ``selector``."""
+        return self._if(True, selector)
+
+    def without(self, selector: str) -> QueryBuilder:
+        """Keep only those matches of the section added last that hold no match of ``selector``."""
+        return self._if(False, selector)
+
+    def _if(self, wanted: bool, selector: str) -> QueryBuilder:
+        condition = (wanted, _section(selector, True, None))
+        return QueryBuilder(self._change(lambda s: replace(s, conditions=(*s.conditions, condition))), self._last)
+
     def all(self, selector: str, save: Save | None = None) -> QueryBuilder:
         return self._append([_section(selector, False, save)], True)
 
@@ -143,15 +168,18 @@ _SAVES = {
 
 
 def query(spec: dict | str) -> Query:
-    """From a declarative spec (dict or JSON): ``{"all": selector, "save": "all", "then": [...]}`` or with "first"."""
+    """From a declarative spec (dict or JSON): ``{"all": selector, "save": "all", "then": [...]}`` or with "first".
+
+    ``"having"`` and ``"without"`` are lists of selectors that a match must, or must not, hold.
+    """
     return Query(_from_spec(json.loads(spec) if isinstance(spec, str) else spec))
 
 
 def _from_spec(spec: dict) -> Section:
     kinds = [k for k in ("all", "first") if k in spec]
-    unknown = set(spec) - {"all", "first", "save", "then"}
+    unknown = set(spec) - {"all", "first", "save", "then", "having", "without"}
     if len(kinds) != 1 or unknown:
-        raise ValueError(f"a query spec needs one of all and first, and may have save and then: {spec}")
+        raise ValueError(f"a query spec needs one of all and first, and may have save, then, having and without: {spec}")
     save = spec.get("save", "none")
     if isinstance(save, dict):
         save = Save(bool(save.get("inner_html")), bool(save.get("text_content")))
@@ -160,12 +188,16 @@ def _from_spec(spec: dict) -> Section:
             raise ValueError(f"unknown save {save!r}")
         save = _SAVES[save]
     section = _section(spec[kinds[0]], kinds[0] == "first", save)
-    return replace(section, children=tuple(_from_spec(s) for s in spec.get("then", ())))
+    conditions = tuple((kind == "having", _section(c, True, None)) for kind in ("having", "without") for c in spec.get(kind, ()))
+    return replace(section, children=tuple(_from_spec(s) for s in spec.get("then", ())), conditions=conditions)
 
 
 def _to_spec(s: Section) -> dict:
     save = next(k for k, v in _SAVES.items() if v == s.save)
     out: dict = {"first" if s.first else "all": s.selector, "save": save}
+    for kind, wanted in (("having", True), ("without", False)):
+        if some := [c.selector for w, c in s.conditions if w == wanted]:
+            out[kind] = some
     if s.children:
         out["then"] = [_to_spec(c) for c in s.children]
     return out
