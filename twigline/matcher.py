@@ -303,6 +303,7 @@ class Matcher(Sink):
             return False
         parsed = None
         hits: list[tuple[_Scope, _Step]] = []
+        told: set[tuple[_Scope, _Plan]] = set()
         for scope, buckets in self._candidates(around, name):
             if not scope.left:
                 continue
@@ -316,7 +317,7 @@ class Matcher(Sink):
                         parsed = parse_attributes(attributes) if attributes and not attributes.isspace() else _NO_ATTRIBUTES
                     hits += [(scope, s) for s in bucket.fitting(parsed)]
             if trace is not None:
-                self._trace_steps(scope, buckets, hits, name, depth, start)
+                self._trace_steps(scope, buckets, hits, told, name, depth, start)
         if not hits:
             if inner is not None:
                 self.frames.append(_BARE)
@@ -407,13 +408,16 @@ class Matcher(Sink):
             self.trace.append(("EarlyExit", name, depth, at, None))
         return True
 
-    def _trace_steps(self, scope: _Scope, buckets: dict[str | None, _Bucket], hits: list, name: str, depth: int, at: int) -> None:
-        """An event for every section whose step waited here, whether the tag fits it or not."""
+    def _trace_steps(self, scope: _Scope, buckets: dict, hits: list, told: set, name: str, depth: int, at: int) -> None:
+        """An event for every section whose step waited here, whether the tag fits it or not; none once it is done."""
         fit = {s for owner, s in hits if owner is scope}
         for bucket in buckets.values():
             for step in [*bucket.plain, *bucket.other, *(s for some in (bucket.ids, bucket.classes, bucket.values) for x in some.values() for s in x)]:
-                what = "TransitionMatched" if step in fit else "TransitionRejected"
-                self.trace += [(what, name, depth, at, _label(p)) for p in step.plans if p not in scope.done]
+                for p in step.plans:
+                    if p not in scope.done and (scope, p) not in told:
+                        self.trace.append(("TransitionMatched" if step in fit else "TransitionRejected", name, depth, at, _label(p)))
+                    if step in fit and p.first and p in step.ends:
+                        told.add((scope, p))
 
 
 def _label(plan: _Plan) -> str:

@@ -1,6 +1,6 @@
 """DataFrame operators: parse documents, run queries over them."""
 
-from twigline.operators.extract import elements, extract, nested, select_matches
+from twigline.operators.extract import elements, except_matches, extract, intersect_matches, nested, select_matches
 from twigline.operators.parse import html_events, html_nodes, register_sql, with_dom
 
-__all__ = ["elements", "extract", "html_events", "html_nodes", "nested", "register_sql", "select_matches", "with_dom"]
+__all__ = ["elements", "except_matches", "extract", "html_events", "html_nodes", "intersect_matches", "nested", "register_sql", "select_matches", "with_dom"]

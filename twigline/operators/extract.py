@@ -220,6 +220,16 @@ def select_matches(matches: DataFrame, selector: str, root: bool = True) -> Data
     return matches.filter((F.col("selector") == selector) & (is_root if root else ~is_root))
 
 
+def intersect_matches(matches: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """Matches whose element is also one of ``other``'s. ``keys`` name a document, without nulls."""
+    return matches.join(other.select(*keys, "node_id").distinct(), [*keys, "node_id"], "left_semi")
+
+
+def except_matches(matches: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """Matches whose element is none of ``other``'s."""
+    return matches.join(other.select(*keys, "node_id").distinct(), [*keys, "node_id"], "left_anti")
+
+
 def elements(df: DataFrame, selector: str, save=None, html_col: str = "html", keep: list[str] | None = None, first: bool = False) -> DataFrame:  # noqa: ANN001
     """Shorthand for one selector."""
     start = Query.first if first else Query.all

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twigline.functions import attribute, attribute_map, has_attribute, match_json
-from twigline.operators.extract import elements, extract, nested, select_matches, with_ordinal
+from twigline.operators.extract import elements, except_matches, extract, intersect_matches, nested, select_matches, with_ordinal
 from twigline.operators.parse import html_events, html_nodes, register_sql, spread
 from twigline.plans.literals import EVENTS, LITERALS
 from twigline.query import Query, Save, query
-from twigline.sources import from_strings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -287,37 +287,142 @@ def _sql_text(value: str | None) -> str:
     return "CAST(NULL AS VARCHAR)" if value is None else "'" + value.replace("'", "''") + "'"
 
 
+#: A page's heading and language, and the same in SQL.
+_HEADING, _LANG = r"<h1>\s*([^<]*?)\s*</h1>", '<html lang="([^"]*)"'
+_MADE = {"{t}": F.regexp_extract("html", _HEADING, 1), "{l}": F.regexp_extract("html", _LANG, 1)}
+_MADE_SQL = {"{t}": f"regexp_extract(html, '{_HEADING}', 1)", "{l}": f"regexp_extract(html, '{_LANG}', 1)"}
+
+
+def _filled(template: str | None) -> Column:
+    if template is None:
+        return F.lit(None).cast("string")
+    pieces = re.split(r"(\{[tl]\})", template)
+    return F.concat(*[_MADE.get(p, F.lit(p)) for p in pieces])
+
+
+def _filled_sql(template: str | None) -> str:
+    if template is None:
+        return "CAST(NULL AS VARCHAR)"
+    return " || ".join(_MADE_SQL.get(p, _sql_text(p)) for p in re.split(r"(\{[tl]\})", template) if p)
+
+
 def _literal(selectors: list[str], documents: list[str | None]):  # noqa: ANN202
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = extract(from_strings(spark, documents), [Query.all(s, Save.only_text_content()) for s in selectors])
-        found = with_ordinal(found, ["doc_id"])
-        return found.select("doc_id", "selector", F.col("ordinal").cast("long").alias("ordinal"), F.col("text_content").alias("text"))
+    def run(df: DataFrame) -> DataFrame:
+        made = df.select("page_id", F.posexplode(F.array(*[_filled(d) for d in documents])).alias("doc", "html"))
+        found = with_ordinal(extract(made, [Query.all(s, Save.only_text_content()) for s in selectors]), ["page_id", "doc"])
+        return found.select("page_id", "doc", "selector", F.col("ordinal").cast("long").alias("ordinal"), F.col("text_content").alias("text"))
 
     return run
 
 
-# queries over documents at hand, against the rows that the rules demand
+# queries over documents made from the pages, against the rows that the rules demand
 for _name, (_documents, _expected) in LITERALS.items():
     _selectors = list(dict.fromkeys(s for _, s, _ in _expected))
-    QUERIES[_name] = _literal(_selectors, _documents)
-    _rows = []
-    for _k, (_doc, _selector, _texts) in enumerate(_expected):
-        _rows += [f"({_doc}, {_sql_text(_selector)}, {_n}, {_sql_text(_t)})" for _n, _t in enumerate(_texts)]
-    ORACLE_SQL[_name] = (
-        "SELECT CAST(d AS BIGINT) AS doc_id, s AS selector, CAST(n AS BIGINT) AS ordinal, t AS text FROM "
-        f"(VALUES {', '.join(_rows)}) v(d, s, n, t)"
-    )
+    _rows = [
+        f"SELECT page_id, {_doc} AS doc, {_sql_text(_selector)} AS selector, CAST({_n} AS BIGINT) AS ordinal, {_filled_sql(_t)} AS text FROM pages"
+        for _doc, _selector, _texts in _expected
+        for _n, _t in enumerate(_texts)
+    ]
+    register(_name, " UNION ALL ".join(_rows))(_literal(_selectors, _documents))
 
 
-def _traced(spark: SparkSession, sf_dir: str) -> DataFrame:
+@register(
+    "trace_evaluation",
+    f"SELECT page_id, CAST(a AS BIGINT) AS seq, e AS event, t AS tag, CAST(p + CASE WHEN after THEN strlen({_MADE_SQL['{t}']}) ELSE 0 END AS BIGINT) AS position "
+    "FROM pages, (VALUES " + ", ".join(f"({_k}, {_sql_text(_e)}, {_sql_text(_t)}, {_p}, {_after})" for _k, (_e, _t, _p, _after) in enumerate(EVENTS[2])) + ") v(a, e, t, p, after)",
+)
+def trace_evaluation(df: DataFrame) -> DataFrame:
     html, selector, _ = EVENTS
-    events = html_events(from_strings(spark, [html]), queries=Query.first(selector, Save.only_text_content()))
-    return events.select(F.col("seq").cast("long").alias("seq"), "event", "tag", F.col("position").cast("long").alias("position"))
+    events = html_events(df.select("page_id", _filled(html).alias("html")), queries=Query.first(selector, Save.only_text_content()))
+    return events.select("page_id", F.col("seq").cast("long").alias("seq"), "event", "tag", F.col("position").cast("long").alias("position"))
+
+
+LINK_ROWS = (
+    "SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\">([^<]*)</a>', 1)) AS href, "
+    "unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\">([^<]*)</a>', 2)) AS raw, "
+    "unnest(range(len(regexp_extract_all(html, '<a href=\"([^\"]*)\">([^<]*)</a>')))) AS i FROM pages"
+)
+
+
+@register("join_next_sibling", f"SELECT page_id, inner_html FROM ({PARAS}) WHERE ordinal = 0")
+def join_next_sibling(df: DataFrame) -> DataFrame:
+    return elements(df, "h1 + p", Save.only_inner_html()).select("page_id", "inner_html")
 
 
-QUERIES["trace_evaluation"] = _traced
-ORACLE_SQL["trace_evaluation"] = (
-    "SELECT CAST(a AS BIGINT) AS seq, e AS event, t AS tag, CAST(p AS BIGINT) AS position FROM (VALUES "
-    + ", ".join(f"({_k}, {_sql_text(_e)}, {_sql_text(_t)}, {_p})" for _k, (_e, _t, _p) in enumerate(EVENTS[2]))
-    + ") v(a, e, t, p)"
+@register("join_later_sibling", f"SELECT page_id, {TEXT} AS text FROM ({LINK_ROWS}) WHERE i > 0")
+def join_later_sibling(df: DataFrame) -> DataFrame:
+    return elements(df, "li ~ li", Save.only_text_content()).select("page_id", F.col("text_content").alias("text"))
+
+
+@register(
+    "join_sibling",
+    f"SELECT page_id, 'li + li a' AS selector, CAST(count(*) AS BIGINT) AS n FROM ({LINK_ROWS}) WHERE i > 0 GROUP BY page_id "
+    f"UNION ALL SELECT page_id, 'h1 ~ p', CAST(count(*) AS BIGINT) FROM ({PARAS}) GROUP BY page_id",
+)
+def join_sibling(df: DataFrame) -> DataFrame:
+    found = extract(df, [Query.all("li + li a"), Query.all("h1 ~ p")], plan="joins")
+    return found.groupBy("page_id", "selector").agg(F.count("*").alias("n"))
+
+
+@register(
+    "selector_list",
+    f"SELECT page_id, CAST(i AS BIGINT) AS ordinal, 'a' AS name FROM ({LINK_ROWS}) UNION ALL "
+    f"SELECT page_id, CAST(ordinal + (SELECT count(*) FROM ({LINK_ROWS}) l WHERE l.page_id = p.page_id) AS BIGINT), 'p' FROM ({PARAS}) p",
+)
+def selector_list(df: DataFrame) -> DataFrame:
+    found = with_ordinal(elements(df, "nav a, article p, ul > li > a"), ["page_id"])
+    return found.select("page_id", F.col("ordinal").cast("long").alias("ordinal"), "name")
+
+
+@register("list_joined", f"SELECT page_id, CAST(count(*) AS BIGINT) AS n FROM (SELECT page_id FROM ({LINK_ROWS}) UNION ALL SELECT page_id FROM ({PARAS})) GROUP BY page_id")
+def list_joined(df: DataFrame) -> DataFrame:
+    return extract(df, Query.all("nav a, article p, ul > li > a"), plan="joins").groupBy("page_id").agg(F.count("*").alias("n"))
+
+
+def _conditions(name: str, kind: str, where: str, plan: str) -> None:
+    @register(name, f"SELECT page_id, {TEXT} AS text FROM ({LINK_ROWS}) WHERE {where}")
+    def run(df: DataFrame) -> DataFrame:
+        q = getattr(Query.all("li", Save.only_text_content()), kind)('a[href^="/t"]')
+        return extract(df, q, plan=plan).select("page_id", F.col("text_content").alias("text"))
+
+
+for _plan, _mark in (("local", ""), ("joins", "_joined")):
+    _conditions(f"having{_mark}", "having", "starts_with(href, '/t')", _plan)
+    _conditions(f"without{_mark}", "without", "NOT starts_with(href, '/t')", _plan)
+
+
+@register(
+    "having_first",
+    f"SELECT page_id, {TEXT} AS text FROM ({LINK_ROWS}) WHERE starts_with(href, '/t') QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY i) = 1",
+)
+def having_first(df: DataFrame) -> DataFrame:
+    """The first list item that holds such a link, of each page."""
+    found = extract(df, Query.all("ul").first("li", Save.only_text_content()).having('a[href^="/t"]'))
+    return found.filter("section_ix = 1").select("page_id", F.col("text_content").alias("text"))
+
+
+@register("intersect_matches", f"SELECT page_id, href FROM ({LINKS}) WHERE starts_with(href, '/t') AND ends_with(href, 'e')")
+def intersect_(df: DataFrame) -> DataFrame:
+    found = extract(df, [Query.all('a[href^="/t"]'), Query.all('nav a[href$="e"]')])
+    both = intersect_matches(select_matches(found, 'a[href^="/t"]'), select_matches(found, 'nav a[href$="e"]'), ["page_id"])
+    return both.select("page_id", attribute("href").alias("href"))
+
+
+@register("except_matches", f"SELECT page_id, href FROM ({LINKS}) WHERE starts_with(href, '/t') AND NOT ends_with(href, 'e')")
+def except_(df: DataFrame) -> DataFrame:
+    found = extract(df, [Query.all('a[href^="/t"]'), Query.all('nav a[href$="e"]')])
+    rest = except_matches(select_matches(found, 'a[href^="/t"]'), select_matches(found, 'nav a[href$="e"]'), ["page_id"])
+    return rest.select("page_id", attribute("href").alias("href"))
+
+
+_PAIRS = [a + b for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrst"]
+
+
+@register(
+    "many_selectors",
+    f"SELECT 'nav a[href=\"' || href || '\"]' AS selector, CAST(count(*) AS BIGINT) AS n FROM ({LINKS}) WHERE regexp_matches(href, '^/[a-t][a-t]$') GROUP BY href",
 )
+def many_selectors(df: DataFrame) -> DataFrame:
+    """400 queries in one pass."""
+    found = extract(df, [Query.all(f'nav a[href="/{p}"]') for p in _PAIRS])
+    return found.groupBy("selector").agg(F.count("*").alias("n"))
