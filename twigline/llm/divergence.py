@@ -63,33 +63,41 @@ def source_divergence(
     terms; a language's vocabulary meets its sources in ``PARTS`` parts.
     """
     counts = staged(term_counts(docs, text, lang, source), "counts")
-    vocabulary = counts.filter(F.col("term").isNotNull()).groupBy("lang", "term").agg(F.sum("n").alias("all_n"), F.sum("docs").alias("docs"))
-    vocabulary = staged(vocabulary.filter(F.col("docs") >= min_docs).drop("docs"), "vocabulary")
-    used = counts.join(vocabulary.select("lang", "term"), ["lang", "term"], "left_semi").select("lang", "source", "term", "n")
+    # a term of a language goes by the number of one of its rows: numbers are shuffled and sorted faster than words
+    of_term = Window.partitionBy("lang", "term")
+    used = counts.filter(F.col("term").isNotNull()).withColumn("row", F.monotonically_increasing_id())
+    used = used.withColumns({"held": F.sum("docs").over(of_term), "all_n": F.sum("n").over(of_term), "t": F.min("row").over(of_term)})
+    used = staged(used.filter(F.col("held") >= min_docs).select("lang", "source", "term", "n", "all_n", "t", (F.col("row") == F.col("t")).alias("first")), "used")
+    vocabulary = used.filter("first")
     of_lang = vocabulary.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("all_n").alias("lang_total"))
     groups = counts.select("lang", "source").distinct().join(used.groupBy("lang", "source").agg(F.sum("n").alias("total")), ["lang", "source"], "left")
-    groups = staged(groups.join(of_lang, "lang", "left").na.fill(0), "groups")
-
-    part = F.pmod(F.xxhash64("term"), F.lit(PARTS)).cast("int")
-    dealt = groups.filter("terms > 0").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    dense = vocabulary.withColumn("part", part).join(dealt, ["lang", "part"]).drop("part")
-    dense = dense.join(used, ["lang", "source", "term"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    dense = dense.select(
-        "lang", "source", "term", "n", _probability("n", "total", "terms").alias("p"), _probability("all_n", "lang_total", "terms").alias("q")
-    )
-    dense = staged(dense, "dense")
-
-    one = dense.select("lang", "term", "source", "p")
-    other = dense.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("q"))
-    met = one.join(other, ["lang", "term"]).filter("source != item")
-    pairs = met.groupBy("lang", "source", "item").agg(F.sum(_divergence("p", "q")).alias("value"))
+    groups = groups.join(of_lang, "lang", "left").na.fill(0)
+    groups = staged(groups.withColumn("g", F.monotonically_increasing_id()), "groups")
+    sizes = groups.select("g", "total", "terms", "lang_total")
+
+    dealt = groups.filter("terms > 0").select("lang", "g", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    zeros = vocabulary.select("lang", "t", F.pmod("t", F.lit(PARTS)).cast("int").alias("part")).join(dealt, ["lang", "part"])
+    mine = used.join(groups.select("lang", "source", "g"), ["lang", "source"])
+    both = zeros.select("t", "g", F.lit(0).cast("long").alias("n")).unionByName(mine.select("t", "g", "n"))
+    # all of a term's rows in one partition, for the sums by source as well as for the self-join
+    dense = both.repartition("t").groupBy("t", "g").agg(F.sum("n").alias("n")).join(sizes, "g")
+    dense = dense.select("t", "g", _probability("n", "total", "terms").alias("p"))
+    one, other = dense.alias("one"), dense.alias("other")
+    met = one.join(other, F.col("one.t") == F.col("other.t")).filter("one.g != other.g")
+    met = met.groupBy(F.col("one.g").alias("g"), F.col("other.g").alias("o")).agg(F.sum(_divergence("one.p", "other.p")).alias("value"))
+    names = groups.select("g", "lang", "source")
+    items = groups.select(F.col("g").alias("o"), F.col("source").alias("item"))
+    pairs = met.join(names, "g").join(items, "o").select("lang", "source", "item", "value")
     bare = groups.filter("terms = 0")
     pairs = pairs.unionByName(
         bare.select("lang", "source").join(bare.select("lang", F.col("source").alias("item")), "lang").filter("source != item").withColumn("value", F.lit(0).cast("long"))
     )
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", "value", F.row_number().over(order).alias("rank"))
-    terms = dense.filter("n > 0 and p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), _divergence("p", "q").alias("value"))
+    terms = used.join(groups, ["lang", "source"]).select(
+        "lang", "source", F.col("term").alias("item"), _probability("n", "total", "terms").alias("p"), _probability("all_n", "lang_total", "terms").alias("q")
+    )
+    terms = terms.filter("p > q").select("lang", "source", F.lit("term").alias("part"), "item", _divergence("p", "q").alias("value"))
     terms = terms.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
     return pairs.unionByName(terms)
 
