@@ -1,7 +1,7 @@
 """HTML text to interval-coded element rows, with tolerant recovery from errors.
 
-``walk`` passes over the UTF-8 bytes once and reports the tags to a sink: ``parse_html`` collects all elements, and
-``twigline.matcher`` evaluates queries on the way.  Elements come in the order of their start tags; an element's subtree
+``Walk`` passes over the UTF-8 bytes once, at once or part by part, and reports the tags to a sink: ``parse_html``
+collects all elements, and ``twigline.matcher`` evaluates queries on the way.  Elements come in the order of their start tags; an element's subtree
 is the run of rows from itself to ``last_id``.  Offsets count bytes.  Recursion-free, and linear in the tags however
 deep they nest.
 """
@@ -115,22 +115,59 @@ class Sink:
         raise NotImplementedError
 
 
-def walk(data: bytes, sink: Sink) -> bool:
-    """Report a document's elements in the order of their tags; whether the sink ended the walk.
+class Walk:
+    """A pass over a document that may come in parts, reporting its elements in the order of their tags.
 
-    The open elements are also kept by name, so that no tag has to search them.
+    The open elements are also kept by name, so that no tag has to search them.  Between parts the walk keeps what is
+    open and the bytes it has not read for good: markup that more bytes could change, and text up to the next markup.
     """
-    stack: list[tuple[str, int]] = []  # lower-case name, row
-    places: dict[str, list[int]] = {}  # levels of the open elements of each name
-    known: dict[bytes, tuple[str, str]] = {}  # spellings of names met
-    texts = sink.text
-    opened, closed, search = sink.open, sink.close, _MARKUP.search
-    size = 0  # bytes of text so far, with one space after each run
-    rows = 0
-    n, at = len(data), 0
-
-    def find(wanted: tuple[str, ...], scope: str) -> int:
+
+    def __init__(self, sink: Sink) -> None:
+        self.sink = sink
+        self.ended = False  # by the sink, or at the document's end
+        self.size = 0  # bytes of text so far, with one space after each run
+        self._stack: list[tuple[str, int]] = []  # lower-case name, row
+        self._places: dict[str, list[int]] = {}  # levels of the open elements of each name
+        self._known: dict[bytes, tuple[str, str]] = {}  # spellings of names met
+        self._rows = 0
+        self._raw = False  # inside a script
+        self._held = bytearray()
+        self._at = 0  # where in the held bytes the walk is
+        self._scanned = 0  # there is no markup before it
+        self._enough = 0  # held bytes that markup without an end is looked at again with
+        self._before = 0  # bytes let go of
+
+    def feed(self, part: bytes, keep: int | None = None) -> bool:
+        """Walk on with a part; whether the walk has ended. Bytes from offset ``keep`` of the document on are held."""
+        if self.ended:
+            return True
+        gone = min(self._at, self._at if keep is None else max(0, keep - self._before))
+        del self._held[:gone]
+        self._at, self._scanned, self._enough = self._at - gone, max(0, self._scanned - gone), self._enough - gone
+        self._before += gone
+        self._held += part
+        if len(self._held) >= self._enough:
+            self._at = self._run(self._held, self._at, False)
+        return self.ended
+
+    def finish(self) -> None:
+        """The document has no more parts."""
+        if not self.ended:
+            self._run(self._held, self._at, True)
+            self.ended = True
+
+    def whole(self, data: bytes) -> bool:
+        """Walk over a document at hand; whether the sink ended the walk."""
+        self._run(data, 0, True)
+        return self.ended
+
+    def held(self, a: int, b: int) -> bytes:
+        """Bytes of the document that are still held."""
+        return bytes(self._held[a - self._before : b - self._before])
+
+    def _find(self, wanted: tuple[str, ...], scope: str) -> int:
         """Level of the innermost open element with one of these names in scope, or -1."""
+        places, stack = self._places, self._stack
         level = -1
         for name in wanted:
             open_ = places.get(name)
@@ -149,90 +186,117 @@ def walk(data: bytes, sink: Sink) -> bool:
                 return -1
         return level
 
-    def close(level: int, end: int, reason: str) -> bool:
+    def _close(self, level: int, end: int, reason: str) -> bool:
         """Close the open elements from ``level`` on; the outermost for ``reason``, those inside it implicitly."""
+        stack, places, closed = self._stack, self._places, self.sink.close
         while len(stack) > level:
             name, row = stack.pop()
             places[name].pop()
             why = "mismatched" if reason == "end_tag" and len(stack) > level else reason
-            if closed(row, len(stack) + 1, rows - 1, end, size, why):
+            if closed(row, len(stack) + 1, self._rows - 1, end, self.size, why):
+                self.ended = True
                 return True
         return False
 
-    def add_text(a: int, b: int) -> None:
-        nonlocal size
-        run = data[a:b].strip()
+    def _text(self, run: bytes) -> None:
+        run = bytes(run.strip())
         if run and (run[0] >= 128 or run[-1] >= 128):
             run = run.decode("utf-8", "replace").strip().encode("utf-8", "replace")
         if run:
-            texts.append(run)
-            size += len(run) + 1
-
-    while at < n:
-        m = search(data, at)
-        if not m:
-            if texts is not None:
-                add_text(at, n)
-            break
-        start = m.start()
-        if texts is not None and start > at:
-            add_text(at, start)
-        at = m.end()
-        kind = m.lastindex
-        if kind == _END:
-            raw = m[_END]
+            self.sink.text.append(run)
+            self.size += len(run) + 1
+
+    def _run(self, data: bytes, at: int, final: bool) -> int:
+        """Walk from ``at`` as far as the bytes tell for good (``final``: to the end); where that is."""
+        stack, places, known, before = self._stack, self._places, self._known, self._before
+        texts, opened, search = self.sink.text is not None, self.sink.open, _MARKUP.search
+        find, close, add_text = self._find, self._close, self._text
+        n, scanned = len(data), self._scanned
+        while at < n:
+            if self._raw:
+                stop = _SCRIPT_END.search(data, max(at, scanned))
+                if stop is None and not final:
+                    self._scanned = max(at, n - 7)
+                    return at
+                to = stop.start() if stop else n
+                if texts:
+                    add_text(data[at:to])
+                at, scanned, self._raw = to, 0, False
+                continue
+            m = search(data, max(at, scanned))
+            scanned = 0
+            if not m:
+                if not final:
+                    self._scanned = n - 1 if data[n - 1] == 60 else n
+                    return at
+                if texts:
+                    add_text(data[at:n])
+                break
+            start, kind = m.start(), m.lastindex
+            if not final and kind != _ATTRS and (kind == _ATTRS2 or data[m.end() - 1] != 62 or kind == _COMMENT and m.end(_COMMENT) == m.end()):
+                self._scanned, self._enough = start, 2 * n - start
+                return at
+            if texts and start > at:
+                add_text(data[at:start])
+            at = m.end()
+            if kind == _END:
+                raw = m[_END]
+                names = known.get(raw)
+                if names is None:
+                    low = raw.decode("utf-8", "replace").strip().lower()
+                    known[raw] = names = (low, low)
+                low = names[1]
+                if stack and stack[-1][0] == low:
+                    level = len(stack) - 1
+                elif places.get(low):
+                    level = find((low,), SCOPES.get(low, "default"))
+                else:
+                    continue
+                if level >= 0 and close(level, before + start, "end_tag"):
+                    return at
+                continue
+            if kind == _ATTRS or kind == _ATTRS2:
+                raw, attributes = m.group(kind - 1, kind)
+            else:
+                continue
             names = known.get(raw)
             if names is None:
-                low = raw.decode("utf-8", "replace").strip().lower()
-                known[raw] = names = (low, low)
-            low = names[1]
-            if stack and stack[-1][0] == low:
-                level = len(stack) - 1
-            elif places.get(low):
-                level = find((low,), SCOPES.get(low, "default"))
-            else:
+                name = raw.decode("utf-8", "replace")
+                known[raw] = names = (name, name.lower())
+            name, low = names
+            if low in CLOSES_P and places.get("p"):
+                level = find(("p",), "default")
+                if level >= 0 and close(level, before + start, "implied"):
+                    return at
+            if low in IMPLIED:
+                for wanted in IMPLIED[low]:
+                    level = find(wanted, SCOPES[low])
+                    if level >= 0 and close(level, before + start, "implied"):
+                        return at
+            void = low in VOID
+            row = self._rows
+            if opened(row, name, attributes, stack[-1][1] if stack else -1, len(stack) + 1, before + start, None if void else before + at, self.size):
+                self.ended = True
+                return at
+            self._rows = row + 1
+            if void:
                 continue
-            if level >= 0 and close(level, start, "end_tag"):
-                return True
-            continue
-        if kind == _ATTRS or kind == _ATTRS2:
-            raw, attributes = m.group(kind - 1, kind)
-        else:
-            continue
-        names = known.get(raw)
-        if names is None:
-            name = raw.decode("utf-8", "replace")
-            known[raw] = names = (name, name.lower())
-        name, low = names
-        if low in CLOSES_P and places.get("p"):
-            level = find(("p",), "default")
-            if level >= 0 and close(level, start, "implied"):
-                return True
-        if low in IMPLIED:
-            for wanted in IMPLIED[low]:
-                level = find(wanted, SCOPES[low])
-                if level >= 0 and close(level, start, "implied"):
-                    return True
-        void = low in VOID
-        depth = len(stack) + 1
-        if opened(rows, name, attributes, stack[-1][1] if stack else -1, depth, start, None if void else at, size):
-            return True
-        rows += 1
-        if void:
-            continue
-        stack.append((low, rows - 1))
-        open_ = places.get(low)
-        if open_ is None:
-            places[low] = [depth - 1]
-        else:
-            open_.append(depth - 1)
-        if low == "script":
-            stop = _SCRIPT_END.search(data, at)
-            to = stop.start() if stop else n
-            if texts is not None:
-                add_text(at, to)
-            at = to
-    return close(0, n, "eof")
+            open_ = places.get(low)
+            if open_ is None:
+                places[low] = [len(stack)]
+            else:
+                open_.append(len(stack))
+            stack.append((low, row))
+            self._raw = low == "script"
+        self._scanned = 0
+        if final:
+            close(0, before + n, "eof")
+        return n
+
+
+def walk(data: bytes, sink: Sink) -> bool:
+    """Report a document's elements in the order of their tags; whether the sink ended the walk."""
+    return Walk(sink).whole(data)
 
 
 class _DomSink(Sink):

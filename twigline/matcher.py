@@ -424,7 +424,7 @@ def _label(plan: _Plan) -> str:
     return f"{plan.query}.{plan.number}"
 
 
-def _holding(matches: list[Match]) -> list[Match]:
+def holding(matches: list[Match]) -> list[Match]:
     """Matches that meet their conditions, inside matches that do; of a ``first`` section the first of them."""
     kept: set[tuple] = set()
     taken: set[tuple] = set()
@@ -445,7 +445,7 @@ def _holding(matches: list[Match]) -> list[Match]:
 def finish(sink: Matcher, data: bytes, program: Program) -> list[Match]:
     """The matches of a walk that is over, with their contents."""
     text = b" ".join(sink.text) if sink.text else b""
-    matches = _holding(sink.matches) if program.conditions else sink.matches
+    matches = holding(sink.matches) if program.conditions else sink.matches
     for m in matches:
         if m.inner_start is None:
             continue

@@ -26,7 +26,8 @@ _PAIR = pa.struct([("key", pa.string()), ("value", pa.string())])
 _ARROW = {"int": pa.int32(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
 
 
-def _match_arrays(found: list[Match], selectors: list[list[str]]) -> list[pa.Array]:
+def match_arrays(found: list[Match], selectors: list[list[str]]) -> list[pa.Array]:
+    """The columns of matches; ``selectors`` by query and section."""
     plans = [m.plan for m in found]
     pairs = [p for m in found for p in m.attributes]
     ends = [0]
@@ -107,7 +108,7 @@ def extract(
                 held += sum(len(m.inner_html or "") + len(m.text_content or "") for m in some)
                 if found and (len(found) > 20_000 or held > 8_000_000 or i == batch.num_rows - 1):
                     kept_rows = own.take(pa.array(rows)).columns if kept else []
-                    yield pa.RecordBatch.from_arrays([*kept_rows, *_match_arrays(found, selectors)], names)
+                    yield pa.RecordBatch.from_arrays([*kept_rows, *match_arrays(found, selectors)], names)
                     rows, found, held = [], [], 0
 
     return df.select(*kept, html_col).mapInArrow(find, schema)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from twigline.functions import attribute, attribute_map, has_attribute, match_json
 from twigline.operators.extract import elements, except_matches, extract, intersect_matches, nested, select_matches, with_ordinal
+from twigline.operators.parts import extract_parts
 from twigline.operators.parse import html_events, html_nodes, register_sql, spread
 from twigline.plans.literals import EVENTS, LITERALS
 from twigline.query import Query, Save, query
@@ -426,3 +427,13 @@ def many_selectors(df: DataFrame) -> DataFrame:
     """400 queries in one pass."""
     found = extract(df, [Query.all(f'nav a[href="/{p}"]') for p in _PAIRS])
     return found.groupBy("selector").agg(F.count("*").alias("n"))
+
+
+@register("resumable_parts", f"SELECT page_id, href, {TEXT} AS text FROM ({LINKS})")
+def resumable_parts(df: DataFrame) -> DataFrame:
+    """Pages cut every 100 bytes, as a log or a crawl may deliver them."""
+    cut = df.select("page_id", F.encode("html", "UTF-8").alias("raw"))
+    cut = cut.select("page_id", "raw", F.explode(F.expr("sequence(0, octet_length(raw) div 100)")).alias("seq"))
+    cut = cut.select("page_id", "seq", F.substring("raw", F.col("seq") * 100 + 1, F.lit(100)).alias("part"))
+    found = extract_parts(cut, Query.all("a", Save.only_text_content()), ["page_id"], ["seq"])
+    return found.select("page_id", attribute("href").alias("href"), F.col("text_content").alias("text"))
