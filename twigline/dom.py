@@ -126,6 +126,7 @@ class Walk:
         self.sink = sink
         self.ended = False  # by the sink, or at the document's end
         self.size = 0  # bytes of text so far, with one space after each run
+        self.read = 0  # bytes of a document at hand that were walked over
         self._stack: list[tuple[str, int]] = []  # lower-case name, row
         self._places: dict[str, list[int]] = {}  # levels of the open elements of each name
         self._known: dict[bytes, tuple[str, str]] = {}  # spellings of names met
@@ -158,7 +159,7 @@ class Walk:
 
     def whole(self, data: bytes) -> bool:
         """Walk over a document at hand; whether the sink ended the walk."""
-        self._run(data, 0, True)
+        self.read = self._run(data, 0, True)
         return self.ended
 
     def held(self, a: int, b: int) -> bytes:

@@ -56,7 +56,8 @@ def match_arrays(found: list[Match], selectors: list[list[str]]) -> list[pa.Arra
     ]
 
 
-def _kept(df: DataFrame, html_col: str, keep: list[str] | None, made: Iterable[str]) -> list[str]:
+def kept_columns(df: DataFrame, html_col: str, keep: list[str] | None, made: Iterable[str]) -> list[str]:
+    """The columns to keep (default: all but the html); none may be named as one that is made."""
     kept = [c for c in df.columns if c != html_col] if keep is None else [c for c in keep if c != html_col]
     clash = sorted(set(kept) & set(made))
     if clash:
@@ -82,7 +83,7 @@ def extract(
     matches each.
     """
     many = as_queries(queries)
-    kept = _kept(df, html_col, keep, MATCH_COLUMNS)
+    kept = kept_columns(df, html_col, keep, MATCH_COLUMNS)
     if plan == "joins":
         return _extract_joined(df, many, html_col, kept)
     if plan != "local":
@@ -183,7 +184,7 @@ def nested(df: DataFrame, query: Query | QueryBuilder, html_col: str = "html", k
     Child fields are named ``children_0``, ``children_1``, ... in the order of the child selectors.
     """
     (q,) = as_queries(query)
-    kept = _kept(df, html_col, keep, [into])
+    kept = kept_columns(df, html_col, keep, [into])
     schema = df.select(*kept).schema.add(into, ArrayType(StructType.fromDDL(f"x {_nested_type(q.root)}")[0].dataType))
     kind = pa.list_(_nested_arrow(q.root))
     places = {}  # section number: parent's number and place among its children

@@ -5,15 +5,20 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twigline.functions import attribute, attribute_map, has_attribute, match_json
 from twigline.operators.extract import elements, except_matches, extract, intersect_matches, nested, select_matches, with_ordinal
+from twigline.operators.metrics import extract_observed
 from twigline.operators.parts import extract_parts
 from twigline.operators.parse import html_events, html_nodes, register_sql, spread
 from twigline.plans.literals import EVENTS, LITERALS
+from twigline.operators.tables import register_select
 from twigline.query import Query, Save, query
+from twigline.scratch import shared_path
+from twigline.sources.records import register_records
+from twigline.streaming.changes import changed_matches, run_available, use_rocksdb
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -437,3 +442,86 @@ def resumable_parts(df: DataFrame) -> DataFrame:
     cut = cut.select("page_id", "seq", F.substring("raw", F.col("seq") * 100 + 1, F.lit(100)).alias("part"))
     found = extract_parts(cut, Query.all("a", Save.only_text_content()), ["page_id"], ["seq"])
     return found.select("page_id", attribute("href").alias("href"), F.col("text_content").alias("text"))
+
+
+def _sql_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register_select(spark)
+    pages(spark, sf_dir).createOrReplaceTempView("_twigline_pages")
+    return spark.sql(
+        "SELECT page_id, attributes[0].value AS href, text_content AS text "
+        "FROM html_select(TABLE(SELECT page_id, html FROM _twigline_pages), 'nav a[href]', 'text_content')"
+    )
+
+
+QUERIES["sql_select"] = _sql_select
+ORACLE_SQL["sql_select"] = f"SELECT page_id, href, {TEXT} AS text FROM ({LINKS})"
+
+
+def _page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as records and read back by splits smaller than the files, with a filter that passes over blocks."""
+    register_records(spark)
+    path = shared_path(spark, "records")
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    rows.sortWithinPartitions("page_id").write.format("html_records").option("block_bytes", 64_000).mode("append").save(path)
+    back = spark.read.format("html_records").option("split_bytes", 50_000).load(path).filter("page_id >= 20")
+    return _links(back.select("page_id", "html"), "a")
+
+
+QUERIES["page_records"] = _page_records
+ORACLE_SQL["page_records"] = f"SELECT page_id, href, {TEXT} AS text FROM ({LINKS}) WHERE page_id >= 20"
+
+
+def _stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages in two versions, the second with a link more and one less; the stream is restarted between."""
+    use_rocksdb(spark)
+    folder = shared_path(spark, "changes")
+    first = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.lit("2030-01-01").cast("timestamp").alias("crawled"), "html")
+    less = F.regexp_replace("html", '<li><a href="/the">[^<]*</a></li>', "")
+    more = F.regexp_replace(less, "</ul></nav>", '<li><a href="/new">new</a></li></ul></nav>')
+    second = first.filter("page_id % 2 = 0").select("page_id", F.lit("2030-01-08").cast("timestamp").alias("crawled"), more.alias("html"))
+    for rows in (first, second):
+        rows.write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(first.schema).parquet(f"{folder}/in")
+        run_available(changed_matches(stream, Query.all("nav a", Save.only_text_content())), f"{folder}/out", f"{folder}/state")
+    out = spark.read.parquet(f"{folder}/out")
+    day = F.date_format("crawled", "yyyy-MM-dd").alias("day")
+    return out.select("page_id", day, "change", F.get_json_object("attributes", "$[0][1]").alias("href"), F.col("text_content").alias("text"), F.col("times").cast("long").alias("times"))
+
+
+QUERIES["stream_changes"] = _stream_changes
+ORACLE_SQL["stream_changes"] = (
+    f"WITH l AS (SELECT page_id, href, {TEXT} AS text, count(*) AS n FROM ({LINKS}) GROUP BY ALL) "
+    "SELECT page_id, '2030-01-01' AS day, 'added' AS change, href, text, n AS times FROM l "
+    "UNION ALL SELECT page_id, '2030-01-08', 'added', '/new', 'new', 1 FROM pages WHERE page_id % 2 = 0 "
+    "UNION ALL SELECT page_id, '2030-01-08', 'removed', href, text, n FROM l WHERE page_id % 2 = 0 AND href = '/the'"
+)
+
+
+def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What two extractions took: one of all links and items, one that ends at the first item."""
+    rows = []
+    for name, queries, wanted in (
+        ("all", [Query.all("a"), Query.all("nav li")], ["documents", "bytes", "bytes_read", "early_ends", "eof", "matches_0", "matches_1"]),
+        ("first", [Query.first("li")], ["documents", "bytes", "early_ends", "matches_0"]),
+    ):
+        seen = Observation()
+        extract_observed(pages(spark, sf_dir), queries, seen).write.format("noop").mode("overwrite").save()
+        rows += [(name, k, seen.get[k]) for k in wanted]
+    return spark.createDataFrame(rows, "name string, figure string, value long")
+
+
+QUERIES["observed_metrics"] = _observed
+ORACLE_SQL["observed_metrics"] = (
+    "WITH p AS (SELECT count(*) AS documents, sum(strlen(html)) AS bytes, 2 * count(*) FILTER (NOT contains(html, '</body>')) AS eof, "
+    "count(*) FILTER (contains(html, '<li>')) AS li, sum(len(regexp_extract_all(html, '<li>'))) AS n FROM pages) "
+    "SELECT name, figure, CAST(value AS BIGINT) AS value FROM ("
+    + " UNION ALL ".join(
+        f"SELECT '{name}' AS name, '{figure}' AS figure, {value} AS value FROM p"
+        for name, figures in (
+            ("all", {"documents": "documents", "bytes": "bytes", "bytes_read": "bytes", "early_ends": "0", "eof": "eof", "matches_0": "n", "matches_1": "n"}),
+            ("first", {"documents": "documents", "bytes": "bytes", "early_ends": "li", "matches_0": "li"}),
+        )
+        for figure, value in figures.items()
+    )
+    + ")"
+)
