@@ -138,8 +138,8 @@ ORACLE_SQL = r"""
 WITH turns AS (
   SELECT conv_id, role, text,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS n,
-         '<|turn ' || regexp_replace(coalesce(role, 'unknown'), '<(\*)\|', '<\|', 'g') || '|>' || chr(10) AS head,
-         regexp_replace(coalesce(text, ''), '<(\*)\|', '<\|', 'g') || '<|end|>' || chr(10) AS body
+         '<|turn ' || regexp_replace(coalesce(role, 'unknown'), '<(\\*)\|', '<\\\1|', 'g') || '|>' || chr(10) AS head,
+         regexp_replace(coalesce(text, ''), '<(\\*)\|', '<\\\1|', 'g') || '<|end|>' || chr(10) AS body
   FROM conversations WHERE conv_id IS NOT NULL
 ), parts AS (
   SELECT conv_id, role, text, CAST('0x' || substr(md5(CAST(conv_id AS VARCHAR)), 1, 15) AS BIGINT) % 4096 AS b
