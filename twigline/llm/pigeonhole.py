@@ -20,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, LongType, StructType
+from pyspark.sql.types import BooleanType, FloatType, LongType, StructType
 
 from twigline.llm.ann import usable
 from twigline.llm.common import staged, table
@@ -307,7 +307,10 @@ def near_duplicates(
     """
     spark = vectors.sparkSession
     ids = vectors.schema[id_col].dataType
-    rows = vectors.select(F.col(id_col).alias("i"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v")).distinct()
+    # single precision stays what it is until it is compared: half the bytes to shuffle
+    element = getattr(vectors.schema[vector_col].dataType, "elementType", None)
+    kind = "array<float>" if isinstance(element, FloatType) else "array<double>"
+    rows = vectors.select(F.col(id_col).alias("i"), F.col(label_col).alias("label"), F.col(vector_col).cast(kind).alias("v")).distinct()
     takes_part = F.col("label").isNotNull() & usable("v")
     group = ["label", "size"]
     classes = rows.filter(takes_part).groupBy("label", "v").agg(F.count("*").alias("m"), F.min("i").alias("least"))
