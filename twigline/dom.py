@@ -56,6 +56,7 @@ _ATTRIBUTE = re.compile(
 class Dom:
     """Columns of a document's elements, and its text."""
 
+    node_id: list[int] = field(default_factory=list)
     parent_id: list[int] = field(default_factory=list)
     prev_id: list[int] = field(default_factory=list)  # the sibling before, or -2
     last_id: list[int] = field(default_factory=list)
@@ -301,24 +302,33 @@ def walk(data: bytes, sink: Sink) -> bool:
 
 
 class _DomSink(Sink):
-    def __init__(self, dom: Dom) -> None:
-        self.dom = dom
+    """Collects the elements with one of ``names`` (None: all)."""
+
+    def __init__(self, dom: Dom, names: frozenset[str] | None = None) -> None:
+        self.dom, self.names = dom, names
         self.text = []
         self.latest: dict[int, int] = {}  # the last child so far
+        self.place: dict[int, int] = {}  # of open elements, in the columns
 
     def open(self, row: int, name: str, attributes: bytes | None, parent: int, depth: int, start: int, inner: int | None, size: int) -> bool:
         dom = self.dom
+        before = self.latest.get(parent, -2)
+        self.latest[parent] = row
+        if self.names is not None and name not in self.names:
+            return False
+        if inner is not None:
+            self.place[row] = len(dom.node_id)
         if attributes and not attributes.isspace():
             ident, cls, rest = parse_attributes(attributes)
         else:
             ident, cls, rest = None, None, []
+        dom.node_id.append(row)
         dom.name.append(name)
         dom.id.append(ident)
         dom.class_.append(cls)
         dom.attributes.append(rest)
         dom.parent_id.append(parent)
-        dom.prev_id.append(self.latest.get(parent, -2))
-        self.latest[parent] = row
+        dom.prev_id.append(before)
         dom.depth.append(depth)
         dom.last_id.append(row)
         dom.inner_start.append(inner)
@@ -331,16 +341,19 @@ class _DomSink(Sink):
         return False
 
     def close(self, row: int, depth: int, last: int, end: int, size: int, reason: str) -> bool:
+        at = self.place.pop(row, None)
+        if at is None:
+            return False
         dom = self.dom
-        dom.last_id[row] = last
-        dom.inner_end[row] = end
-        if size > dom.text_start[row]:
-            dom.text_end[row] = size - 1
+        dom.last_id[at] = last
+        dom.inner_end[at] = end
+        if size > dom.text_start[at]:
+            dom.text_end[at] = size - 1
         else:
-            dom.text_start[row] = None
-        dom.close_reason[row] = reason
+            dom.text_start[at] = None
+        dom.close_reason[at] = reason
         if dom.events is not None:
-            dom.events.append(("CloseTag" if reason == "end_tag" else "ImpliedClose", dom.name[row], depth, end, reason))
+            dom.events.append(("CloseTag" if reason == "end_tag" else "ImpliedClose", dom.name[at], depth, end, reason))
         return False
 
 
@@ -348,10 +361,10 @@ def as_bytes(html: str | bytes | None) -> bytes:
     return html if isinstance(html, bytes) else (html or "").encode("utf-8", "surrogatepass")
 
 
-def parse_html(html: str | bytes | None, trace: bool = False) -> Dom:
-    """All elements of a document. None gives none."""
+def parse_html(html: str | bytes | None, trace: bool = False, names: frozenset[str] | None = None) -> Dom:
+    """All elements of a document, or those with one of ``names``. None gives none."""
     dom = Dom(events=[] if trace else None)
-    sink = _DomSink(dom)
+    sink = _DomSink(dom, names)
     walk(as_bytes(html), sink)
     dom.text = b" ".join(sink.text)
     return dom

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
@@ -14,6 +13,7 @@ from twigline.matcher import Match, compile_queries, find_matches
 from twigline.operators.parse import RAW, TEXT, element_rows
 from twigline.plans import joins
 from twigline.query import Query, QueryBuilder, Section, as_queries
+from twigline.scratch import shared_path
 
 #: Columns of a match.
 MATCH_FIELDS = {
@@ -132,22 +132,22 @@ _ELEMENT = ["depth", "name", "id", "class", "attributes", "inner_start", "inner_
 def _extract_joined(df: DataFrame, many: list[Query], html_col: str, kept: list[str]) -> DataFrame:
     """The documents are parsed once and numbered; queries are joins of narrow element rows by that number.
 
-    Parsed documents are checkpointed where a checkpoint directory is set, as a cluster needs; else kept on local disks.
+    The parsed documents are a table in the shared folder: numbers stay what they are if an executor is lost, and every
+    step reads the columns it needs.
     """
     numbered = df.select(F.struct(*kept).alias("_keep") if kept else F.struct(F.lit(0).alias("_")).alias("_keep"), F.monotonically_increasing_id().alias("_doc"), html_col)
-    parsed = element_rows(numbered, html_col, "_doc", "_keep")
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None and context.getConf().get("spark.checkpoint.dir", None):
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir"))
-    parsed = parsed.checkpoint() if context.getCheckpointDir() else parsed.persist(StorageLevel.DISK_ONLY)
+    wanted = {RAW: any(s.save.inner_html for q in many for _, _, s in q.sections()), TEXT: any(s.save.text_content for q in many for _, _, s in q.sections())}
+    contents = [c for c, needed in wanted.items() if needed]
+    rows = element_rows(numbered, html_col, "_doc", "_keep", joins.tag_names(many), tuple(contents))
+    path = shared_path(df.sparkSession, "elements")
+    rows.write.parquet(path)
+    parsed = df.sparkSession.read.schema(rows.schema).parquet(path)
     used = ["node_id", "parent_id", "prev_id", "last_id", "name", "id", "class", "classes", "attributes"]
     nodes = parsed.filter("node_id >= 0").select("_doc", *used, F.struct(*_ELEMENT).alias("node"))
     rows = None
     for k, q in enumerate(many):
         part = joins.query_matches(q, nodes, ["_doc"]).withColumn("query_ix", F.lit(k))
         rows = part if rows is None else rows.unionByName(part)
-    wanted = {RAW: any(s.save.inner_html for q in many for _, _, s in q.sections()), TEXT: any(s.save.text_content for q in many for _, _, s in q.sections())}
-    contents = [c for c, needed in wanted.items() if needed]
     if kept or contents:
         rows = rows.join(parsed.filter("node_id = -1").select("_doc", "_keep", *contents), "_doc")
     n, path = F.col("node"), F.col("path")

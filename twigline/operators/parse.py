@@ -38,8 +38,7 @@ def nodes_array(doms: list[Dom]) -> pa.Array:
     attributes = flat("attributes")
     pairs = [p for a in attributes for p in a]
     columns = {
-        "node_id": pa.array([i for d in doms for i in range(len(d))], pa.int32()),
-        **{k: pa.array(flat(k), pa.int32()) for k in ("parent_id", "prev_id", "last_id", "depth")},
+        **{k: pa.array(flat(k), pa.int32()) for k in ("node_id", "parent_id", "prev_id", "last_id", "depth")},
         "name": pa.array(flat("name"), pa.string()),
         "id": pa.array(flat("id"), pa.string()),
         "class": pa.array(flat("class_"), pa.string()),
@@ -101,10 +100,12 @@ def with_dom(df: DataFrame, html_col: str = "html", keep: list[str] | None = Non
     return df.select(*keep, html_col).mapInArrow(parse, schema)
 
 
-def element_rows(df: DataFrame, html_col: str, doc: str, keep: str) -> DataFrame:
-    """A row for every element (``doc`` and the element's fields), and one for every document, with node_id -1, ``doc``,
-    ``keep``, the document's bytes and those of its text.  However many elements a document has, no row holds them all."""
-    schema = StructType([df.schema[doc], *StructType.fromDDL(NODE_DDL)]).add(keep, df.schema[keep].dataType).add(RAW, BinaryType()).add(TEXT, BinaryType())
+def element_rows(df: DataFrame, html_col: str, doc: str, keep: str, tags: frozenset[str] | None = None, contents: tuple[str, ...] = (RAW, TEXT)) -> DataFrame:
+    """A row for every element with one of the names ``tags`` (None: any) (``doc`` and the element's fields), and one for every document, with node_id -1, ``doc``,
+    ``keep``, and the ``contents`` asked for: the document's bytes and those of its text.  However many elements a document has, no row holds them all."""
+    schema = StructType([df.schema[doc], *StructType.fromDDL(NODE_DDL)]).add(keep, df.schema[keep].dataType)
+    for c in contents:
+        schema = schema.add(c, BinaryType())
     names = schema.names
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +116,7 @@ def element_rows(df: DataFrame, html_col: str, doc: str, keep: str) -> DataFrame
                 doms, raws, size, start = [], [], 0, at
                 while at < batch.num_rows and size < 2_000_000:
                     raw = pages[at].as_py() or b""
-                    doms.append(parse_html(raw))
+                    doms.append(parse_html(raw, names=tags))
                     raws.append(raw)
                     size += len(raw) + 1000
                     at += 1
@@ -124,10 +125,11 @@ def element_rows(df: DataFrame, html_col: str, doc: str, keep: str) -> DataFrame
                 owner = pa.array([start + i for i, d in enumerate(doms) for _ in range(len(d))] + list(range(start, at)), pa.int64())
                 ends = [pa.array([-1] * m, pa.int32()), *(pa.nulls(m, f.type) for f in fields[1:])]
                 none = pa.nulls(n, pa.binary())
+                held = {RAW: raws, TEXT: [d.text for d in doms]}
                 columns = [
                     numbers.take(owner), *(pa.concat_arrays(pair) for pair in zip(fields, ends, strict=True)),
                     kept.take(pa.array([None] * n + list(range(start, at)), pa.int64())),
-                    pa.concat_arrays([none, pa.array(raws, pa.binary())]), pa.concat_arrays([none, pa.array([d.text for d in doms], pa.binary())]),
+                    *(pa.concat_arrays([none, pa.array(held[c], pa.binary())]) for c in contents),
                 ]
                 rows = pa.RecordBatch.from_arrays(columns, names)
                 for some in range(0, rows.num_rows, 50_000):

@@ -195,6 +195,19 @@ def _inner(matches: DataFrame) -> DataFrame:
     return matches.withColumn("path", F.concat("path", F.array("node_id")))
 
 
+def tag_names(queries: list[Query]) -> frozenset[str] | None:
+    """Names of the elements that some step of the queries can fit; None if a step takes any name."""
+
+    def steps(section: Section) -> Iterator[Step]:
+        for alternative in section.alternatives:
+            yield from alternative
+        for inner in (*section.children, *(c for _, c in section.conditions)):
+            yield from steps(inner)
+
+    names = {s.compound.name for q in queries for s in steps(q.root)}
+    return None if None in names else frozenset(names)
+
+
 def query_matches(query: Query, nodes: DataFrame, key: list[str]) -> DataFrame:
     """(key, section, path, node) of all matches of a query over an element table.
 

@@ -295,15 +295,15 @@ def _sql_text(value: str | None) -> str:
 
 #: A page's heading and language, and the same in SQL.
 _HEADING, _LANG = r"<h1>\s*([^<]*?)\s*</h1>", '<html lang="([^"]*)"'
-_MADE = {"{t}": F.regexp_extract("html", _HEADING, 1), "{l}": F.regexp_extract("html", _LANG, 1)}
-_MADE_SQL = {"{t}": f"regexp_extract(html, '{_HEADING}', 1)", "{l}": f"regexp_extract(html, '{_LANG}', 1)"}
+_MADE = {"{t}": _HEADING, "{l}": _LANG}
+_MADE_SQL = {mark: f"regexp_extract(html, '{pattern}', 1)" for mark, pattern in _MADE.items()}
 
 
 def _filled(template: str | None) -> Column:
     if template is None:
         return F.lit(None).cast("string")
     pieces = re.split(r"(\{[tl]\})", template)
-    return F.concat(*[_MADE.get(p, F.lit(p)) for p in pieces])
+    return F.concat(*[F.regexp_extract("html", _MADE[p], 1) if p in _MADE else F.lit(p) for p in pieces])
 
 
 def _filled_sql(template: str | None) -> str:
