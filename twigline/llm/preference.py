@@ -92,16 +92,25 @@ def partners(conversations: DataFrame) -> DataFrame:
     opening = F.min(F.struct("turn", "role", "text")).alias("t")
     firsts = conversations.filter(F.col("conv_id").isNotNull()).groupBy("conv_id").agg(opening)
     said = F.md5(F.to_json(F.struct(F.col("t.role").alias("role"), F.col("t.text").alias("text"))))
-    digest = F.conv(F.substring(F.md5(F.col("conv_id").cast("string").cast("binary")), 1, 15), 16, 10).cast("long")
-    firsts = firsts.select("conv_id", said.alias("g"), (digest % PAIR_BUCKETS).alias("b"))
+    return _ring(firsts.select("conv_id", said.alias("g")))
 
-    def paired(rows: DataFrame, *by: str) -> DataFrame:
+
+def _digest() -> Column:
+    """60 bits of a conversation's id."""
+    return F.conv(F.substring(F.md5(F.col("conv_id").cast("string").cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def _ring(rows: DataFrame) -> DataFrame:
+    """(conv_id, partner) from (conv_id, g): as ``partners`` says, for any groups g."""
+    rows = rows.select("conv_id", "g", (_digest() % PAIR_BUCKETS).alias("b"))
+
+    def paired(some: DataFrame, *by: str) -> DataFrame:
         whole = Window.partitionBy(*by)
         line = whole.orderBy("conv_id")
         next_ = F.coalesce(F.lead("conv_id").over(line), F.min("conv_id").over(whole))
-        return rows.withColumns({"partner": next_, "n": F.count("*").over(whole)})
+        return some.withColumns({"partner": next_, "n": F.count("*").over(whole)})
 
-    parts = paired(firsts, "g", "b")
+    parts = paired(rows, "g", "b")
     met = parts.filter("n > 1")
     alone = paired(parts.filter("n = 1").select("conv_id", "g", "b"), "g")
     least = met.groupBy("g").agg(F.min("conv_id").alias("least"))
@@ -110,6 +119,35 @@ def partners(conversations: DataFrame) -> DataFrame:
     return both.unionByName(last)
 
 
+def _collected(conversations: DataFrame) -> DataFrame:
+    """(conv_id, t): the turns of each conversation in the order of turn, role and text."""
+    turn = F.struct("turn", "role", "text")
+    convs = conversations.filter(F.col("conv_id").isNotNull()).groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("t"))
+    return convs.select("conv_id", F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("t"))
+
+
+def answer_pairs(conversations: DataFrame) -> DataFrame:
+    """(conv_id, rejected_id, chosen, rejected): every conversation of a table of turns (conv_id, turn, role, text) as the
+    chosen one; the rejected one is the same up to an answer, and from there on what another conversation says.
+
+    The answer is a turn of the assistant that a hash of the id chooses; the other conversation is the next by id among
+    those whose ids share a part of the hash (see ``partners``), and goes on from its own answer of the same number, in
+    rounds.  Turns are ordered by turn, role and text; repeated turns stay.  A conversation without an answer, or the
+    only one with any, has no rejected turns.  Rows with null ids are no conversation.
+    """
+    answers = F.filter(F.transform("t", lambda t, i: F.when(t["role"] == TRAINED_ROLE, i + 1)), lambda i: i.isNotNull())
+    convs = _collected(conversations).select("conv_id", "t", answers.alias("a"))
+    donors = _ring(convs.filter(F.size("a") > 0).select("conv_id", F.lit(0).alias("g")))
+    other = convs.select(F.col("conv_id").alias("partner"), F.col("t").alias("u"), F.col("a").alias("b"))
+    rows = convs.join(donors, "conv_id", "left").join(other, "partner", "left")
+    nth = (F.shiftright(_digest(), 12) % F.size("a")).cast("int")
+    rows = rows.withColumn("nth", F.when(F.col("partner").isNotNull(), nth))
+    kept = F.slice("t", F.lit(1), F.element_at("a", F.col("nth") + 1) - 1)
+    theirs = F.slice("u", F.element_at("b", F.col("nth") % F.size("b") + 1), F.size("u"))
+    rejected = F.when(F.col("partner").isNotNull(), F.concat(kept, theirs))
+    return rows.select("conv_id", F.col("partner").alias("rejected_id"), F.col("t").alias("chosen"), rejected.alias("rejected"))
+
+
 def paired_conversations(conversations: DataFrame) -> DataFrame:
     """(conv_id, rejected_id, chosen, rejected): every conversation of a table of turns (conv_id, turn, role, text) as the
     chosen one, with its partner (``partners``) as the rejected one.
@@ -117,9 +155,7 @@ def paired_conversations(conversations: DataFrame) -> DataFrame:
     Turns are ordered by turn, role and text; repeated turns stay, and so does everything after the last answer.  A
     conversation whose opening nobody shares has no rejected turns.  Rows with null ids are no conversation.
     """
-    turn = F.struct("turn", "role", "text")
-    convs = conversations.filter(F.col("conv_id").isNotNull()).groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("t"))
-    convs = convs.select("conv_id", F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("t"))
+    convs = _collected(conversations)
     chosen = convs.withColumnsRenamed({"t": "chosen"}).join(partners(conversations), "conv_id")
     rejected = convs.select(F.col("conv_id").alias("partner"), F.col("t").alias("rejected"))
     out = chosen.join(rejected, "partner", "left")
@@ -127,11 +163,11 @@ def paired_conversations(conversations: DataFrame) -> DataFrame:
 
 
 def op6_preference(spark, sf_dir):  # noqa: ANN001, ANN201
-    """Preference records of all conversations."""
+    """Preference records of all conversations; rejected_id is -1 where there is no other to take answers from."""
     from twigline.llm.common import table
 
-    out = format_preferences(paired_conversations(table(spark, sf_dir, "conversations")))
-    return out.withColumn("common_turns", F.col("common_turns").cast("long"))
+    out = format_preferences(answer_pairs(table(spark, sf_dir, "conversations")))
+    return out.withColumns({"common_turns": F.col("common_turns").cast("long"), "rejected_id": F.coalesce("rejected_id", F.lit(-1))})
 
 
 ORACLE_SQL = r"""
@@ -141,29 +177,32 @@ WITH turns AS (
          '<|turn ' || regexp_replace(coalesce(role, 'unknown'), '<(\\*)\|', '<\\\1|', 'g') || '|>' || chr(10) AS head,
          regexp_replace(coalesce(text, ''), '<(\\*)\|', '<\\\1|', 'g') || '<|end|>' || chr(10) AS body
   FROM conversations WHERE conv_id IS NOT NULL
-), parts AS (
-  SELECT conv_id, role, text, CAST('0x' || substr(md5(CAST(conv_id AS VARCHAR)), 1, 15) AS BIGINT) % 4096 AS b
-  FROM turns WHERE n = 1
+), answers AS (
+  SELECT conv_id, list(n ORDER BY n) AS a, CAST('0x' || substr(md5(CAST(conv_id AS VARCHAR)), 1, 15) AS BIGINT) AS digest
+  FROM turns WHERE role = 'assistant' GROUP BY conv_id
 ), dealt AS (
-  SELECT *, count(*) OVER (PARTITION BY role, text, b) AS here,
-         coalesce(lead(conv_id) OVER (PARTITION BY role, text, b ORDER BY conv_id), min(conv_id) OVER (PARTITION BY role, text, b)) AS next
-  FROM parts
+  SELECT *, digest % 4096 AS b, count(*) OVER (PARTITION BY digest % 4096) AS here,
+         coalesce(lead(conv_id) OVER (PARTITION BY digest % 4096 ORDER BY conv_id), min(conv_id) OVER (PARTITION BY digest % 4096)) AS next
+  FROM answers
 ), alone AS (
-  SELECT *, count(*) OVER (PARTITION BY role, text) AS left_over,
-         coalesce(lead(conv_id) OVER (PARTITION BY role, text ORDER BY conv_id), min(conv_id) OVER (PARTITION BY role, text)) AS other
-  FROM dealt WHERE here = 1
+  SELECT *, count(*) OVER () AS left_over, coalesce(lead(conv_id) OVER (ORDER BY conv_id), min(conv_id) OVER ()) AS other FROM dealt WHERE here = 1
 ), pairs AS (
   SELECT conv_id, next AS partner FROM dealt WHERE here > 1
   UNION ALL SELECT conv_id, other FROM alone WHERE left_over > 1
-  UNION ALL SELECT conv_id, (SELECT min(d.conv_id) FROM dealt d WHERE d.here > 1 AND d.role IS NOT DISTINCT FROM a.role AND d.text IS NOT DISTINCT FROM a.text)
-  FROM alone a WHERE left_over = 1
+  UNION ALL SELECT conv_id, (SELECT min(conv_id) FROM dealt WHERE here > 1) FROM alone WHERE left_over = 1
+), made AS (
+  SELECT p.conv_id, p.partner, x.a[1 + (x.digest >> 12) % len(x.a)] - 1 AS cut, y.a[1 + ((x.digest >> 12) % len(x.a)) % len(y.a)] AS start
+  FROM pairs p JOIN answers x ON x.conv_id = p.conv_id JOIN answers y ON y.conv_id = p.partner
+), others AS (
+  SELECT m.conv_id, t.n, t.role, t.text, t.head, t.body FROM made m JOIN turns t ON t.conv_id = m.conv_id AND t.n <= m.cut
+  UNION ALL SELECT m.conv_id, t.n - m.start + m.cut + 1, t.role, t.text, t.head, t.body FROM made m JOIN turns t ON t.conv_id = m.partner AND t.n >= m.start
 ), lengths AS (
   SELECT conv_id, max(n) AS n FROM turns GROUP BY conv_id
 ), split AS (
-  SELECT p.conv_id, p.partner, l.n AS a_n, r.n AS b_n,
-         coalesce((SELECT min(a.n) - 1 FROM turns a LEFT JOIN turns b ON b.conv_id = p.partner AND b.n = a.n
-                   WHERE a.conv_id = p.conv_id AND (b.n IS NULL OR a.role IS DISTINCT FROM b.role OR a.text IS DISTINCT FROM b.text)), l.n) AS common
-  FROM pairs p JOIN lengths l ON l.conv_id = p.conv_id LEFT JOIN lengths r ON r.conv_id = p.partner
+  SELECT l.conv_id, m.partner,
+         coalesce((SELECT min(a.n) - 1 FROM turns a LEFT JOIN others b ON b.conv_id = a.conv_id AND b.n = a.n
+                   WHERE a.conv_id = l.conv_id AND (b.n IS NULL OR a.role IS DISTINCT FROM b.role OR a.text IS DISTINCT FROM b.text)), l.n) AS common
+  FROM lengths l LEFT JOIN made m ON m.conv_id = l.conv_id
 ), chosen AS (
   SELECT s.conv_id, coalesce(string_agg(t.head || t.body, '' ORDER BY t.n) FILTER (t.n <= s.common), '') AS prompt,
          coalesce(string_agg(t.head || t.body, '' ORDER BY t.n) FILTER (t.n > s.common), '') AS chosen_text,
@@ -173,9 +212,9 @@ WITH turns AS (
 ), rejected AS (
   SELECT s.conv_id, string_agg(t.head || t.body, '' ORDER BY t.n) AS rejected_text,
          string_agg(length(t.head) || ':0,' || length(t.body) || CASE WHEN t.role = 'assistant' THEN ':1' ELSE ':0' END, ',' ORDER BY t.n) AS rejected_mask
-  FROM split s JOIN turns t ON t.conv_id = s.partner AND t.n > s.common GROUP BY s.conv_id
+  FROM split s JOIN others t ON t.conv_id = s.conv_id AND t.n > s.common GROUP BY s.conv_id
 )
-SELECT s.conv_id, s.partner AS rejected_id, CAST(common AS BIGINT) AS common_turns, prompt, chosen_text, chosen_mask,
+SELECT s.conv_id, coalesce(s.partner, -1) AS rejected_id, CAST(common AS BIGINT) AS common_turns, prompt, chosen_text, chosen_mask,
        coalesce(rejected_text, '') AS rejected_text, coalesce(rejected_mask, '') AS rejected_mask
 FROM split s JOIN chosen c ON c.conv_id = s.conv_id LEFT JOIN rejected r ON r.conv_id = s.conv_id
 """
