@@ -158,6 +158,17 @@ def test_nested_ordinal_json(spark):
     assert (last["k"], last["m"]) == ("1", "1") and '"id":null' in last["j"]
 
 
+def test_columns_asked_for(spark):
+    df = from_strings(spark, ["<a k=v>x</a><a>y", None]).withColumn("path", F.lit(1))
+    for plan in ("local", "joins"):
+        got = extract(df, Query.all("a", Save.all()), plan=plan, columns=["text_content", "attributes"])
+        assert got.columns == ["doc_id", "path", "text_content", "attributes"]
+        assert sorted((r["text_content"], len(r["attributes"])) for r in got.collect()) == [("x", 1), ("y", 0)]
+        assert extract(df, Query.all("a"), plan=plan, columns=[]).count() == 2
+    with pytest.raises(ValueError, match="nothing"):
+        extract(df, Query.all("a"), columns=["nothing"])
+
+
 def test_errors_on_the_driver(spark):
     df = from_strings(spark, ["<a>"])
     with pytest.raises(ValueError):

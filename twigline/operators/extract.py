@@ -26,34 +26,34 @@ _PAIR = pa.struct([("key", pa.string()), ("value", pa.string())])
 _ARROW = {"int": pa.int32(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
 
 
-def match_arrays(found: list[Match], selectors: list[list[str]]) -> list[pa.Array]:
-    """The columns of matches; ``selectors`` by query and section."""
-    plans = [m.plan for m in found]
-    pairs = [p for m in found for p in m.attributes]
-    ends = [0]
-    for m in found:
-        ends.append(ends[-1] + len(m.attributes))
-    attributes = pa.StructArray.from_arrays(
-        [pa.array([k for k, _ in pairs], pa.string()), pa.array([v for _, v in pairs], pa.string())], ["key", "value"]
-    )
+def match_arrays(found: list[Match], selectors: list[list[str]], columns: Iterable[str] = MATCH_COLUMNS) -> list[pa.Array]:
+    """Columns of matches; ``selectors`` by query and section."""
+
+    def attributes() -> pa.Array:
+        pairs = [p for m in found for p in m.attributes]
+        ends = [0]
+        for m in found:
+            ends.append(ends[-1] + len(m.attributes))
+        structs = pa.StructArray.from_arrays(
+            [pa.array([k for k, _ in pairs], pa.string()), pa.array([v for _, v in pairs], pa.string())], ["key", "value"]
+        )
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs)
+
     values = {
-        "query_ix": [p.query for p in plans],
-        "section_ix": [p.number for p in plans],
-        "selector": [selectors[p.query][p.number] for p in plans],
-        "path": [m.path for m in found],
-        "parent_path": [m.path[:-1] for m in found],
-        "node_id": [m.path[-1] for m in found],
-        "depth": [m.depth for m in found],
-        "name": [m.name for m in found],
-        "id": [m.id for m in found],
-        "class": [m.class_ for m in found],
-        "inner_html": [m.inner_html for m in found],
-        "text_content": [m.text_content for m in found],
+        "query_ix": lambda m: m.plan.query,
+        "section_ix": lambda m: m.plan.number,
+        "selector": lambda m: selectors[m.plan.query][m.plan.number],
+        "path": lambda m: m.path,
+        "parent_path": lambda m: m.path[:-1],
+        "node_id": lambda m: m.path[-1],
+        "depth": lambda m: m.depth,
+        "name": lambda m: m.name,
+        "id": lambda m: m.id,
+        "class": lambda m: m.class_,
+        "inner_html": lambda m: m.inner_html,
+        "text_content": lambda m: m.text_content,
     }
-    return [
-        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), attributes) if c == "attributes" else pa.array(values[c], _ARROW[k])
-        for c, k in MATCH_FIELDS.items()
-    ]
+    return [attributes() if c == "attributes" else pa.array([values[c](m) for m in found], _ARROW[MATCH_FIELDS[c]]) for c in columns]
 
 
 def kept_columns(df: DataFrame, html_col: str, keep: list[str] | None, made: Iterable[str]) -> list[str]:
@@ -71,8 +71,10 @@ def extract(
     html_col: str = "html",
     keep: list[str] | None = None,
     plan: str = "local",
+    columns: Iterable[str] = MATCH_COLUMNS,
 ) -> DataFrame:
-    """One row per match of every selector of every query, with the kept columns (default: all but the html).
+    """One row per match of every selector of every query, with the kept columns (default: all but the html) and the
+    match's ``columns`` (default: all; fewer cost less, as Spark can't prune what Python makes).
 
     ``plan`` "local" evaluates a document's queries while it is parsed, and stops where nothing more can match: no
     shuffle, fit for streams; only matches leave the Python worker.  "joins" joins element rows instead (see
@@ -83,13 +85,17 @@ def extract(
     matches each.
     """
     many = as_queries(queries)
-    kept = kept_columns(df, html_col, keep, MATCH_COLUMNS)
+    columns = list(columns)
+    unknown = sorted(set(columns) - set(MATCH_COLUMNS))
+    if unknown:
+        raise ValueError(f"no columns of a match: {unknown}")
+    kept = kept_columns(df, html_col, keep, columns)
     if plan == "joins":
-        return _extract_joined(df, many, html_col, kept)
+        return _extract_joined(df, many, html_col, kept, columns)
     if plan != "local":
         raise ValueError(f"unknown plan {plan!r}")
     schema = df.select(*kept).schema
-    for f in StructType.fromDDL(", ".join(f"{c} {k}" for c, k in MATCH_FIELDS.items())):
+    for f in StructType.fromDDL(", ".join(f"{c} {MATCH_FIELDS[c]}" for c in columns)) if columns else ():
         schema = schema.add(f)
     names = schema.names
     selectors = [[s.selector for _, _, s in q.sections()] for q in many]
@@ -109,7 +115,7 @@ def extract(
                 held += sum(len(m.inner_html or "") + len(m.text_content or "") for m in some)
                 if found and (len(found) > 20_000 or held > 8_000_000 or i == batch.num_rows - 1):
                     kept_rows = own.take(pa.array(rows)).columns if kept else []
-                    yield pa.RecordBatch.from_arrays([*kept_rows, *match_arrays(found, selectors)], names)
+                    yield pa.RecordBatch.from_arrays([*kept_rows, *match_arrays(found, selectors, columns)], names)
                     rows, found, held = [], [], 0
 
     return df.select(*kept, html_col).mapInArrow(find, schema)
@@ -129,7 +135,7 @@ def _bytes(source: str | Column, start: Column, end: Column) -> Column:
 _ELEMENT = ["depth", "name", "id", "class", "attributes", "inner_start", "inner_end", "text_start", "text_end"]
 
 
-def _extract_joined(df: DataFrame, many: list[Query], html_col: str, kept: list[str]) -> DataFrame:
+def _extract_joined(df: DataFrame, many: list[Query], html_col: str, kept: list[str], columns: list[str]) -> DataFrame:
     """The documents are parsed once and numbered; queries are joins of narrow element rows by that number.
 
     The parsed documents are a table in the shared folder: numbers stay what they are if an executor is lost, and every
@@ -153,14 +159,16 @@ def _extract_joined(df: DataFrame, many: list[Query], html_col: str, kept: list[
     n, path = F.col("node"), F.col("path")
     picked = lambda what: F.array(*[F.array(*[F.lit(what(s)) for _, _, s in q.sections()]) for q in many])[F.col("query_ix")][F.col("section")]
     inner, text = picked(lambda s: s.save.inner_html), picked(lambda s: s.save.text_content)
-    none = F.lit(None).cast("string")
-    return rows.select(
-        *[F.col("_keep")[c].alias(c) for c in kept], "query_ix", F.col("section").alias("section_ix"),
-        picked(lambda s: s.selector).alias("selector"), path.alias("path"), F.slice(path, F.lit(1), F.size(path) - 1).alias("parent_path"),
-        F.element_at("path", -1).alias("node_id"), *[n[f].alias(f) for f in _ELEMENT[:5]],
-        (F.when(inner & n["inner_start"].isNotNull(), _bytes(RAW, n["inner_start"], n["inner_end"])) if wanted[RAW] else none).alias("inner_html"),
-        (F.when(text & n["text_end"].isNotNull() & n["text_start"].isNotNull(), _bytes(TEXT, n["text_start"], n["text_end"])) if wanted[TEXT] else none).alias("text_content"),
-    )
+    cut = {
+        "inner_html": F.when(inner & n["inner_start"].isNotNull(), _bytes(RAW, n["inner_start"], n["inner_end"])) if wanted[RAW] else None,
+        "text_content": F.when(text & n["text_end"].isNotNull() & n["text_start"].isNotNull(), _bytes(TEXT, n["text_start"], n["text_end"])) if wanted[TEXT] else None,
+    }
+    made = {
+        "query_ix": F.col("query_ix"), "section_ix": F.col("section"), "selector": picked(lambda s: s.selector), "path": path,
+        "parent_path": F.slice(path, F.lit(1), F.size(path) - 1), "node_id": F.element_at("path", -1), **{f: n[f] for f in _ELEMENT[:5]},
+        **{c: F.lit(None).cast("string") if x is None else x for c, x in cut.items()},
+    }
+    return rows.select(*[F.col("_keep")[c].alias(c) for c in kept], *[made[c].alias(c) for c in columns])
 
 
 _NESTED = ("node_id", "depth", "name", "id", "class", "attributes", "inner_html", "text_content")
@@ -232,7 +240,7 @@ def except_matches(matches: DataFrame, other: DataFrame, keys: list[str]) -> Dat
     return matches.join(other.select(*keys, "node_id").distinct(), [*keys, "node_id"], "left_anti")
 
 
-def elements(df: DataFrame, selector: str, save=None, html_col: str = "html", keep: list[str] | None = None, first: bool = False) -> DataFrame:  # noqa: ANN001
+def elements(df: DataFrame, selector: str, save=None, html_col: str = "html", keep: list[str] | None = None, first: bool = False, columns: Iterable[str] = MATCH_COLUMNS) -> DataFrame:  # noqa: ANN001
     """Shorthand for one selector."""
     start = Query.first if first else Query.all
-    return extract(df, start(selector, save), html_col, keep)
+    return extract(df, start(selector, save), html_col, keep, columns=columns)

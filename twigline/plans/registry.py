@@ -48,7 +48,7 @@ def register(name: str, sql: str | None = None):  # noqa: ANN201
 
 
 def _links(df: DataFrame, selector: str) -> DataFrame:
-    found = elements(df, selector, Save.only_text_content())
+    found = elements(df, selector, Save.only_text_content(), columns=["attributes", "text_content"])
     return found.select("page_id", attribute("href").alias("href"), F.col("text_content").alias("text"))
 
 
@@ -102,7 +102,7 @@ def join_descendant_p(df: DataFrame) -> DataFrame:
     f"SELECT page_id, {TEXT} AS text FROM (SELECT page_id, regexp_extract(html, '<li><a[^>]*>([^<]*)</a></li>', 1) AS raw FROM pages WHERE contains(html, '<li>'))",
 )
 def first_root(df: DataFrame) -> DataFrame:
-    found = elements(df, "li", Save.only_text_content(), first=True)
+    found = elements(df, "li", Save.only_text_content(), first=True, columns=["text_content"])
     return found.select("page_id", F.col("text_content").alias("text"))
 
 
@@ -163,7 +163,7 @@ def inner_html(df: DataFrame) -> DataFrame:
     "FROM (SELECT page_id, regexp_extract_all(html, '<a href=\"[^\"]*\">([^<]*)</a>', 1) AS xs FROM pages))",
 )
 def text_content(df: DataFrame) -> DataFrame:
-    found = extract(df, [Query.all(s, Save.only_text_content()) for s in ("h1", "title", "nav")])
+    found = extract(df, [Query.all(s, Save.only_text_content()) for s in ("h1", "title", "nav")], columns=["selector", "text_content"])
     return found.select("page_id", "selector", F.col("text_content").alias("text"))
 
 
@@ -199,7 +199,7 @@ def eof_drain(df: DataFrame) -> DataFrame:
     "FROM pages, (VALUES ('a'), ('li'), ('p')) t(s) WHERE regexp_matches(html, '<' || s || '[ >]')",
 )
 def multi_query(df: DataFrame) -> DataFrame:
-    found = extract(df, [Query.all(s) for s in ("a", "li", "p")])
+    found = extract(df, [Query.all(s) for s in ("a", "li", "p")], columns=["selector"])
     return found.groupBy("page_id", "selector").agg(F.count("*").alias("n"))
 
 
@@ -260,7 +260,7 @@ def to_json(df: DataFrame) -> DataFrame:
     "SELECT regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang, CAST(count(*) AS BIGINT) AS pages, CAST(sum(len(regexp_extract_all(html, '<a href='))) AS BIGINT) AS links FROM pages GROUP BY 1",
 )
 def agg_links_by_lang(df: DataFrame) -> DataFrame:
-    found = extract(df, Query.all("html").all("a"))
+    found = extract(df, Query.all("html").all("a"), columns=["section_ix", "attributes"])
     lang = F.first(attribute("lang"), ignorenulls=True).alias("lang")
     per_page = found.groupBy("page_id").agg(lang, F.count_if(F.col("section_ix") == 1).alias("n"))
     return per_page.groupBy("lang").agg(F.count("*").alias("pages"), F.sum("n").alias("links"))
@@ -430,7 +430,7 @@ _PAIRS = [a + b for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrst"]
 )
 def many_selectors(df: DataFrame) -> DataFrame:
     """400 queries in one pass."""
-    found = extract(df, [Query.all(f'nav a[href="/{p}"]') for p in _PAIRS])
+    found = extract(df, [Query.all(f'nav a[href="/{p}"]') for p in _PAIRS], columns=["selector"])
     return found.groupBy("selector").agg(F.count("*").alias("n"))
 
 
