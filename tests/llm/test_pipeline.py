@@ -33,14 +33,19 @@ def test_stages_take_effect(spark, tmp_path):
     assert {r.doc_id for r in got.collect()} <= set(range(120)) | set(range(1000, 1030))
 
 
-def test_mixing_keeps_what_is_not_surely_toxic(spark, tmp_path, monkeypatch):
-    rows = [(i, "t", p, 0.0) for i, p in enumerate([0.0, 0.5, 0.89, 0.9])]
-    rated = spark.createDataFrame(rows, "doc_id long, text string, p_toxic double, rate double")
-    packed = rated.selectExpr("doc_id", "struct(doc_id, text) AS row", "p_toxic", "rate")
-    monkeypatch.setattr(pipeline, "mixing_rates", lambda *a, **k: packed)
-    monkeypatch.setattr(pipeline, "table", lambda *a: None)
-    out = pipeline.mixing(spark, rated.select("doc_id", "text"), "")
-    assert sorted(r.doc_id for r in out.collect()) == [0, 1, 2]
+def test_mixing_keeps_what_is_not_surely_toxic(spark, tmp_path):
+    """Copies of every document: at least one unless it is surely toxic, and few of those that are."""
+    rng = random.Random(11)
+    words = {"good": ["apple", "river", "stone", "cloud"], "low": ["click", "cheap", "deal"], "toxic": ["moron", "trash", "loser"]}
+    kinds = [("good", "good", "low", "toxic")[i % 4] for i in range(400)]
+    text = lambda k: " ".join(rng.choices(words[k] + ["the", "of", "it"], k=60))
+    docs = spark.createDataFrame([(i, text(k), "s") for i, k in enumerate(kinds)], "doc_id long, text string, source string")
+    labels = [(i, int(k != "low"), int(k == "toxic")) for i, k in enumerate(kinds[:200])]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    times = {r.doc_id: r["count"] for r in pipeline.mixing(spark, docs, str(tmp_path)).groupBy("doc_id").count().collect()}
+    assert all(times.get(i, 0) >= 1 for i, k in enumerate(kinds) if k != "toxic")
+    assert 5 <= sum(n for i, n in times.items() if kinds[i] == "toxic") <= 50  # 25 of 100 expected
+    assert 200 <= sum(n for i, n in times.items() if kinds[i] == "good") <= 235  # 210 of 200
 
 
 def test_near_duplicates_keep_one_row_of_every_group(spark):

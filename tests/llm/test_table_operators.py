@@ -324,6 +324,23 @@ def test_nearly_equal_posteriors_do_not_blow_up(spark):
     assert far(report["reached"]) < far(report["present"])
 
 
+def test_least_rates_hold_and_gains_are_met(spark):
+    """With ``thinned`` no document under its posterior falls below 1, and the totals still meet their targets."""
+    docs, labels = labelled(spark)
+    gains, thinned = {"good": 1.05, "low": 1.0, "toxic": 0.25}, {"toxic": 0.9}
+    rates, report = mixing.mix(docs, labels, gains=gains, thinned=thinned)
+    out = rates.toPandas()
+    p = out[[f"p_{d}" for d in mixing.DOMAINS]].to_numpy()
+    mass, least = out.tokens.to_numpy(float), (out.p_toxic < 0.9).to_numpy(float)
+    assert (out.rate >= least).all() and (out.rate[least == 0] < 0.6).any()
+    have, bound = mass @ p, (mass * least) @ p
+    assert np.allclose(report["target"], [1.05 * have[0], have[1], bound[2] + 0.25 * (have[2] - bound[2])], rtol=1e-6)
+    assert report["matched"] and np.allclose((mass * out.rate.to_numpy()) @ p, report["target"], rtol=1e-4)
+    # nothing may be thinned: all rates are at least 1, whatever is missed
+    rates, report = mixing.mix(docs, labels, gains={"toxic": 0.25}, thinned={})
+    assert rates.filter("rate < 1").count() == 0 and report["matched"]
+
+
 def test_labels_of_unknown_documents_teach_nothing(spark):
     docs, labels = labelled(spark, 200)
     odd = labels.unionByName(spark.range(50_000, 50_400).selectExpr("id as doc_id", "0 as quality", "1 as toxic"))

@@ -186,11 +186,21 @@ def _solve(m: list[list[float]], b: list[float]) -> list[float]:
     return [a[i][n] / a[i][i] for i in range(n)]
 
 
-def rate_after(steps: list[list[float]]) -> Column:
+def least_rate(domains: tuple[str, ...], thinned: dict[str, float] | None) -> Column:
+    """The least rate of a cell (p0, p1, ...): 0, or, with ``thinned``, 1 unless every document that the cell can hold
+    has at least the posterior named for one of these domains."""
+    if thinned is None:
+        return F.lit(0.0)
+    # a cell's steps are within one of its documents' posteriors
+    sure = [F.col(f"p{d}") > math.floor(thinned[name] * GRID + 1e-9) for d, name in enumerate(domains) if name in thinned]
+    return F.when(F.greatest(F.lit(False), F.lit(False), *sure), 0.0).otherwise(1.0)
+
+
+def rate_after(steps: list[list[float]], least: Column) -> Column:
     """(rate, before, ahead) of a cell from its mean posteriors e0, e1, ..., after these steps from rate 1.
 
     A step is its momentum and its slope for each domain.  It goes down the slope from ``ahead``, which lies beyond
-    the rate by the momentum's part of its last move, ``rate - before``.
+    the rate by the momentum's part of its last move, ``rate - before``, and no further than to the ``least`` rate.
     """
     start = F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("before"), F.lit(1.0).alias("ahead"))
     if not steps:
@@ -201,13 +211,13 @@ def rate_after(steps: list[list[float]]) -> Column:
     def move(at: Column, step: Column) -> Column:
         ahead = at["rate"] + step[0] * (at["rate"] - at["before"])
         slope = sum((F.col(f"e{d}") * step[d + 1] for d in range(1, len(steps[0]) - 1)), F.col("e0") * step[1])
-        rate = F.greatest(F.lit(0.0), ahead - slope)
+        rate = F.greatest(least, ahead - slope)
         return F.struct(rate.alias("rate"), at["rate"].alias("before"), ahead.alias("ahead"))
 
     return F.aggregate(history, start, move)
 
 
-def _descend(cells: DataFrame, p: list[Column], have: list[float], target: list[float], slope, least: float, steps: int):  # noqa: ANN001, ANN202
+def _descend(cells: DataFrame, p: list[Column], floor: Column, have: list[float], target: list[float], slope, least: float, steps: int):  # noqa: ANN001, ANN202
     """(steps, totals) down to where the totals were nearest to their targets; ``slope`` makes a step of a gap."""
     k = len(p)
     distance = lambda x: sum((a - b) ** 2 for a, b in zip(x, target, strict=True))
@@ -223,7 +233,7 @@ def _descend(cells: DataFrame, p: list[Column], have: list[float], target: list[
         taken.append([momentum, *slope(ahead)])
         at, mass = F.col("at"), F.col("mass")
         turn = F.sum(mass * (at["ahead"] - at["rate"]) * (at["rate"] - at["before"]))
-        row = cells.withColumn("at", rate_after(taken)).agg(*[F.sum(mass * x * at["rate"]) for x in p], turn).first()
+        row = cells.withColumn("at", rate_after(taken, floor)).agg(*[F.sum(mass * x * at["rate"]) for x in p], turn).first()
         before, totals = totals, [x or 0.0 for x in row[:k]]
         nearest = min(nearest, (distance(totals), len(taken), totals))
         still = max(abs(a - b) for a, b in zip(totals, before, strict=True)) <= least / 10
@@ -243,12 +253,15 @@ def fit_rates(
     gains: dict[str, float] | None = None,
     steps: int = STEPS,
     domains: tuple[str, ...] = DOMAINS,
+    thinned: dict[str, float] | None = None,
 ) -> tuple[DataFrame, dict]:
     """(p0, p1, ..., rate) for every cell of posteriors that occurs, and a report.
 
     Targets are either ``weights`` (shares of the present total of tokens) or ``gains`` (factors on each domain's
-    present expected tokens).  Gradients are taken per token.  Each step moves every rate along its posteriors and
-    projects it to zero or above, with momentum (Beck and Teboulle, 2009) that starts anew when a step turns against its
+    present expected tokens).  With ``thinned`` (domain: posterior) only documents surely in one of these domains may be
+    taken less than once; a gain below 1 then is a factor on the tokens of those documents, as no others can give way.
+    Gradients are taken per token.  Each step moves every rate along its posteriors and projects it to its least rate
+    (zero, or one) or above, with momentum (Beck and Teboulle, 2009) that starts anew when a step turns against its
     last move (O'Donoghue and Candes, 2015).
 
     Targets that can be reached are reached in few steps in the metric of the inverse token-weighted second moment of
@@ -272,9 +285,11 @@ def fit_rates(
     if k <= 3:
         cells = staged(cells.coalesce(1), "cells-together")  # at most (GRID + 1)(GRID + 2) / 2 rows
     p = [F.col(f"e{d}") for d in range(k)]
+    floor = least_rate(domains, thinned)
     moments = cells.agg(
         *[F.sum(F.col("mass") * p[i] * p[j]).alias(f"m{i}{j}") for i in range(k) for j in range(i, k)],
         *[F.sum(F.col("mass") * x).alias(f"t{i}") for i, x in enumerate(p)],
+        *[F.sum(F.col("mass") * x * floor).alias(f"f{i}") for i, x in enumerate(p)],
     ).first()
     have = [moments[f"t{i}"] or 0.0 for i in range(k)]
     every = sum(have)
@@ -282,19 +297,21 @@ def fit_rates(
         share = sum(weights.values())
         target = [every * weights.get(d, 0.0) / share for d in domains]
     else:
-        target = [x * (gains or {}).get(d, 1.0) for d, x in zip(domains, have, strict=True)]
+        bound = [moments[f"f{i}"] or 0.0 for i in range(k)]
+        gain = [(gains or {}).get(d, 1.0) for d in domains]
+        target = [x * g if g >= 1 else b + (x - b) * g for x, b, g in zip(have, bound, gain, strict=True)]
     plain = [[moments[f"m{min(i, j)}{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)]
     ridge = DAMPING / k * sum(plain[i][i] for i in range(k)) + 1e-9
     damped = [[plain[i][j] + (ridge if i == j else 0.0) for j in range(k)] for i in range(k)]
     least = TOLERANCE * max(1.0, every)
     off = lambda totals: max(abs(a - b) for a, b in zip(totals, target, strict=True))
-    taken, totals = _descend(cells, p, have, target, lambda gap: _solve(damped, gap), least, steps)
+    taken, totals = _descend(cells, p, floor, have, target, lambda gap: _solve(damped, gap), least, steps)
     if off(totals) > least:
         top = _largest(plain)
-        taken, totals = _descend(cells, p, have, target, lambda gap: [x / top for x in gap], least, 2 * steps)
+        taken, totals = _descend(cells, p, floor, have, target, lambda gap: [x / top for x in gap], least, 2 * steps)
     gap = off(totals) / max(1.0, every)
     report = {"present": have, "target": target, "reached": totals, "steps": len(taken), "gap": gap, "matched": gap <= TOLERANCE}
-    return cells.select(*names, rate_after(taken)["rate"].alias("rate")), report
+    return cells.select(*names, rate_after(taken, floor)["rate"].alias("rate")), report
 
 
 def mix(
@@ -305,20 +322,21 @@ def mix(
     keep: list[str] | None = None,
     domain: Column | None = None,
     domains: tuple[str, ...] = DOMAINS,
+    thinned: dict[str, float] | None = None,
 ) -> tuple[DataFrame, dict]:
     """``keep`` (default doc_id) with tokens, the posteriors p_<domain> and the rate of every document, and the report
     of ``fit_rates``.  Kept columns with a result's name give way.
 
     Null or empty texts have no words: the prior is their posterior, and they weigh nothing.  Labels that are null or of
     unknown documents teach nothing; without labels all posteriors are equal.  A rate depends on the posterior alone, so
-    ties and repeated rows get equal rates.  An empty table gives no rows.  Targets that no nonnegative rates can reach
+    ties and repeated rows get equal rates.  An empty table gives no rows.  Targets that no allowed rates can reach
     are approached in the least-squares sense, and the report says how far they are.
     """
     made = ["tokens", *[f"p_{d}" for d in domains], "rate"]
     keep = [c for c in (["doc_id"] if keep is None else keep) if c not in made]
     model = train_domains(docs, labels, domain=domain, domains=domains)
     members = staged(memberships(docs, model, keep), "memberships")
-    rates, report = fit_rates(members, weights, gains, domains=domains)
+    rates, report = fit_rates(members, weights, gains, domains=domains, thinned=thinned)
     rates = staged(rates, "rates")
     names = [f"p{d}" for d in range(len(domains))]
     small = rates.count() <= BROADCAST_CELLS
