@@ -5,7 +5,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes e
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twigline.llm.common import scratch_path, stable_key, table
@@ -18,8 +18,8 @@ from twigline.llm.simhash import simhash_survivors, text_hash
 MIX_GAINS = {"good": 1.05, "low": 1.0, "toxic": 0.25}
 #: Words that a packing worker remembers, and text it encodes at once: other stages have left theirs in the memory.
 CACHE_WORDS, SLICE_BYTES = 50_000, 1_000_000
-#: A document is taken less than once only if it is toxic with at least this probability.
-TOXIC_FROM = 0.9
+#: Only documents that are toxic with at least this probability may be taken less than once: clean ones stay.
+MIX_THINNED = {"toxic": 0.9}
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,20 +45,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return rows.join(first, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
 
 
-def kept_rate() -> Column:
-    """The fitted rate, but not below 1 unless the document is toxic almost for sure."""
-    return F.when(F.col("p_toxic") >= TOXIC_FROM, F.col("rate")).otherwise(F.greatest(F.lit(1.0), F.col("rate")))
-
-
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its rate says: the whole part, and once more with the rest as probability.
 
-    Documents without words stay once; equal ids share their draw; null ids too; an empty table gives no rows.
+    The rates meet the gains in expectation, or come as near as rates can that thin out surely toxic documents alone.
+    Documents without words weigh nothing and have the rate of the labels' shares; equal ids share their draw; null ids
+    too; an empty table gives no rows.
     """
     rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
-    rates = mixing_rates(rows, table(spark, sf_dir, "labels"), gains=MIX_GAINS, keep=["doc_id", "row"])
+    rates = mixing_rates(rows, table(spark, sf_dir, "labels"), gains=MIX_GAINS, thinned=MIX_THINNED, keep=["doc_id", "row"])
     chance = F.shiftrightunsigned(stable_key("doc_id"), 11) / float(1 << 53)
-    copies = F.floor(kept_rate() + chance).cast("int")
+    copies = F.floor(F.col("rate") + chance).cast("int")
     out = rates.select("row", copies.alias("copies")).filter("copies > 0")
     return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
