@@ -265,6 +265,38 @@ def test_names_and_containers(page, text):
     assert maintext.main_text(page) == text
 
 
+def test_names_do_not_decide_alone_and_dives_cut_articles():
+    story = " ".join(["A sentence of the story."] * 6)
+    links = "".join(f"<li><a href=x>Another story {i}</a></li>" for i in range(5))
+    page = lambda inside: f"<body><article><h1>Head</h1><p>{story}</p>{inside}<p>{story}</p></article></body>"
+    kept = lambda inside: maintext.main_text(page(inside)).split("\n\n")[2:-1]
+    # a block named as a list of links is furniture if it is one, and a story's if it holds text with few links
+    assert kept(f'<section id="related"><p>{story}</p></section>') == [story]
+    assert kept(f'<section id="related"><p>{story} See <a href=x>this</a>.</p></section>') == [story + " See this."]
+    assert kept(f'<section id="related"><ul>{links}</ul></section>') == []
+    assert kept('<div class="share">Share this story</div>') == []
+    assert kept(f'<div class="comments"><p>{story}</p></div>') == []
+    assert kept(f'<div class="ad related"><p>{story}</p></div>') == []
+    # a window of lines that are all links is a menu wherever it is; fewer, or headings, are not
+    assert kept(f"<ul>{links}</ul>") == []
+    assert kept("<p><a href=x>one</a></p><p><a href=x>two</a></p>") == ["one", "two"]
+    assert kept("".join(f"<h2><a href=x>Part {i}</a></h2>" for i in range(4))) == [f"Part {i}" for i in range(4)]
+    assert kept(f'<div class="ad">Buy</div><ul>{links}</ul><form>Mail</form>') == []
+    # a headline in a block named as a head
+    for top in (f'<article><div class="banner"><h1>Head</h1></div><p>{story}</p></article>', f'<div class="banner"><h1>Head</h1></div><p>{story}</p>'):
+        assert maintext.main_text(f"<body>{top}</body>") == f"Head\n\n{story}"
+    assert maintext.main_text(f'<body><div class="banner"><h1>Site</h1></div><article><p>{story}</p></article></body>') == story
+    assert maintext.main_text(f'<body><div class="banner">Site</div><article><p>{story}</p></article></body>') == story
+
+
+def test_link_runs():
+    rng = random.Random(4)
+    for n in range(40):
+        linked = [rng.random() < 0.7 for _ in range(n)]
+        runs = [[j for j in range(n) if all(linked[min(i, j) : max(i, j) + 1])] for i in range(n)]
+        assert maintext.link_runs(np.array(linked, dtype=bool)).tolist() == [a and len(r) >= 3 for a, r in zip(linked, runs, strict=True)]
+
+
 def test_surging_text_decides():
     menu = "".join(f"<div><a href=x>Entry {i}</a></div>" for i in range(5))
     story = f"<h2>Head</h2><p>{'A sentence of the story. ' * 12}</p><p>{'It goes on. ' * 12}</p>"

@@ -7,7 +7,12 @@ ends where it falls back to zero; it surges if the sum reaches ``SURGE`` in it.
 
 The surging text decides: it picks the main block (the innermost that holds over half of it), and text outside that
 block is kept where it surges itself, so short lines cut off from the story go.  ``article`` and ``main`` are hints:
-text in them weighs ``ARTICLE_WEIGHT`` times, and if it outweighs the rest, the main text is what lies in them.
+text in them weighs ``ARTICLE_WEIGHT`` times, and if it outweighs the rest, the main text is what lies in them.  The
+distribution cuts there too: where the lengths fall to zero for a whole window, over lines that are nothing but links,
+those lines are a menu and go; headings stay and end such a run.
+
+Names that usually mean lists of links (``related``, ``share``) don't decide alone: a block so named is furniture unless
+its text surges with few links in it.  One named as a head (``banner``) is none if it holds the page's only ``h1``.
 """
 
 from __future__ import annotations
@@ -26,6 +31,11 @@ WINDOW = 3
 #: Characters outside links in a window that make a surge, or the page's most if no window has so many.
 SURGE = 80
 ARTICLE_WEIGHT = 4
+#: Text in links up to this share of a block's text is a story's; a list of links has more.
+LINK_SHARE = 0.25
+#: How sure a block is to be furniture: not, by what it is or is named, if its text is links, if it is no headline.
+NONE, SURE, IF_LINKS, IF_NO_HEADLINE = 0, 1, 2, 3
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 
 # Element classes of HTML: fixed names of the language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -52,6 +62,11 @@ FURNITURE_WORDS = frozenset(
     "navigation breadcrumb breadcrumbs footer masthead header share sharing social related recommended newsletter "
     "subscribe subscription signup login popup modal overlay widget toolbar pagination pager disclaimer skip".split()
 )
+#: Of these, the words that name lists of links, and those that name heads of pages or of stories.
+LINK_WORDS = frozenset(
+    "menu nav navbar navigation breadcrumb breadcrumbs share sharing social related recommended toolbar pagination pager skip".split()
+)
+HEAD_WORDS = frozenset("banner masthead header".split())
 #: Words that say nothing beside a furniture word; any other word makes a name like ``no-sidebar`` speak of the text.
 NEUTRAL_WORDS = frozenset(
     "area bar block box container inner item items left link links list main outer page panel primary right row secondary "
@@ -69,33 +84,35 @@ _SPACES = re.compile(r"\s+")
 _RAW_END = {name: re.compile(f"</{name}(?=[\\s/>]|\\Z)", re.I) for name in RAW}
 
 
-def names_furniture(value: str) -> bool:
-    """Whether one name in a class or id names page furniture: furniture words, and else only neutral ones or numbers."""
+def named_kind(value: str) -> int:
+    """How sure the names in a class or id make page furniture: furniture words, and else only neutral ones or numbers."""
+    kinds = set()
     for name in value.split():
-        words = [w.lower() for w in _WORD.findall(name)]
-        if any(w in FURNITURE_WORDS for w in words) and all(
-            w in FURNITURE_WORDS or w in NEUTRAL_WORDS or w.isdigit() for w in words
-        ):
-            return True
-    return False
+        words = {w.lower() for w in _WORD.findall(name)}
+        found = words & FURNITURE_WORDS
+        if found and all(w in NEUTRAL_WORDS or w.isdigit() for w in words - found):
+            kinds.add(IF_LINKS if found <= LINK_WORDS else IF_NO_HEADLINE if found <= HEAD_WORDS else SURE)
+    return SURE if SURE in kinds or len(kinds) > 1 else max(kinds, default=NONE)
 
 
-def _is_furniture(name: str, attributes: str, in_article: bool) -> bool:
+def _furniture_kind(name: str, attributes: str, in_article: bool) -> int:
     if name in ("html", "body", "main"):
-        return False
+        return NONE
     if name in FURNITURE and not (name == "header" and in_article):
-        return True
+        return SURE
     if "=" not in attributes and "hidden" not in attributes:
-        return False
+        return NONE
+    kinds = {NONE}
     for key, a, b, c in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), a or b or c
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
+            return SURE
         if key == "role" and value.lower() in FURNITURE_ROLES:
-            return True
-        if key in ("class", "id") and names_furniture(value):
-            return True
-    return False
+            return SURE
+        if key in ("class", "id"):
+            kinds.add(named_kind(value))
+    kinds.discard(NONE)
+    return SURE if len(kinds) > 1 else max(kinds, default=NONE)
 
 
 @dataclass
@@ -107,7 +124,7 @@ class PageLines:
     names: list[str] = field(default_factory=list)  # of blocks, in the order of their start tags
     first: list[int] = field(default_factory=list)
     stop: list[int] = field(default_factory=list)
-    furniture: list[bool] = field(default_factory=list)
+    furniture: list[int] = field(default_factory=list)  # kinds
 
 
 class _Reader:
@@ -140,8 +157,8 @@ class _Reader:
 
     def push(self, name: str, attributes: str) -> None:
         self.end_line()
-        dropped = _is_furniture(name, attributes, self.articles > 0)
-        article = name in ("article", "main") and not dropped
+        kind = _furniture_kind(name, attributes, self.articles > 0)
+        article = name in ("article", "main") and kind == NONE
         out = self.out
         self.open.setdefault(name, []).append(len(self.stack))
         self.stack.append((name, len(out.names), article))
@@ -149,7 +166,7 @@ class _Reader:
         out.names.append(name)
         out.first.append(len(out.texts))
         out.stop.append(-1)
-        out.furniture.append(dropped)
+        out.furniture.append(kind)
 
     def pop_to(self, depth: int) -> None:
         self.end_line()
@@ -213,7 +230,7 @@ class _Reader:
                 self.close_within(("head",), ())
         if name in VOID or attributes.endswith("/") and name not in BLOCK:
             return
-        if name in BLOCK or _is_furniture(name, attributes, self.articles > 0):
+        if name in BLOCK or _furniture_kind(name, attributes, self.articles > 0):
             self.push(name, attributes)
 
 
@@ -247,13 +264,30 @@ def surges(sizes: np.ndarray, surge: int = SURGE, window: int = WINDOW) -> np.nd
     return above & (peaks[run] >= min(surge, sums.max()))
 
 
+def link_runs(linked: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Which lines lie in a run of linked lines as long as the window or longer: between a dive and the next rise."""
+    if not len(linked):
+        return linked
+    change = np.flatnonzero(np.diff(linked.astype(np.int8))) + 1
+    starts, ends = np.concatenate([[0], change]), np.concatenate([change, [len(linked)]])
+    return linked & np.repeat(ends - starts >= window, ends - starts)
+
+
 def kept_lines(lines: PageLines) -> np.ndarray:
     n = len(lines.texts)
     sizes = np.array(lines.sizes, dtype=np.int64)
     first, stop = np.array(lines.first, dtype=np.int64), np.array(lines.stop, dtype=np.int64)
     names = np.array(lines.names)
-    furniture = np.array(lines.furniture, dtype=bool)
+    kinds = np.array(lines.furniture, dtype=np.int64)
     total = np.concatenate([[0], np.cumsum(sizes)])
+    chars = np.concatenate([[0], np.cumsum([len(t) for t in lines.texts])])
+    unlinked, written = total[stop] - total[first], chars[stop] - chars[first]
+    story = (kinds == IF_LINKS) & (unlinked >= SURGE) & (unlinked >= (1 - LINK_SHARE) * written)
+    h1 = np.flatnonzero(names == "h1")
+    headline = np.zeros(len(kinds), dtype=bool)
+    if len(h1) == 1 and unlinked[h1[0]]:
+        headline = (kinds == IF_NO_HEADLINE) & (first <= first[h1[0]]) & (stop >= stop[h1[0]])
+    furniture = (kinds != NONE) & ~story & ~headline
     # furniture that holds the page's heading or main block and most of its text, or all of it, is none (a form round
     # the page, say)
     marks = np.concatenate([[0], np.cumsum(_inside(first[np.isin(names, ["h1", "main"])], stop[np.isin(names, ["h1", "main"])], n) > 0)])
@@ -268,7 +302,12 @@ def kept_lines(lines: PageLines) -> np.ndarray:
     lively = surges(sizes)
     heavy = np.where(lively, sizes, 0)
     if ARTICLE_WEIGHT * heavy[in_article].sum() > heavy[~in_article].sum():
-        return in_article & ~dropped
+        inside = np.flatnonzero(in_article & ~dropped)
+        heading = np.isin(names, HEADINGS)
+        linked = (sizes == 0) & (_inside(first[heading], stop[heading], n) == 0)
+        kept = np.zeros(n, dtype=bool)
+        kept[inside[~link_runs(linked[inside])]] = True
+        return kept
     # the innermost block with over half of the surging text
     total = np.concatenate([[0], np.cumsum(heavy)])
     most = np.flatnonzero(2 * (total[stop] - total[first]) > total[n])
