@@ -61,6 +61,28 @@ def test_neighbours_recall(spark, spread_):
     assert all(len(g) == 20 for g in got.values()) and hits / 20 / len(asked) >= 0.9
 
 
+@pytest.mark.parametrize("kind", ["small", "large", "crowd", "long", "askers"])
+def test_neighbours_recall_on_other_rows(spark, kind):
+    """Components beyond single precision's products, a crowd of near copies, many components, queries unlike the rest."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2400, 256 if kind == "long" else 24))
+    if kind == "crowd":
+        x[::2] = x[0] + 0.001 * x[::2]
+    if kind == "askers":
+        x[::40] = 0.05 * x[::40] - x[1::2].mean(axis=0) - 2
+    x *= {"small": 1e-30, "large": 1e25}.get(kind, 1)
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for r in ann.nearest_neighbours(df, df.filter("vec_id % 40 = 0")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    asked = np.arange(0, 2400, 40)
+    scores = x[asked] @ x.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    best = np.argsort(-scores, axis=1)[:, :20]
+    hits = sum(len(got[q] & set(b)) for q, b in zip(asked.tolist(), best.tolist(), strict=True))
+    assert all(len(g) == 20 for g in got.values()) and hits / 20 / len(asked) >= 0.94
+
+
 def test_blocks_hold_all_lists(monkeypatch):
     monkeypatch.setattr(ann, "BLOCK_ROWS", 50)
     rng = np.random.default_rng(3)

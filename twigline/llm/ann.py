@@ -1,8 +1,10 @@
 """Approximate nearest neighbours by largest inner product (operator 2): inverted file with product quantisation.
 
 Coarse centroids (k-means) cut the vectors into lists; residuals are product-quantised; a query's asymmetric distance
-tables score the codes of the lists it probes, and the best are ranked again by exact inner products.  After Jégou,
-Douze and Schmid, "Product Quantization for Nearest Neighbor Search" (2011).
+tables score the codes of the lists it probes, and those that may be among the best are ranked again by exact inner
+products.  After Jégou, Douze and Schmid, "Product Quantization for Nearest Neighbor Search" (2011).
+
+Inside, vectors are divided by the largest component and queries by their length, as table sums have single precision.
 
 Equal vectors are one class with its smallest ids, so any number of copies costs one candidate.
 """
@@ -23,13 +25,19 @@ from twigline.llm.common import staged
 
 #: Distinct vectors that the centroids and codebooks are fitted on, at most.
 TRAIN_ROWS = 16_384
+#: Distinct vectors, drawn apart from those, that say how far a query has to look: what is fitted lies nearer its centroid.
+FIT_ROWS = 8192
 MAX_LISTS = 4096
 SUBSPACE_WIDTH = 4
 CODES = 256
-#: Candidates ranked exactly, for each query and block of vectors.
+#: Best codes of a block that bound a query's k-th score there; every code that may pass the bound is ranked exactly.
 REFINE = 48
+#: Share of a query's neighbours whose codes are to reach their exact scores with the margin added.
+MARGIN_RECALL = 0.99
+#: Numbers multiplied at a time in exact ranking.
+EXACT_CELLS = 1 << 22
 #: Share of a query's neighbours that are to lie in the lists it probes, and sample queries that fit their number to it.
-PROBE_RECALL, PROBE_QUERIES = 0.96, 512
+PROBE_RECALL, PROBE_QUERIES = 0.97, 512
 #: Vectors of a block (several small lists, or a part of a large one), and queries on it, that are handled together.
 BLOCK_ROWS, BLOCK_QUERIES, CHUNK_QUERIES = 4096, 8192, 512
 
@@ -52,6 +60,9 @@ class IvfPq:
         codes = [_nearest(r[:, m * w : (m + 1) * w], self.books[m]) for m in range(len(self.books))]
         return np.stack(codes, axis=1).astype(np.uint8)
 
+    def decode(self, codes: np.ndarray, lists: np.ndarray) -> np.ndarray:
+        return self.centroids[lists] + self.books[np.arange(len(self.books)), codes].reshape(len(codes), -1)
+
     def tables(self, q: np.ndarray) -> np.ndarray:
         """Inner products of each query's subvectors with all codewords: queries x subspaces x codes."""
         q = self.padded(q).reshape(len(q), len(self.books), -1)
@@ -98,28 +109,57 @@ def list_count(classes: int) -> int:
     return max(1, min(MAX_LISTS, round(4 * math.sqrt(classes))))
 
 
-def probe_count(sample: np.ndarray, model: IvfPq, k: int, total: int, seed: int = 5) -> int:
+def directions(q: np.ndarray) -> np.ndarray:
+    """Vectors of length 1, however large or small the components are."""
+    q = q / np.abs(q).max(axis=1, keepdims=True)
+    return q / np.sqrt((q**2).sum(axis=1, keepdims=True))
+
+
+def _sample_neighbours(x: np.ndarray, asked: np.ndarray, k: int, total: int) -> np.ndarray:
+    """Places in the sample of each query's neighbours, equal vectors left out; so many that they lie about as near as
+    the ``k`` nearest of all ``total`` vectors, or at least one."""
+    near = min(len(x) - 1, max(1, round(k * len(x) / max(1, total))))
+    if near < 1 or not len(asked):
+        return np.empty((0, 0), dtype=np.int64)
+    scores = asked @ x.T
+    place = {v.tobytes(): i for i, v in enumerate(x)}
+    for i, v in enumerate(asked):
+        if v.tobytes() in place:
+            scores[i, place[v.tobytes()]] = -np.inf
+    return np.argpartition(-scores, near - 1, axis=1)[:, :near]
+
+
+def probe_count(sample: np.ndarray, model: IvfPq, k: int, total: int, seed: int = 5, asked: np.ndarray | None = None) -> int:
     """Lists to probe, in the order of their centroids' inner products, for ``PROBE_RECALL`` of the true neighbours.
 
-    Fitted on sample queries and their exact neighbours among the sample; so many that they lie about as near as the
-    ``k`` nearest of all ``total`` vectors, or at least one: nearer ones need fewer lists.
+    Fitted on sample queries, ``asked`` or some of the sample itself, and their exact neighbours among the sample.
     """
-    rng = np.random.default_rng(seed)
-    x = model.padded(sample.astype(np.float64))
-    asked = rng.permutation(len(x))[:PROBE_QUERIES]
-    near = min(len(x) - 1, max(1, round(k * len(x) / max(1, total))))
-    if near < 1 or len(model.centroids) == 1:
+    if asked is None:
+        asked = sample[np.random.default_rng(seed).permutation(len(sample))[:PROBE_QUERIES]]
+    best = _sample_neighbours(sample.astype(np.float64), asked.astype(np.float64), k, total)
+    if not best.size or len(model.centroids) == 1:
         return len(model.centroids)
-    scores = x[asked] @ x.T
-    scores[np.arange(len(asked)), asked] = -np.inf
-    best = np.argpartition(-scores, near - 1, axis=1)[:, :near]
-    order = np.argsort(-(x[asked] @ model.centroids.T), axis=1, kind="stable")
+    order = np.argsort(-(model.padded(asked) @ model.centroids.T), axis=1, kind="stable")
     place = np.empty_like(order)
     np.put_along_axis(place, order, np.arange(order.shape[1])[None, :], axis=1)
     found = np.take_along_axis(place, model.assign(sample)[best], axis=1)
     return int(np.quantile(found, PROBE_RECALL, method="higher")) + 1
 
 
+def code_margin(sample: np.ndarray, model: IvfPq, k: int, total: int, asked: np.ndarray) -> float:
+    """What part of a code's error, times the query's length, brings ``MARGIN_RECALL`` of the true neighbours' code
+    scores up to their exact ones; with 1 none can be lost."""
+    best = _sample_neighbours(sample, asked, k, total)
+    if not best.size:
+        return 1.0
+    error = model.padded(sample)
+    lists = model.assign(sample)
+    error = error - model.decode(model.encode(sample, lists), lists)
+    size = np.sqrt((error**2).sum(axis=1))
+    lost = np.take_along_axis(model.padded(directions(asked)) @ error.T, best, axis=1) / np.maximum(size[best], 1e-300)
+    return float(min(1.0, max(0.0, np.quantile(lost, MARGIN_RECALL, method="higher"))))
+
+
 def list_blocks(centroids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(block, parts) of every list: lists that lie near each other share a block of about ``BLOCK_ROWS`` vectors; a
     larger list is a block by itself, in so many parts."""
@@ -183,10 +223,11 @@ def nearest_neighbours(
         return rows.filter(F.col("id").isNotNull() & usable("v"))
 
     rows = clean(vectors)
-    lengths = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    largest = F.max(F.array_max(F.transform("v", F.abs)))
+    lengths = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("count"), largest.alias("largest")).orderBy(F.desc("count"), "d").first()
     if lengths is None:
         return spark.createDataFrame([], result)
-    dimension = lengths["d"]
+    dimension, scale = lengths["d"], lengths["largest"]
     rows, asked = (x.filter(F.size("v") == dimension).distinct() for x in (rows, clean(queries)))
 
     # classes of equal vectors, each with its k + 1 smallest ids; "c" numbers them, "least" is the smallest id
@@ -198,17 +239,22 @@ def nearest_neighbours(
     total = classes.count()
     # one row for each distinct query vector; "q" numbers them
     asking = staged(asked.select("v").distinct().select("v", F.monotonically_increasing_id().alias("q")), "asking")
-    sample = _matrix(classes.orderBy(F.xxhash64("v"), "least").limit(TRAIN_ROWS).select("v").toArrow().column(0))
-    model = train(sample, list_count(total))
+    def some(df: DataFrame, seed: int, n: int) -> np.ndarray:
+        return _matrix(df.orderBy(F.xxhash64(F.lit(seed), "v"), "v").limit(n).select("v").toArrow().column(0))
+
+    model = train(some(classes, 1, TRAIN_ROWS) / scale, list_count(total))
     lists = len(model.centroids)
-    n_probes = probes or probe_count(sample, model, k, total)
-    shared = spark.sparkContext.broadcast(model)  # at most MAX_LISTS centroids and CODES codewords
+    fit, fit_asked = some(classes, 2, FIT_ROWS) / scale, some(asking, 3, PROBE_QUERIES) / scale
+    n_probes = probes or probe_count(fit, model, k, total, asked=fit_asked)
+    margin = code_margin(fit, model, k, total, fit_asked)
+    # at most MAX_LISTS centroids, CODES codewords and FIT_ROWS vectors
+    shared, bounding = spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(fit)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
             if batch.num_rows:
-                x = _matrix(batch.column(2))
+                x = _matrix(batch.column(2)) / scale
                 where = m.assign(x)
                 codes = [r.tobytes() for r in m.encode(x, where)]
                 yield pa.RecordBatch.from_arrays(
@@ -229,7 +275,12 @@ def nearest_neighbours(
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                x = _matrix(part.column(0))
+                x = directions(_matrix(part.column(0)))
+                # the k + 1 best of the fitted sample: no neighbour lies farther
+                bound = np.full(len(x), -np.inf)
+                if len(bounding.value) > k:
+                    for lo in range(0, len(x), 256):
+                        bound[lo : lo + 256] = np.partition(x[lo : lo + 256] @ bounding.value.T, -k - 1, axis=1)[:, -k - 1]
                 order = np.argsort(-(m.padded(x) @ m.centroids.T), axis=1, kind="stable")
                 # so many lists that there are candidates enough
                 need = np.maximum(n_probes, (np.cumsum(size[order], axis=1) < least).sum(axis=1) + 1)
@@ -241,12 +292,13 @@ def nearest_neighbours(
                     owner += [i] * len(names)
                     blocks += names.tolist()
                     chosen += [run.astype("<i4").tobytes() for run in np.split(mine, starts[1:])]
+                names = part.column(1).take(pa.array(owner)), part.column(0).take(pa.array(owner))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(1).take(pa.array(owner)), pa.array(blocks, pa.int32()), pa.array(chosen, pa.binary()), part.column(0).take(pa.array(owner))],
-                    ["q", "block", "lists", "qv"],
+                    [names[0], pa.array(blocks, pa.int32()), pa.array(chosen, pa.binary()), names[1], pa.array(bound[owner])],
+                    ["q", "block", "lists", "qv", "bound"],
                 )
 
-    probed = staged(asking.select("v", "q").mapInArrow(probe, "q long, block int, lists binary, qv array<double>"), "probes")
+    probed = staged(asking.select("v", "q").mapInArrow(probe, "q long, block int, lists binary, qv array<double>, bound double"), "probes")
     asks = {r["block"]: r["count"] for r in probed.groupBy("block").count().collect()}  # at most as many rows as lists
     blocks = int(block.max()) + 1
     in_parts = np.ones(blocks, dtype=np.int64)
@@ -272,9 +324,10 @@ def nearest_neighbours(
             codes = np.stack([np.frombuffer(b, np.uint8) for b in cand["code"]])
             names, starts = np.unique(cand["list"].to_numpy(), return_index=True)
             runs = dict(zip(names.tolist(), zip(starts.tolist(), [*starts[1:].tolist(), len(x)], strict=True), strict=True))
+            spread = code_spread(m, x / scale, cand["list"].to_numpy(), codes, margin)
             for at in range(0, len(ask), CHUNK_QUERIES):
-                some = ask.iloc[at : at + CHUNK_QUERIES]
-                out.append(_search(m, x, c, ids, codes, runs, some, k, refine))
+                asks = ask.iloc[at : at + CHUNK_QUERIES]
+                out.append(_search(m, x, c, ids, codes, runs, asks, k, refine, spread, scale))
         q_, c_, i_, s_ = (np.concatenate(z) for z in zip(*out, strict=True))
         return pd.DataFrame({"q": q_, "c": c_, "least": i_, "score": s_})
 
@@ -295,39 +348,61 @@ def nearest_neighbours(
     )
 
 
-def _search(m: IvfPq, x, c, ids, codes, runs: dict, ask: pd.DataFrame, k: int, refine: int):  # noqa: ANN001, ANN202
+def code_spread(m: IvfPq, x: np.ndarray, lists: np.ndarray, codes: np.ndarray, margin: float) -> np.ndarray:
+    """How far above its code's score a vector's own may lie for a query of length 1, rounding included."""
+    x = m.padded(x)
+    length = lambda y: np.sqrt((y**2).sum(axis=1))
+    return margin * length(x - m.decode(codes, lists)) + 1e-6 * (length(m.centroids[lists]) + length(x))
+
+
+def _products(x: np.ndarray, q: np.ndarray, at: np.ndarray, who: np.ndarray) -> np.ndarray:
+    """Inner products of pairs; one after the other, so that a score does not depend on what else is searched."""
+    step = max(1, EXACT_CELLS // x.shape[1])
+    parts = [(x[at[i : i + step]] * q[who[i : i + step]]).sum(axis=1) for i in range(0, len(at), step)]
+    return np.concatenate(parts) if parts else np.empty(0)
+
+
+def _search(m: IvfPq, x, c, ids, codes, runs: dict, ask: pd.DataFrame, k: int, refine: int, spread, scale: float):  # noqa: ANN001, ANN202
     """The best of a block for some queries: by asymmetric distances in the lists each of them probes, then exactly."""
     q = np.stack(ask["qv"].to_numpy())
+    unit, scaled = directions(q), x / scale
+    bound = ask["bound"].to_numpy().copy()
     names = ask["q"].to_numpy()
     wanted = [np.frombuffer(b, "<i4") for b in ask["lists"]]
     owner = np.repeat(np.arange(len(q)), [len(w) for w in wanted])
     asked = np.concatenate(wanted)
     order = np.argsort(asked, kind="stable")
     asked, owner = asked[order], owner[order]
-    tables = m.tables(q)
-    rough = np.full((len(q), len(x)), -np.inf, dtype=np.float32)
+    tables = m.tables(unit)
+    # the highest scores that the codes allow
+    most = np.full((len(q), len(x)), -np.inf, dtype=np.float32)
     lists, starts = np.unique(asked, return_index=True)
     for number, a, b in zip(lists.tolist(), starts.tolist(), [*starts[1:].tolist(), len(asked)], strict=True):
         if number not in runs:
             continue
         lo, hi = runs[number]
         who, code = owner[a:b], codes[lo:hi]
-        part = np.repeat((m.padded(q[who]) @ m.centroids[number]).astype(np.float32)[:, None], hi - lo, axis=1)
+        part = (m.padded(unit[who]) @ m.centroids[number])[:, None].astype(np.float32) + spread[lo:hi].astype(np.float32)
         mine = tables if len(who) == len(q) else tables[who]
         for s in range(code.shape[1]):
             part += mine[:, s, :].take(code[:, s], axis=1)
-        rough[who, lo:hi] = part
-    r = min(len(x), max(refine, k + 1))
-    best = np.argpartition(-rough, r - 1, axis=1)[:, :r] if r < len(x) else np.tile(np.arange(len(x)), (len(q), 1))
-    near = np.take_along_axis(rough, best, axis=1) > -np.inf
-    # one product after the other, so that a score does not depend on what else is searched
-    exact = (x[best] * q[:, None, :]).sum(axis=2)
-    exact[~near] = -np.inf
-    rank = np.lexsort((ids[best], -exact), axis=1)[:, : k + 1]
-    at = np.arange(len(q))[:, None]
-    keep = near[at, rank].ravel()
-    out = (np.repeat(names, rank.shape[1]), c[best[at, rank]].ravel(), ids[best[at, rank]].ravel(), exact[at, rank].ravel())
-    return tuple(o[keep] for o in out)
+        most[who, lo:hi] = part
+    # where many may pass the bound, the exact scores of the best codes raise it
+    r = max(refine, k + 1)
+    many = np.flatnonzero((most >= bound[:, None]).sum(axis=1) > r)
+    if len(many):
+        best = np.argpartition(-(most[many] - spread.astype(np.float32)), r - 1, axis=1)[:, :r]
+        exact = _products(scaled, unit, best.ravel(), np.repeat(many, r)).reshape(len(many), r)
+        exact[np.take_along_axis(most[many], best, axis=1) == -np.inf] = -np.inf
+        bound[many] = np.maximum(bound[many], np.partition(exact, r - k - 1, axis=1)[:, r - k - 1])
+    who, at = np.nonzero((most >= bound[:, None]) & (most > -np.inf))
+    exact = _products(x, q, at, who)
+    order = np.lexsort((ids[at], -exact, who))
+    who, at, exact = who[order], at[order], exact[order]
+    rank = np.arange(len(who)) - np.searchsorted(who, who)
+    keep = rank <= k
+    who, at = who[keep], at[keep]
+    return names[who], c[at], ids[at], exact[keep]
 
 
 def op2_nearest(spark, sf_dir):  # noqa: ANN001, ANN201
