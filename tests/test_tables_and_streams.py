@@ -165,6 +165,41 @@ def test_changes_survive_a_restart(spark, tmp_path):
     ]
 
 
+def test_changes_take_few_state_calls():
+    """A page is plain rows and costs three calls to the state store, four when it comes again."""
+    from pyspark.sql import Row
+
+    from twigline.query import as_queries
+    from twigline.streaming.changes import _LastVersion
+
+    class Store:
+        kept, calls = None, ()
+
+        def getValueState(self, name, schema):  # noqa: N802
+            return self
+
+        def __getattr__(self, name):
+            def call(*args):
+                self.calls += (name,)
+                if name == "update":
+                    self.kept = args[0]
+                return self.kept
+
+            return call
+
+    store = Store()
+    pages = _LastVersion(as_queries(Query.all("i", Save.only_text_content())), 10, ["key", "us", *"abcdefgh"])
+    pages.init(store)
+    row = Row("us", "html")
+    assert [(r.key, r.us, r.a) for r in pages.handleInputRows(("k",), iter([row(5, "<i>1</i>"), row(5, None)]), None)] == [("k", 5, "added")]
+    assert store.calls == ("get", "registerTimer", "update")
+    store.calls = ()
+    assert [(r.us, r.a) for r in pages.handleInputRows(("k",), iter([row(7, ""), row(4, "<i>old</i>")]), None)] == [(7, "removed")]
+    assert store.calls == ("get", "deleteTimer", "registerTimer", "update")
+    store.calls = ()
+    assert not list(pages.handleInputRows(("k",), iter([row(7, "")]), None)) and store.calls == ("get", "update")
+
+
 def test_observed_figures(spark):
     pages = ["<ul><li>ä<li>b</ul><a>", "<p><b>x</p>", None, "<li>z"]
     df = from_strings(spark, pages)

@@ -6,8 +6,7 @@ import json
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructType
@@ -36,7 +35,10 @@ def changed(before: Counter, now: Counter) -> Iterator[tuple]:
 
 
 class _LastVersion(StatefulProcessor):
-    """Keeps a page's matches of its last version, and forgets a page that was not seen for a while."""
+    """Keeps a page's matches of its last version, and forgets a page that was not seen for a while.
+
+    Goes by plain rows: a page has a row or two, for which a data frame each would take longer than the matches.
+    """
 
     def __init__(self, queries: list[Query], forget_ms: int, columns: list[str]) -> None:
         self.queries, self.forget_ms, self.columns = queries, forget_ms, columns
@@ -45,32 +47,32 @@ class _LastVersion(StatefulProcessor):
         self.handle = handle
         kept = StructType().add("matches", StringType()).add("seen", LongType())
         self.last = handle.getValueState("last", kept)
+        self.row = Row(*self.columns)
         self.program = compile_queries(self.queries)
         self.selectors = [[s.selector for _, _, s in q.sections()] for q in self.queries]
 
     def _due(self, seen: int) -> int:
         return seen // 1000 + self.forget_ms
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        before, seen = Counter(), None
-        if self.last.exists():
-            matches, seen = self.last.get()
-            before = Counter(json.loads(matches))
-            self.handle.deleteTimer(self._due(seen))
-        arrived = pd.concat(list(rows)).sort_values(["us", "html"], kind="stable", na_position="first")
-        out = []
-        for at, us, html in zip(arrived["time"].tolist(), arrived["us"].tolist(), arrived["html"].tolist(), strict=True):
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: ANN001, N802, N803
+        last = self.last.get()  # one call; None for a page not seen before
+        before, seen = (Counter(json.loads(last[0])), last[1]) if last else (Counter(), None)
+        known = seen
+        for row in sorted(rows, key=lambda r: (r["us"], r["html"] is not None, r["html"])):
+            us = row["us"]
             if seen is not None and us < seen:
                 continue  # a late copy of an older version
-            now = page_matches(html, self.program, self.selectors)
-            out += [(key[0], at, *row) for row in changed(before, now)]
+            now = page_matches(row["html"], self.program, self.selectors)
+            for change in changed(before, now):
+                yield self.row(key[0], us, *change)
             before, seen = now, us
-        self.handle.registerTimer(self._due(seen))
+        if seen != known:
+            if known is not None:
+                self.handle.deleteTimer(self._due(known))
+            self.handle.registerTimer(self._due(seen))
         self.last.update((json.dumps(before, ensure_ascii=False), seen))
-        if out:
-            yield pd.DataFrame(out, columns=self.columns)
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: ANN001, N802, N803
         self.last.clear()
         return iter(())
 
@@ -97,12 +99,14 @@ def changed_matches(
     """
     rows = stream.select(F.col(key).alias("key"), F.col(time).alias("time"), F.col(html_col).alias("html"), F.unix_micros(time).alias("us"))
     rows = rows.filter("key is not null and time is not null")
-    schema = stream.select(key, time).schema
+    # times pass as microseconds, so that no time zone of a worker meets them
+    schema = stream.select(F.col(key).alias("key")).schema.add("us", LongType())
     for f in StructType.fromDDL(CHANGE_DDL):
         schema = schema.add(f)
     processor = _LastVersion(as_queries(queries), int(forget_days * 86_400_000), schema.names)
     grouped = rows.withWatermark("time", late).groupBy("key")
-    return grouped.transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    found = grouped.transformWithState(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    return found.select(F.col("key").alias(key), F.timestamp_micros("us").alias(time), *schema.names[2:])
 
 
 def use_rocksdb(spark: SparkSession) -> None:
