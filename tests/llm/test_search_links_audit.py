@@ -232,3 +232,18 @@ def test_audit_against_brute_force(spark):
         assert got.columns == columns
         assert rows_of(got, *columns) == plain_audit(docs, top=top)
     assert divergence.source_divergence(df.filter("false")).count() == 0
+
+
+def test_audit_counts_by_group_numbers(spark):
+    """Words are hashed and shuffled with one number, not two names; groups without terms stay; wide products are exact."""
+    rows = [("x", "a", "B b c"), ("x", None, "b"), (None, "a", ""), (None, "a", None)]
+    counts = divergence.term_counts(spark.createDataFrame(rows, "lang string, source string, text string"))
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert [line.split("Aggregate")[1].split("]")[0].count("#") for line in plan.splitlines() if "Aggregate" in line] == [2]
+    got = {(r["lang"], r["source"], r["term"], r["n"], r["docs"]) for r in counts.collect()}
+    assert got == {("x", "a", "b", 2, 1), ("x", "a", "c", 1, 1), ("x", "", "b", 1, 1), ("", "a", None, 0, 0)} or got == {
+        ("x", "a", "b", 2, 1), ("x", "a", "c", 1, 1), ("x", "", "b", 1, 1), ("", "a", None, 0, 2)
+    }
+    sizes = [(0, 5), (7, 9), (9_223_372_034, 10**10), (9_223_372_035, 10**10), (9_223_372_036, 10**10), (10**12, 3 * 10**12)]
+    df = spark.createDataFrame([(n, total, 3) for n, total in sizes], "n long, total long, terms long")
+    assert [r[0] for r in df.select(divergence._probability("n", "total", "terms")).collect()] == [1 + 10**9 * (n + 1) // (total + 3) for n, total in sizes]

@@ -17,6 +17,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Documents that a term needs in a language, terms reported for a group, and what a probability of 1 is.
 MIN_DOCS, TOP_TERMS, UNIT = 3, 200, 1_000_000_000
+MAX_LONG = (1 << 63) - 1
 #: A language's vocabulary meets its sources in so many parts.
 PARTS = 64
 
@@ -32,16 +33,23 @@ def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source:
     A group without any term has one row, with a null term.  Every row is a document.
     """
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
-    words = docs.select(blank(lang).alias("lang"), blank(source).alias("source"), F.regexp_extract_all(lower_ascii(blank(text)), F.lit(TERM), F.lit(0)).alias("w"))
+    texts = docs.select(blank(lang).alias("lang"), blank(source).alias("source"), blank(text).alias("text"))
+    # a group goes by a number while words are counted: one is hashed and shuffled faster than two names
+    names = staged(texts.select("lang", "source").distinct().withColumn("g", F.monotonically_increasing_id()), "names")
+    words = texts.join(names, ["lang", "source"]).select("g", F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(TERM), F.lit(0)).alias("w"))
     # every term, and behind them each of the document's terms once
-    both = words.select("lang", "source", F.size("w").alias("k"), F.posexplode_outer(F.concat("w", F.array_distinct("w"))).alias("at", "term"))
-    counted = both.groupBy("lang", "source", "term")
-    return counted.agg(F.count_if(F.col("at") < F.col("k")).alias("n"), F.count_if(F.col("at") >= F.col("k")).alias("docs"))
+    both = words.select("g", F.size("w").alias("k"), F.posexplode_outer(F.concat("w", F.array_distinct("w"))).alias("at", "term"))
+    counted = both.groupBy("g", "term")
+    counted = counted.agg(F.count_if(F.col("at") < F.col("k")).alias("n"), F.count_if(F.col("at") >= F.col("k")).alias("docs"))
+    return counted.join(names, "g").select("lang", "source", "term", "n", "docs")
 
 
 def _probability(n: str, total: str, terms: str) -> Column:
-    """Smoothed probability in whole units, rounded down, plus one; the product may need more than 64 bits."""
-    return F.expr(f"1 + (cast({UNIT} as decimal(19,0)) * cast({n} + 1 as decimal(19,0))) div cast({total} + {terms} as decimal(38,0))")
+    """Smoothed probability in whole units, rounded down, plus one; decimals only where the product needs more than 64 bits."""
+    return F.expr(
+        f"1 + case when {n} < {MAX_LONG // UNIT - 1} then ({UNIT} * ({n} + 1)) div ({total} + {terms}) "
+        f"else (cast({UNIT} as decimal(19,0)) * cast({n} + 1 as decimal(19,0))) div cast({total} + {terms} as decimal(38,0)) end"
+    )
 
 
 def _divergence(p: str, q: str) -> Column:
